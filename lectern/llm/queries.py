@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, quality, tokencount, warc
+from lectern.llm import bpe, chat, quality, tokencount, warc
 from lectern.llm.common import read
 
 COUNT_LIMIT = 1024
@@ -23,6 +23,11 @@ def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(read(spark, sf_dir, "conversations"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokencount.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), tokencount.cold_cache(spark))
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > COUNT_LIMIT).alias("over_limit"), "cached")
@@ -32,7 +37,7 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op6_chat_rotation, op8_token_counts, op9_warc_salvage)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op6_chat_rotation, op7_byte_bpe, op8_token_counts, op9_warc_salvage)}
 
 WARC_SQL = r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages),
