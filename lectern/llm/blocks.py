@@ -77,13 +77,13 @@ def unpack(row) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def meet(payload: DataFrame, values: DataFrame, of: Callable[[list, list[bytes], pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """of(ids, texts, the block's value rows) for every block."""
+def meet(payload: DataFrame, values: DataFrame, of: Callable[[int, list, list[bytes], pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """of(block, ids, texts, the block's value rows) for every block."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) != 1:
             raise RuntimeError("the documents were dealt otherwise in another reading; read them from files or a checkpoint")
         row = left.iloc[0]
-        return of([None if pd.isna(i) else int(i) for i in row.ids], unpack(row), right)
+        return of(int(row.block), [None if pd.isna(i) else int(i) for i in row.ids], unpack(row), right)
 
     return payload.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(run, schema)

@@ -133,7 +133,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str
 
     coded = words.mapInPandas(encode_words, "block long, locals binary, sizes binary, ids binary")
 
-    def put_together(ids, raw, values):
+    def put_together(_, ids, raw, values):
         split, seen = splitter(pattern), {}
         tokens = []
         whole = [r.decode() for r in raw]
