@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, ctw, dartminhash, quality, tokencount, warc
+from lectern.llm import bpe, chat, ctw, dartminhash, decontaminate, quality, tokencount, warc
 from lectern.llm.common import read
 
 COUNT_LIMIT = 1024
@@ -45,7 +45,11 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op3_dart_minhash, op4_context_tree, op6_chat_rotation, op7_byte_bpe, op8_token_counts, op9_warc_salvage)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op3_dart_minhash, op4_context_tree, op6_chat_rotation, op7_byte_bpe, op8_token_counts, op9_warc_salvage, op10_decontamination)}
 
 WARC_SQL = r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages),
