@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, ctw, dartminhash, decontaminate, quality, tokencount, warc
+from lectern.llm import bpe, chat, ctw, dartminhash, decontaminate, licence, pii, quality, tokencount, warc
 from lectern.llm.common import read
 
 COUNT_LIMIT = 1024
@@ -19,6 +19,11 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation(quality.ledger(read(spark, sf_dir, "documents")))
 
 
+def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.train(docs)))
+
+
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("class", "class_id")
 
@@ -27,6 +32,11 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(read(spark, sf_dir, "documents"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return licence.scan(docs, licence.train(docs)).filter("confirmed").select("doc_id", "line_no", "family", F.round("probability", 3).alias("probability"), F.round("similarity", 3).alias("similarity"), "start", "stop")
+
+
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(read(spark, sf_dir, "conversations"))
 
@@ -49,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op3_dart_minhash, op4_context_tree, op6_chat_rotation, op7_byte_bpe, op8_token_counts, op9_warc_salvage, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op2_skip_chain_pii, op3_dart_minhash, op4_context_tree, op5_licence_scan, op6_chat_rotation, op7_byte_bpe, op8_token_counts, op9_warc_salvage, op10_decontamination)}
 
 WARC_SQL = r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages),

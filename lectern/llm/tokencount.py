@@ -17,7 +17,7 @@ from lectern.llm.common import cut, fresh_path, texts
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
-#: So many missing ids (8 bytes each) are sent to every executor at most; beyond, the join shuffles.
+#: So many missing ids (about 16 bytes each) are sent to every executor at most; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
@@ -75,20 +75,18 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, id_col: str =
     """doc_id, digest, n_bytes, n_tokens, cached for each row; the counts that were missing are appended to cache_path.
 
     Documents are read for digests (no text is shuffled), then again for the misses. Rows with a null id are counted too;
-    a row stands for its digest by its id, so among rows of one digest the least id is encoded, by a null id if it has no
-    other. Appending is one Parquet commit; a run that fails before it leaves the cache as it was, and one repeated after it
+    a row stands for its digest by its id (0 for null), so among rows of one digest that with the least id is encoded. Appending is one Parquet commit; a run that fails before it leaves the cache as it was, and one repeated after it
     finds the counts. Two runs at once may append the same count twice; the reader takes one a digest.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
-    d = texts(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    d = texts(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("row", F.coalesce("doc_id", F.lit(0).cast("long")))
     known = open_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    missing = cut(d.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(known, "digest", "left_anti"))
+    missing = cut(d.groupBy("digest").agg(F.min("row").alias("rep")).join(known, "digest", "left_anti"))
     n_missing = missing.count()
     if n_missing:
-        keys = missing.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d2"))
-        on = d["doc_id"].eqNullSafe(keys["doc_id"]) & (d["digest"] == keys["d2"])
-        picked = d.join(F.broadcast(keys) if n_missing <= BROADCAST_IDS else keys, on, "left_semi")
+        keys = missing.select("rep")
+        picked = d.join(F.broadcast(keys) if n_missing <= BROADCAST_IDS else keys, d["row"] == keys["rep"], "left_semi")
         counted = picked.select("digest", "text").mapInPandas(counter(tokenizer), "digest binary, n_tokens long")
         counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = open_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
