@@ -2,8 +2,8 @@
 
 The recognisers find e-mail addresses, IP addresses, card numbers and phone numbers. The field labels tokens. Its graph has a
 node for each token with a digit or an @ (all other tokens are certainly outside, so they part the chain), chain edges between
-neighbours, and skip edges between distant tokens that repeat or resemble each other; an edge ties each to the next of its
-kind, so edges are as many as tokens. Loopy message passing over each document makes labels agree along both kinds: a
+neighbours, and skip edges between distant tokens that repeat or resemble each other; edges tie each to the one
+before it and to the last that a recogniser found, so their number follows that of tokens. Loopy message passing over each document makes labels agree along both kinds: a
 number that is named in full once is found again where it is cut short or written otherwise. Tokens inside a
 recogniser's span are observed; spans are added for the others where the field is sure enough.
 
@@ -126,6 +126,7 @@ class Graph:
             if not _ANY.search(t):
                 continue
             last: dict[str, int] = {}
+            seen: dict[str, int] = {}  # the last one that a recogniser found
             place, before = 0, None
             for m in _ANY.finditer(t):
                 if m.start() < place:
@@ -147,10 +148,12 @@ class Graph:
                 before = b
                 joined = set()
                 for key in similar_keys(word[0]):
-                    if (x := last.get(key)) is not None and x not in joined:
+                    for x in {last.get(key), seen.get(key)} - {None} - joined:
                         edges.append((x, n, 1))
                         joined.add(x)
                     last[key] = n
+                    if hit:
+                        seen[key] = n
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
 
 
@@ -203,8 +206,17 @@ def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
 class Field:
     """Weights: names maps features to rows of weight; pair has a table of label pairs for each edge type."""
 
-    def __init__(self, names: dict[str, int], weight: np.ndarray, pair: np.ndarray):
-        self.names, self.weight, self.pair = names, weight, pair
+    def __init__(self, names: dict[str, int], weight: np.ndarray, pair: np.ndarray, shapes: set):
+        self.names, self.weight, self.pair, self.shapes = names, weight, pair, shapes
+
+    def supported(self, g: Graph, best: np.ndarray) -> np.ndarray:
+        """Nodes whose label their shape had in training, or an observed neighbour has: no label comes from nowhere."""
+        y, seen = np.array(g.labels), np.array(g.observed)
+        out = np.array([(f[2], b) in self.shapes for f, b in zip(g.features, best.tolist(), strict=True)], bool)
+        for i, j in ((0, 1), (1, 0)):
+            a, b = g.edges[:, i], g.edges[:, j]
+            out[b[seen[a] & (y[a] == best[b])]] = True
+        return out
 
     def node(self, g: Graph) -> np.ndarray:
         out = np.zeros((len(g.nodes), len(LABELS)))
@@ -229,7 +241,7 @@ def fit(sample: list[str], rounds: int = 80, rate: float = 0.2, ridge: float = 0
         for f in fs:
             names.setdefault(f, len(names))
     k, n = len(LABELS), len(g.nodes)
-    field = Field(names, np.zeros((len(names), k)), np.zeros((2, k, k)))
+    field = Field(names, np.zeros((len(names), k)), np.zeros((2, k, k)), {(f[2], y) for f, y in zip(g.features, g.labels, strict=True) if y})
     if not n:
         return field
     at = np.array([(i, names[f]) for i, fs in enumerate(g.features) for f in fs])
@@ -268,7 +280,7 @@ def spans_of(all_texts: list[str], field: Field, sure: float = SURE) -> list[lis
     if g.nodes:
         p = field.label(g)
         best = p.argmax(axis=1)
-        best[(p.max(axis=1) < sure) | np.array(g.observed)] = 0
+        best[(p.max(axis=1) < sure) | np.array(g.observed) | ~field.supported(g, best)] = 0
         chained = {(int(i), int(j)) for i, j, t in g.edges if t == 0}
         run = None
         for i in np.flatnonzero(best).tolist():
