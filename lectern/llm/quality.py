@@ -46,16 +46,20 @@ def _count_of(chars: str) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the measurements of every whole text, one row in, one row out, no shuffle.
+    """_measured() without the documents' own columns."""
+    return _measured(texts(docs, id_col, text_col), ["doc_id"])
+
+
+def _measured(d: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and the measurements of every whole text, one row in, one row out, no shuffle.
 
     n_repeat_words: words in windows of five words that occur twice or more. Windows are compared by 64-bit hashes within a
     document; the starts of repeated windows, in order, cover min(5, distance to the next) words each.
     """
-    d = texts(docs, id_col, text_col)
     d = d.withColumn("words", F.filter(F.split("text", SPACE), lambda w: w != ""))
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != ""))
     d = d.select(
-        "doc_id",
+        *keep,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         _count_of(SYMBOLS).alias("n_symbols"),
@@ -80,15 +84,28 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = d.withColumn("starts", F.array_sort(F.transform(F.filter("sorted", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))).drop("sorted")
     covered = F.transform("starts", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get("starts", j + 1) - p, F.lit(WINDOW))).cast("long"))
     d = d.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_upper", "n_lower")
+    return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_upper", "n_lower")
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """measures() and rule_bits: bit i is set if the document fails RULES[i]."""
+def _bits():
     bits = F.lit(0).cast("long")
     for name, failed in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
-    return measures(docs, id_col, text_col).withColumn("rule_bits", bits)
+    return bits
+
+
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """measures() and rule_bits: bit i is set if the document fails RULES[i]."""
+    return measures(docs, id_col, text_col).withColumn("rule_bits", _bits())
+
+
+def kept(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, that a policy keeps; no join, as the ledger is computed beside each row."""
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    d = docs.select(row.alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    # bits that depend on the task, as far as Spark knows, keep the filter above the measurements: pushed down, it would copy them into itself many times over
+    bits = F.when(F.spark_partition_id() < 0, F.lit(0).cast("long")).otherwise(_bits())
+    return _measured(d, ["row"]).withColumn("rule_bits", bits).filter(passes(policy)).select("row.*")
 
 
 def passes(policy: str, bits: str = "rule_bits") -> Column:
