@@ -1,4 +1,6 @@
 """All registered queries of the engine's own operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.operators import business, documents
+
+QUERIES = business.QUERIES | documents.QUERIES
+ORACLES = business.ORACLES | documents.ORACLES
