@@ -181,7 +181,7 @@ def _shallow(deep: DataFrame):
 
     What a node predicts is a + b * what its subtree below depth 2 predicts.
     """
-    t = deep.toPandas()
+    t = deep.toArrow().to_pandas()
     levels = [t]
     for depth in (2, 1, 0):
         t = levels[-1]
@@ -361,8 +361,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     logs = cut(gram_logs(grams))
     table = None
     if logs.count() <= most:
-        t = logs.toPandas().sort_values("gram")
-        table = docs.sparkSession.sparkContext.broadcast((t.gram.to_numpy(), t.logp.to_numpy()))
+        t = logs.toArrow()  # Rows would take some hundred bytes each
+        table = docs.sparkSession.sparkContext.broadcast((t["gram"].to_numpy(), t["logp"].to_numpy()))
+        del t
     words = cut(word_values(d))
     sums = words.agg(F.sum("new_words").alias("v"), F.sum("block_n").alias("n")).first()
     v, n_words = sums.v or 0, sums.n or 0
