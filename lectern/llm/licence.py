@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import texts
+from lectern.llm.common import sample_by_hash, texts
 
 #: Phrases by which licences of each family are declared (publicly known wording).
 TEMPLATES: dict[str, list[str]] = {
@@ -67,7 +67,7 @@ CUES = (
 UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
 BITS, NGRAM = 16, 3
-#: Unknown paragraphs that are sampled for training: at most SAMPLE with a cue word (by least hash of id and text) and as many without.
+#: Unknown paragraphs that are sampled for training: about SAMPLE with a cue word (by least hash of id and text) and as many without.
 SAMPLE = 2_000
 ACCEPT, CONFIRM = 0.7, 0.5
 #: A paragraph of more words is scored in windows of so many, half of each shared with the next.
@@ -185,15 +185,14 @@ def cued(column: str):
 
 
 def unknown_sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
-    """Paragraphs of the corpus that hold no template's word pair run: at most most with a cue, and as many without, by least hash.
+    """Paragraphs of the corpus that hold no template's word pair run: about most with a cue, and as many without, by least hash.
 
     It is the classifier's bounded sample of unknown rows; scoring covers all rows.
     """
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("length(line) BETWEEN 1 AND 2000")
-    lines = lines.withColumn("h", F.xxhash64("doc_id", "line"))
-    cue = re.compile(r"\b(?:" + "|".join(CUES) + r")\b")
-    out = [r.line for r in lines.filter(cued("line")).orderBy("h", "line").limit(most).collect()]
-    out += [r.line for r in lines.orderBy("h", "line").limit(most).collect() if not cue.search(r.line.lower())]
+    key, cue = F.xxhash64("doc_id", "line"), re.compile(r"\b(?:" + "|".join(CUES) + r")\b")
+    out = sorted(r.line for r in sample_by_hash(lines.filter(cued("line")), key, most).select("line").collect())
+    out += sorted(r.line for r in sample_by_hash(lines, key, most).select("line").collect() if not cue.search(r.line.lower()))
     known = [_pairs(words(t)) for ts in TEMPLATES.values() for t in ts]
     clear = lambda t: all(len(_pairs(words(t)) & p) <= 0.2 * len(p) for p in known)
     return [t for t in out if clear(t)]

@@ -7,7 +7,7 @@ before it and to the last that a recogniser found, so their number follows that
 number that is named in full once is found again where it is cut short or written otherwise. Tokens inside a
 recogniser's span are observed; spans are added for the others where the field is sure enough.
 
-It is trained by distant supervision: on at most SAMPLE documents (those of least hash among those with a digit or an @ and
+It is trained by distant supervision: on about SAMPLE documents (those of least hash among those with a digit or an @ and
 at most SAMPLE_CHARS long), with the recognisers' own spans as labels.
 """
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import texts
+from lectern.llm.common import sample_by_hash, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
@@ -270,7 +270,8 @@ def fit(sample: list[str], rounds: int = 80, rate: float = 0.2, ridge: float = 0
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Field:
     """fit() on the bounded sample that the module's docstring states."""
     d = texts(docs, id_col, text_col).filter((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
-    return fit([r.text for r in d.orderBy(F.xxhash64("doc_id", "text"), "text").limit(most).select("text").collect()])
+    rows = sample_by_hash(d, F.xxhash64("doc_id", "text"), most)
+    return fit(sorted(r.text for r in rows.select("text").collect()))
 
 
 def spans_of(all_texts: list[str], field: Field, sure: float = SURE) -> list[list[tuple[str, int, int, bool]]]:
