@@ -46,10 +46,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, their number, and whether they decode to its bytes again."""
-    ranks = public_tokenizers.path(RANKS)
-    rows = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decode("ids", ranks), 256).alias("decoded_sha256"))
+    """Token ids of every document, their number, and the digest of the bytes they decode to."""
+    rows = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -8,6 +8,7 @@ files or from a checkpoint, which Spark always splits alike.
 """
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 
 BLOCK_CHARS = 32_000_000
 
+OTHERWISE = "the documents were dealt otherwise in another reading; read them from files or a checkpoint"
+
 PAYLOAD_SCHEMA = "block long, ids array<long>, lens binary, payload binary"
 
 
@@ -46,6 +49,27 @@ def _cut(frames: Iterator[pd.DataFrame], most: int):
         yield close()
 
 
+def dealt(frames: Iterator[pd.DataFrame], most: int = BLOCK_CHARS):
+    """(block, rows) of a task's (doc_id, text) frames; rows yields (id or None, text) and is to be used up before the next block.
+
+    Blocks are numbered by task and place, for callers that check their content themselves.
+    """
+    pid, k = TaskContext.get().partitionId(), 0
+
+    def each():
+        nonlocal k
+        chars = 0
+        for f in frames:
+            for i, t in zip(f["doc_id"].astype(object), f["text"], strict=True):
+                if chars >= most:
+                    k, chars = k + 1, 0
+                chars += len(t)
+                yield k, None if pd.isna(i) else int(i), t
+
+    for k_, rows in groupby(each(), key=lambda x: x[0]):
+        yield (pid << 16) + k_, ((i, t) for _, i, t in rows)
+
+
 def keys(docs: DataFrame, of: Callable[[list, list[str]], pd.DataFrame], schema: str, most: int = BLOCK_CHARS) -> DataFrame:
     """of(ids, texts) gives a block's distinct keys, numbered by the column local; each row gets its block. docs: (doc_id, text)."""
 
@@ -82,7 +106,7 @@ def meet(payload: DataFrame, values: DataFrame, of: Callable[[int, list, list[by
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) != 1:
-            raise RuntimeError("the documents were dealt otherwise in another reading; read them from files or a checkpoint")
+            raise RuntimeError(OTHERWISE)
         row = left.iloc[0]
         return of(int(row.block), [None if pd.isna(i) else int(i) for i in row.ids], unpack(row), right)
 

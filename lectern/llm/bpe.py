@@ -7,12 +7,14 @@ Decoding looks ids up in the tokenizer's table of token bytes, which is as large
 
 import base64
 import re
+import zlib
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,21 +97,53 @@ def _merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return [rank[p] for p in part if p is not None]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every row; a null or empty text has no ids; repeated rows and null ids stay.
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, byte by byte of their significance, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x, max_output_size=1 << 31), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4")[:, 0]
+
+
+def _small(x: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers in as few bytes each as the largest takes."""
+    width = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
+    return width, x.astype(f"<u{width}").tobytes()
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", block_chars: int = blocks.BLOCK_CHARS) -> DataFrame:
+    """(doc_id, ids array<int>, decoded binary) of every row; a null or empty text has no ids; repeated rows and null ids stay.
+
+    decoded is what the ids stand for, looked up in the table of token bytes in the task that holds them anyway.
 
     Other columns are left out, whatever their names. Special tokens are ordinary text. ranks_path is read on the executors
-    and has to be there on each, as an installed package is.
+    and has to be there on each, as an installed package is. Each document goes out as its words' numbers within its block
+    (its positions), and each block's distinct words as (word, block, number); only their ids come back.
     """
     d = texts(docs, id_col, text_col)
 
-    def block_words(ids, block_texts):
-        split, seen = splitter(pattern), {}
-        for t in block_texts:
-            seen.update(dict.fromkeys(split(t)))
-        return pd.DataFrame({"word": list(seen), "local": np.arange(len(seen), dtype=np.int32)})
+    def block_words(frames):
+        split = splitter(pattern)
+        for block, rows in blocks.dealt(frames, block_chars):
+            seen = {}
+            for _, t in rows:
+                seen.update(dict.fromkeys(split(t)))
+            words, at = list(seen), (block << 24) + np.arange(len(seen), dtype=np.int64)
+            del seen
+            for a in range(0, len(words), 50_000):
+                yield pd.DataFrame({"word": words[a : a + 50_000], "at": at[a : a + 50_000]})
 
-    words = blocks.keys(d, block_words, "word string, local int").repartition("word").sortWithinPartitions("word")
+    words = d.mapInPandas(block_words, "word string, at long").repartition("word").sortWithinPartitions("word")
 
     def encode_words(frames):
         rank, last, last_ids = ranks(ranks_path), None, []
@@ -119,41 +153,87 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str
             if coded:
                 last, last_ids = distinct[-1], coded[-1]
             sizes = np.array([len(c) for c in coded], np.int64)
-            starts, flat = np.cumsum(sizes) - sizes, np.array(list(chain.from_iterable(coded)), "<u4")
-            block, local, rows = f["block"].to_numpy(), f["local"].to_numpy(), []
-            order = np.argsort(block, kind="stable")
-            edges = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
+            starts, flat = np.cumsum(sizes) - sizes, np.array(list(chain.from_iterable(coded)), np.int64)
+            at, rows = f["at"].to_numpy(), []
+            order = np.argsort(at)
+            block = at[order] >> 24
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(order)]
             for a, b in zip(edges, edges[1:], strict=False):
                 own = order[a:b]
                 if len(own):
-                    c = codes[own]
-                    at = np.repeat(starts[c] - np.cumsum(sizes[c]) + sizes[c], sizes[c]) + np.arange(sizes[c].sum())
-                    rows.append((block[own[0]], local[own].astype("<u4").tobytes(), sizes[c].astype("<u4").tobytes(), flat[at].tobytes()))
-            yield pd.DataFrame(rows, columns=["block", "locals", "sizes", "ids"])
-
-    coded = words.mapInPandas(encode_words, "block long, locals binary, sizes binary, ids binary")
-
-    def put_together(_, ids, raw, values):
-        split, seen = splitter(pattern), {}
-        tokens = []
-        whole = [r.decode() for r in raw]
-        for t in whole:
-            seen.update(dict.fromkeys(split(t)))
-        of = [None] * len(seen)
-        for row in values.itertuples():
-            flat, sizes = np.frombuffer(row.ids, "<u4").tolist(), np.frombuffer(row.sizes, "<u4")
-            ends = np.cumsum(sizes).tolist()
-            for k, a, b in zip(np.frombuffer(row.locals, "<u4").tolist(), [0, *ends[:-1]], ends, strict=True):
-                of[k] = flat[a:b]
-        if None in of:
-            raise RuntimeError("a block's words lack ids")
-        for k, w in enumerate(seen):
-            seen[w] = of[k]
-        for t in whole:
-            tokens.append(np.fromiter(chain.from_iterable(map(seen.__getitem__, split(t))), np.int32))
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "ids": tokens})
-
-    return blocks.meet(blocks.payloads(d), coded, put_together, "doc_id long, ids array<int>")
+                    n = sizes[codes[own]]
+                    where = np.repeat(starts[codes[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    rows.append((block[a], (at[own] & 0xFFFFFF).astype("<u4").tobytes(), *_small(n), *_small(flat[where])))
+            yield pd.DataFrame(rows, columns=["block", "numbers", "size_width", "sizes", "id_width", "ids"])
+
+    coded = words.mapInPandas(encode_words, "block long, numbers binary, size_width int, sizes binary, id_width int, ids binary")
+
+    def positions(frames):
+        split = splitter(pattern)
+        for block, rows in blocks.dealt(frames, block_chars):
+            number, ids, out = _Numbers(), [], []
+            for i, t in rows:
+                own = split(t)
+                ids.append(i)
+                out.append(np.fromiter(map(number.__getitem__, own), np.uint32, len(own)))
+            check = zlib.crc32("".join(number).encode())
+            sizes = _packed(np.array([len(x) for x in out]))
+            yield pd.DataFrame({"block": [block], "doc_ids": [ids], "n_words": [len(number)], "check": [check], "lens": [sizes], "positions": [_packed(np.concatenate(out))]})
+
+    dealt = d.mapInPandas(positions, "block long, doc_ids array<long>, n_words long, check long, lens binary, positions binary")
+
+    # words' ids and positions meet in order of block, the ids first, so that a task streams its blocks and holds one at a time
+    # positions come first in the union: blocks are named by a task's number, which counts from there
+    both = dealt.withColumn("last", F.lit(True)).unionByName(coded.withColumn("last", F.lit(False)), allowMissingColumns=True)
+    both = both.repartition("block").sortWithinPartitions("block", "last")
+
+    def put_together(frames):
+        table, values, now = token_bytes(ranks_path), [], None
+        for f in frames:
+            for row in f.itertuples():
+                if row.block != now:
+                    if values:
+                        raise RuntimeError(blocks.OTHERWISE)
+                    now = row.block
+                if not row.last:
+                    size, flat = np.frombuffer(row.sizes, f"<u{int(row.size_width)}"), np.frombuffer(row.ids, f"<u{int(row.id_width)}")
+                    values.append((np.frombuffer(row.numbers, "<u4"), size, flat))
+                    continue
+                starts, sizes, flat = _table(values, int(row.n_words), int(row.check), table)
+                values = []
+                tokens, at, ids, out = _unpacked(row.positions), 0, [], []
+                for i, n in zip(row.doc_ids, _unpacked(row.lens).tolist(), strict=True):
+                    own = tokens[at : at + n]
+                    at += n
+                    k = sizes[own]
+                    ids.append(None if pd.isna(i) else int(i))
+                    out.append(flat[np.repeat(starts[own] - np.cumsum(k) + k, k) + np.arange(k.sum())])
+                    if len(out[-1]) > 20_000 or len(out) == 256:
+                        yield _decoded(ids, out, table)
+                        ids, out = [], []
+                if out:
+                    yield _decoded(ids, out, table)
+
+    return both.mapInPandas(put_together, "doc_id long, ids array<int>, decoded binary")
+
+
+def _table(values: list, n_words: int, check: int, table: list[bytes]):
+    """(starts, sizes, ids) by a block's word numbers; an error unless they are the words that the positions are of."""
+    number, size, flat = (np.concatenate([np.empty(0, np.uint32), *x]).astype(np.int64) for x in zip(*values, strict=True)) if values else [np.empty(0, np.int64)] * 3
+    if len(number) != n_words or (n_words and number.max() >= n_words):
+        raise RuntimeError(blocks.OTHERWISE)
+    starts, sizes = np.zeros(n_words, np.int64), np.full(n_words, -1, np.int64)
+    starts[number], sizes[number] = np.cumsum(size) - size, size
+    if (sizes < 0).any():
+        raise RuntimeError(blocks.OTHERWISE)
+    order = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    if zlib.crc32(b"".join([table[i] for i in flat[order].tolist()])) != check:
+        raise RuntimeError(blocks.OTHERWISE)
+    return starts, sizes, flat.astype(np.int32)
+
+
+def _decoded(ids: list, out: list[np.ndarray], table: list[bytes]) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "ids": out, "decoded": [b"".join([table[i] for i in x.tolist()]) for x in out]})
 
 
 def decode(ids: str | Column, ranks_path: str) -> Column:
@@ -167,11 +247,11 @@ def decode(ids: str | Column, ranks_path: str) -> Column:
     return run(ids)
 
 
-def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
+def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode()'s rows."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(decode("ids", ranks_path), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
