@@ -11,17 +11,21 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, texts
-from lectern.llm.components import components
+from lectern.llm.components import ROWS_A_PART, components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^7)^32 = 0.9995.
 BANDS, ROWS = 32, 7
 #: Rounds in which each bucket is compared with one of its members, before what is left is compared pair by pair.
-STAR_ROUNDS, LEFT_PER_DOC = 8, 2
+STAR_ROUNDS = 2
+#: Members of a bucket in a block; every two blocks of what is left of a bucket meet in one task.
+BLOCK = 512
+#: What is left is verified if at least this share of all coordinates agree: 0.8 less 3.4 standard deviations, so 1 in 3,000
+#: pairs of just 0.8 isn't, as few as share no band.
+AGREE = 0.71
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -117,7 +121,7 @@ def jaccard(a: tuple, b: tuple, weighted: bool = False) -> float:
 
 
 def _banded(docs: DataFrame, weighted: bool) -> DataFrame:
-    """(doc_id, digest, bands) of every row; bands is empty for texts without words."""
+    """(doc_id, digest, bands, low) of every row; low has the lowest byte of each coordinate; bands is empty for texts without words."""
 
     def run(frames):
         for f in frames:
@@ -125,8 +129,9 @@ def _banded(docs: DataFrame, weighted: bool) -> DataFrame:
             ids, digests, whole = f["doc_id"].to_numpy(), f["digest"].to_numpy(), f["text"].to_numpy()
 
             def close(start, stop, sets):
-                keys = band_keys(signatures(sets))
-                return pd.DataFrame({"doc_id": ids[start:stop], "digest": digests[start:stop], "bands": [k if len(s[0]) else k[:0] for k, s in zip(keys, sets, strict=True)]})
+                sig = signatures(sets)
+                keys, low = band_keys(sig), [x.astype(np.uint8).tobytes() for x in sig]
+                return pd.DataFrame({"low": low, "doc_id": ids[start:stop], "digest": digests[start:stop], "bands": [k if len(s[0]) else k[:0] for k, s in zip(keys, sets, strict=True)]})
 
             for i, t in enumerate(whole):
                 s = shingles(t)
@@ -138,31 +143,69 @@ def _banded(docs: DataFrame, weighted: bool) -> DataFrame:
             if sets:
                 yield close(at, len(whole), sets)
 
-    return docs.mapInPandas(run, "doc_id long, digest binary, bands array<long>")
+    return docs.mapInPandas(run, "low binary, doc_id long, digest binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
     """Those (a, b) of pairs whose texts are similar; texts are read again, and only those of the pairs' documents are shuffled."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = cut(ids)
+    ids = cut(ids.coalesce(pairs.rdd.getNumPartitions()))
     few = ids.count() <= 1_000_000  # 8 bytes each
     own = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     left = own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def run(frames):
-        last, own = None, None
+        known, size = {}, 0  # of the last documents, of two million shingles at most
+
+        def of(i, text):
+            nonlocal known, size
+            if (got := known.get(i)) is None:
+                got = shingles(text)
+                if size > 2_000_000:
+                    known, size = {}, 0
+                known[i] = got
+                size += len(got[0])
+            return got
+
         for f in frames:
             keep = []
-            for a, ta, tb in zip(f["a"], f["ta"], f["tb"], strict=True):
-                if a != last:
-                    last, own = a, shingles(ta)
-                keep.append(jaccard(own, shingles(tb), weighted) >= threshold)
+            for a, b, ta, tb in zip(f["a"], f["b"], f["ta"], f["tb"], strict=True):
+                keep.append(jaccard(of(a, ta), of(b, tb), weighted) >= threshold)
             yield f.loc[keep, ["a", "b"]]
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
+def _left(placed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b) of members of one bucket, of two components, whose signatures agree in AGREE of the coordinates, each pair in its first common band alone.
+
+    placed: (id, band, bucket, class). A bucket's members are dealt to blocks by hash, and every two blocks of a bucket are compared in one
+    task, so no task holds more than about two blocks however large a bucket is.
+    """
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(reps.select("id", "bands", "low").dropDuplicates(["id"]), "id").select("id", "band", "bucket", "class", "bands", "low", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ids, cls, own = (f[c].to_numpy() for c in ("id", "class", "own"))
+        low = np.frombuffer(b"".join(f["low"]), np.uint8).reshape(len(f), -1)
+        bands = np.stack(f["bands"].to_numpy())
+        lo, hi, band = int(f["lo"].iloc[0]), int(f["hi"].iloc[0]), int(f["band"].iloc[0])
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        out = []
+        for i in left.tolist():
+            at = right[cls[right] != cls[i]]
+            at = at[ids[at] > ids[i]] if lo == hi else at
+            at = at[(low[at] == low[i]).mean(axis=1) >= AGREE]
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
+            out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in at.tolist()]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """(doc_id, class) of every row: class is the least doc_id linked to it by texts of the similarity, or by equal texts.
 
@@ -172,35 +215,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal texts are put together first, by digest. A bucket (band, key) then isn't paired off: each round compares all of its
     members with one of them, first the one with the most collisions in all, and links those that are similar. Members of one
-    component need no more comparing. Once the pairs across components that are left are few (LEFT_PER_DOC for each text), or
-    after STAR_ROUNDS, they are all compared. So no link that could join two classes is left out.
+    component need no more comparing. After STAR_ROUNDS all pairs across the components of a bucket are compared, by signature,
+    then by text. So no link that could join two classes is left out, but for those that MinHash itself misses.
     """
     d = texts(docs, id_col, text_col).withColumn("digest", F.unhex(F.md5("text")))
     known = d.filter("doc_id IS NOT NULL")
-    reps = cut(_banded(known, weighted).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
+    reps = cut(_banded(known, weighted).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("low").alias("low")))
     hits = reps.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = hits.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     hits = hits.join(sizes, ["band", "key"]).select("id", "band", "key", "n")
     hub = hits.groupBy("id").agg(F.sum("n").alias("hub"))
-    hits = cut(hits.join(hub, "id").select("id", F.xxhash64("band", "key").alias("bucket"), "hub"))
-    n_texts = reps.count()
+    hits = cut(hits.join(hub, "id").select("id", "band", F.xxhash64("band", "key").alias("bucket"), "hub"))
+    parts = 1 + hits.count() // ROWS_A_PART
+    hits = hits.coalesce(parts)
     seen = links = None
     own = hits.select("id").distinct().select("id", F.col("id").alias("class"))
     for r in range(STAR_ROUNDS + 1):
-        placed = cut(hits.join(own, "id")) if r else hits.withColumn("class", F.col("id"))
-        if r:  # only buckets that more than one component is in
-            several = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("bucket")
-            placed = cut(placed.join(several, "bucket"))
-            by = placed.groupBy("bucket", "class").agg(F.count("*").alias("n")).groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("left"))
-            left = by.agg(F.sum("left")).first()[0] or 0
-            if not left:
+        placed = hits.join(own, "id") if r else hits.withColumn("class", F.col("id"))
+        if r:  # only buckets that more than one component is in; the first round has seen all of a bucket of two
+            several = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("bucket")
+            placed = cut(placed.join(several, "bucket").coalesce(parts))
+            if not placed.limit(1).count():
                 break
-            last = r == STAR_ROUNDS or left <= LEFT_PER_DOC * n_texts
-        else:
-            last = False
+        last = r == STAR_ROUNDS
         if last:
-            x, y = placed.alias("x"), placed.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.class") != F.col("y.class"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            pairs = _left(placed, reps)
         else:
             rank = F.struct(F.col("hub"), -F.col("id")) if not r else F.struct(F.xxhash64("id", F.lit(r)), -F.col("id"))
             lead = placed.groupBy("bucket").agg(F.max_by(F.struct(F.col("id").alias("lead"), F.col("class").alias("lead_class")), rank).alias("l")).select("bucket", "l.*")
@@ -208,10 +247,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = cut(pairs.coalesce(parts))
         found = cut(_verified(pairs, known, threshold, weighted))
-        seen = pairs if seen is None else cut(seen.union(pairs))
-        links = found if links is None else cut(links.union(found))
+        seen = pairs if seen is None else seen.union(pairs)
+        links = found if links is None else links.union(found)
         classes = components(links)
         own = hits.select("id").distinct().join(classes, "id", "left").select("id", F.coalesce("class", "id").alias("class"))
         if last:
@@ -220,3 +259,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_digest = reps.select("digest", "id").join(classes, "id", "left").select("digest", F.coalesce("class", "id").alias("class"))
     rows = d.select("doc_id", "digest")
     return rows.join(by_digest, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
+
+
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without repeats of an id. Only ids that repeat are counted out, and only their rows are shuffled by content; a null id stays."""
+    many = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col)
+    again = docs.join(many, id_col, "left_semi")
+    return docs.join(many, id_col, "left_anti").unionByName(again.dropDuplicates([id_col]).select(*docs.columns))
