@@ -94,18 +94,21 @@ def _bits():
     return bits
 
 
+def _held_bits():
+    """_bits(), depending on the task as far as Spark knows: a filter above then stays above. Pushed down, it would copy the measurements into itself many times over."""
+    return F.when(F.spark_partition_id() < 0, F.lit(0).cast("long")).otherwise(_bits())
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """measures() and rule_bits: bit i is set if the document fails RULES[i]."""
-    return measures(docs, id_col, text_col).withColumn("rule_bits", _bits())
+    return measures(docs, id_col, text_col).withColumn("rule_bits", _held_bits())
 
 
 def kept(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, that a policy keeps; no join, as the ledger is computed beside each row."""
     row = F.struct(*[F.col(c) for c in docs.columns])
     d = docs.select(row.alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    # bits that depend on the task, as far as Spark knows, keep the filter above the measurements: pushed down, it would copy them into itself many times over
-    bits = F.when(F.spark_partition_id() < 0, F.lit(0).cast("long")).otherwise(_bits())
-    return _measured(d, ["row"]).withColumn("rule_bits", bits).filter(passes(policy)).select("row.*")
+    return _measured(d, ["row"]).withColumn("rule_bits", _held_bits()).filter(passes(policy)).select("row.*")
 
 
 def passes(policy: str, bits: str = "rule_bits") -> Column:

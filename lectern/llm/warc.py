@@ -240,7 +240,7 @@ def base32(hex_col: str):
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes the pages as archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit's payload_bytes are those of the response with its digest, as read back. Any gap the reader logs is an error here.
+    A revisit's payload_bytes are those of the response with its digest, as read back. Gaps, of which a fresh archive has none, give no rows.
     """
     spark = pages.sparkSession
     to = fresh_path(spark, "warc")
