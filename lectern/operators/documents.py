@@ -224,7 +224,7 @@ def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.when(F.col("b.s") > 0, F.col("b.t")).otherwise("other").alias("type"), F.round(F.least(F.greatest(F.col("b.s"), F.lit(0.4)), F.lit(0.98)), 4).alias("confidence"))
 
 
-@query("SELECT doc_id, round(CASE WHEN length(text) > 0 THEN least(1.0, 0.55 * length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) / length(text) + 0.45 * least(length(text) / 500.0, 1.0)) ELSE 0 END, 6)::DOUBLE AS quality FROM documents")
+@query("SELECT doc_id, round(CASE WHEN length(text) > 0 THEN least(1::DOUBLE, 0.55::DOUBLE * (length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) / length(text)) + 0.45::DOUBLE * least(length(text) / 500::DOUBLE, 1::DOUBLE)) ELSE 0 END, 6)::DOUBLE AS quality FROM documents")
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(C.text_quality(F.col("text")), 6).alias("quality"))
 
