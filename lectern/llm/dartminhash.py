@@ -21,8 +21,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 7
 #: Rounds in which each bucket is compared with one of its members, before what is left is compared pair by pair.
 STAR_ROUNDS = 2
-#: Members of a bucket in a block; every two blocks of what is left of a bucket meet in one task.
-BLOCK = 512
+#: Members of a bucket in a block, and characters of their texts; every two blocks of what is left of a bucket meet in one task.
+BLOCK, BLOCK_CHARS = 512, 8_000_000
 #: What is left is verified if at least this share of all coordinates agree: 0.8 less 3.4 standard deviations, so 1 in 3,000
 #: pairs of just 0.8 isn't, as few as share no band.
 AGREE = 0.71
@@ -146,12 +146,16 @@ def _banded(docs: DataFrame, weighted: bool) -> DataFrame:
     return docs.mapInPandas(run, "low binary, doc_id long, digest binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """Those (a, b) of pairs whose texts are similar; texts are read again, and only those of the pairs' documents are shuffled."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = cut(ids.coalesce(pairs.rdd.getNumPartitions()))
+def _texts_of(ids: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, text) of the documents in ids (id, distinct; in so many parts): texts are read again, and only theirs are shuffled."""
+    ids = cut(ids.coalesce(parts))
     few = ids.count() <= 1_000_000  # 8 bytes each
-    own = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: bool, parts: int) -> DataFrame:
+    """Those (a, b) of pairs whose texts are similar."""
+    own = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), docs, parts)
     left = own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
@@ -177,33 +181,48 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: boo
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def _left(placed: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b) of members of one bucket, of two components, whose signatures agree in AGREE of the coordinates, each pair in its first common band alone.
+def _left(placed: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, weighted: bool, parts: int) -> DataFrame:
+    """(a, b): links that join the components of a bucket which similar texts join.
 
-    placed: (id, band, bucket, class). A bucket's members are dealt to blocks by hash, and every two blocks of a bucket are compared in one
-    task, so no task holds more than about two blocks however large a bucket is.
+    placed: (id, band, bucket, class). A bucket's members are dealt to blocks by hash, and every two blocks of a bucket are compared
+    in one task, so no task holds more than about two blocks however large a bucket is. A pair is compared in its first common band
+    alone: by signature, then by text, the likeliest first. Members that a task's links have joined need no more comparing, so it
+    emits fewer links than it has members, and no pairs that aren't links.
     """
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(reps.select("id", "bands", "low").dropDuplicates(["id"]), "id").select("id", "band", "bucket", "class", "bands", "low", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    text = _texts_of(placed.select("id").distinct(), docs, parts).withColumnRenamed("doc_id", "id")
+    rows = placed.join(reps.select("id", "bands", "low").dropDuplicates(["id"]).join(text, "id"), "id")
+    full = F.greatest(F.count("*") / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)
+    sizes = rows.groupBy("bucket").agg(F.ceil(full).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.select("id", "band", "bucket", "class", "bands", "low", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        ids, cls, own = (f[c].to_numpy() for c in ("id", "class", "own"))
+        ids, cls, own, text = (f[c].to_numpy().copy() for c in ("id", "class", "own", "text"))
         low = np.frombuffer(b"".join(f["low"]), np.uint8).reshape(len(f), -1)
         bands = np.stack(f["bands"].to_numpy())
         lo, hi, band = int(f["lo"].iloc[0]), int(f["hi"].iloc[0]), int(f["band"].iloc[0])
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        out = []
+        known, out = {}, []
+
+        def of(i):
+            if i not in known:
+                known[i] = shingles(text[i])
+            return known[i]
+
         for i in left.tolist():
             at = right[cls[right] != cls[i]]
             at = at[ids[at] > ids[i]] if lo == hi else at
-            at = at[(low[at] == low[i]).mean(axis=1) >= AGREE]
+            agree = (low[at] == low[i]).mean(axis=1)
+            at = at[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())]
             at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
-            out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in at.tolist()]
+            for k in at.tolist():
+                if cls[k] != cls[i] and jaccard(of(i), of(k), weighted) >= threshold:
+                    out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                    cls[cls == cls[k]] = cls[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return rows.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long")
+    return rows.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
@@ -239,17 +258,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
         last = r == STAR_ROUNDS
         if last:
-            pairs = _left(placed, reps)
+            found = cut(_left(placed, reps, known, threshold, weighted, parts))
         else:
             rank = F.struct(F.col("hub"), -F.col("id")) if not r else F.struct(F.xxhash64("id", F.lit(r)), -F.col("id"))
             lead = placed.groupBy("bucket").agg(F.max_by(F.struct(F.col("id").alias("lead"), F.col("class").alias("lead_class")), rank).alias("l")).select("bucket", "l.*")
-            pairs = placed.join(lead, "bucket").filter("id <> lead AND class <> lead_class").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        pairs = pairs.distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs.coalesce(parts))
-        found = cut(_verified(pairs, known, threshold, weighted))
-        seen = pairs if seen is None else seen.union(pairs)
+            pairs = placed.join(lead, "bucket").filter("id <> lead AND class <> lead_class").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+            if seen is not None:
+                pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = cut(pairs.coalesce(parts))
+            found = cut(_verified(pairs, known, threshold, weighted, parts))
+            seen = pairs if seen is None else seen.union(pairs)
         links = found if links is None else links.union(found)
         classes = components(links)
         own = hits.select("id").distinct().join(classes, "id", "left").select("id", F.coalesce("class", "id").alias("class"))
