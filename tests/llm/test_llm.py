@@ -108,6 +108,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(docs(spark))
 
 
+def test_left_of_a_bucket_is_joined_in_blocks(spark, monkeypatch):
+    """Two families in one bucket, over several blocks: links join each family, none joins both, and fewer come than pairs."""
+    from lectern.llm.common import cut
+
+    monkeypatch.setattr(dartminhash, "BLOCK", 4)
+    rows = [(i, " ".join([f"{'ab'[i % 2]}{k}" for k in range(60)] + [f"end{i}"])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [dartminhash.shingles(t) for _, t in rows]
+    sig = dartminhash.signatures([(x, np.ones(len(x))) for x, _ in sets])
+    reps = spark.createDataFrame([(i, [7] * 32, bytearray(s.astype(np.uint8).tobytes())) for i, s in enumerate(sig)], "id long, bands array<long>, low binary")
+    placed = cut(reps.selectExpr("id", "0 AS band", "1L AS bucket", "id AS class"))
+    links = {tuple(r) for r in dartminhash._left(placed, reps, docs, 0.8, False, 2).collect()}
+    assert len(links) < 90 and all((a - b) % 2 == 0 for a, b in links)
+    classes = {r["id"]: r["class"] for r in dartminhash.components(spark.createDataFrame(list(links), "a long, b long")).collect()}
+    assert classes == {i: i % 2 for i in range(20)}
+
+
 def test_near_duplicates_odd(spark, tmp_path):
     rows = dartminhash.near_duplicates(frame(spark, [*ODD, (9, "one"), (10, "")], tmp_path)).collect()
     got = {r.doc_id: r["class"] for r in rows if r.doc_id is not None}
