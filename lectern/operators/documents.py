@@ -1,7 +1,9 @@
 """Retrieval, text and conversation operators. Each query has its SQL beside it, where SQL can express it."""
 
+import collections
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -150,12 +152,90 @@ SELECT item_id, doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list
  JOIN (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 320)), '\\s+', ' ', 'g')) AS y, substr(text, 1, 2) AS block FROM documents WHERE length(text) >= 40) d USING (block)) WHERE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.3
 """)
 def jaccard_trigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items and documents' excerpts that begin alike (the block) and share three tenths of their 3-grams."""
+    """Benchmark items and documents' excerpts that begin alike (the block) and share three tenths of their 3-grams. jaccard_trigram_all takes whole texts."""
     i = table(spark, sf_dir, "benchmark").select("item_id", C.ngrams(F.col("text")).alias("a"), F.substring("text", 1, 2).alias("block"))
     d = table(spark, sf_dir, "documents").filter("length(text) >= 40").select("doc_id", C.ngrams(F.substring("text", 1, 320)).alias("b"), F.substring("text", 1, 2).alias("block"))
     return i.join(d, "block").select("item_id", "doc_id", C.jaccard(F.col("a"), F.col("b")).alias("j")).filter("j >= 0.3").select("item_id", "doc_id", F.round("j", 6).alias("similarity"))
 
 
+def trigrams(t: str) -> set[str]:
+    """C.ngrams of a text that is in lower case with single spaces, in time linear in it."""
+    return {t[k : k + 3] for k in range(max(1, len(t) - 2))} if t else set()
+
+
+#: Items whose postings are held, and broadcast, at a time.
+ITEM_BLOCK = 5_000
+
+
+def blocks(rows: DataFrame, most: int):
+    """Lists of at most most rows, streamed to the driver."""
+    block = []
+    for r in rows.toLocalIterator():
+        block.append(r)
+        if len(block) == most:
+            yield block
+            block = []
+    yield block
+
+
+class Postings:
+    """Which items of a block hold a 3-gram; what an item shares with a text is counted over the text's 3-grams, so it is exact."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        sets = [(i, g) for i, t in items if (g := trigrams(t))]
+        self.ids, self.sizes = [i for i, _ in sets], np.array([len(g) for _, g in sets], np.int64)
+        of = collections.defaultdict(list)
+        for k, (_, g) in enumerate(sets):
+            for x in g:
+                of[x].append(k)
+        self.of = {x: np.array(ks, np.int64) for x, ks in of.items()}
+
+    def alike(self, text: str, least: float) -> list[tuple[int, float]]:
+        """(item, similarity) of the items that reach least."""
+        g = trigrams(text)
+        # the smaller set over the larger bounds the similarity
+        if not g or not ((np.minimum(self.sizes, len(g)) / np.maximum(self.sizes, len(g))) >= least).any():
+            return []
+        found = [self.of[x] for x in g if x in self.of]
+        if not found:
+            return []
+        both = np.bincount(np.concatenate(found), minlength=len(self.sizes))
+        j = both / (self.sizes + len(g) - both)
+        return [(self.ids[k], float(j[k])) for k in np.flatnonzero(j >= least)]
+
+
+def alike(items: DataFrame, docs: DataFrame, least: float = 0.3, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """(item_id, doc_id, similarity) of all pairs whose whole texts' 3-gram sets have a Jaccard similarity of least (over 0) or more.
+
+    No shuffle: documents are read once for each block of items. Null texts and texts of white space alone match nothing.
+    """
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).alias("text")
+    d, out = docs.select("doc_id", plain).filter("text <> ''"), None
+    for block in blocks(items.select("item_id", plain).filter("text <> ''"), item_block):
+        sent = docs.sparkSession.sparkContext.broadcast(Postings([(r.item_id, r.text) for r in block]))
+
+        def run(frames, sent=sent):
+            for f in frames:
+                rows = [(item, i, j) for i, t in zip(f["doc_id"], f["text"], strict=True) for item, j in sent.value.alike(t, least)]
+                yield pd.DataFrame(rows, columns=["item_id", "doc_id", "similarity"]).astype({"item_id": "Int64", "doc_id": "Int64", "similarity": "float64"})
+
+        part = d.mapInPandas(run, "item_id long, doc_id long, similarity double")
+        out = part if out is None else out.unionByName(part)
+    return out.select("item_id", "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""
+WITH i AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS x FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS y FROM documents),
+a AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(x) - 1, 2)), lambda k: substr(x, k, 3))) AS a FROM i WHERE x <> ''),
+b AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length(y) - 1, 2)), lambda k: substr(y, k, 3))) AS b FROM d WHERE y <> ''),
+p AS (SELECT item_id, doc_id, len(list_intersect(a, b)) AS n, len(a) + len(b) AS m FROM a, b)
+SELECT item_id, doc_id, round(n / (m - n), 6) AS similarity FROM p WHERE n / (m - n) >= 0.3
+""")
+def jaccard_trigram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of benchmark items and documents, by whole texts, that share three tenths of their 3-grams."""
+    return alike(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 @query("SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY sha256(text)), doc_id) AS duplicate_of FROM documents")
 def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row of each content stays; others point at it. Only digests are shuffled, pre-aggregated."""
