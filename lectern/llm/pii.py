@@ -3,7 +3,8 @@
 The recognisers find e-mail addresses, IP addresses, card numbers and phone numbers. The field labels tokens. Its graph has a
 node for each token with a digit or an @ (all other tokens are certainly outside, so they part the chain), chain edges between
 neighbours, and skip edges between distant tokens that repeat or resemble each other; edges tie each to the one
-before it and to the last that a recogniser found, so their number follows that of tokens. Loopy message passing over each document makes labels agree along both kinds: a
+before it and to the last and the next that a recogniser found, so their number follows that of tokens and a label that a
+recogniser gave reaches every mention, ahead of it or after, in one step. Loopy message passing over each document makes labels agree along both kinds: a
 number that is named in full once is found again where it is cut short or written otherwise. Tokens inside a
 recogniser's span are observed; spans are added for the others where the field is sure enough.
 
@@ -127,6 +128,7 @@ class Graph:
                 continue
             last: dict[str, int] = {}
             seen: dict[str, int] = {}  # the last one that a recogniser found
+            own: list[tuple[int, list[str], set[int]]] = []  # each node's keys, and the earlier ones it is tied to
             place, before = 0, None
             for m in _ANY.finditer(t):
                 if m.start() < place:
@@ -146,14 +148,24 @@ class Graph:
                 if before is not None and self.nodes[n - 1][0] == d and not t[before:a].strip(" \t\n\v\f\r"):
                     edges.append((n - 1, n, 0))
                 before = b
-                joined = set()
-                for key in similar_keys(word[0]):
+                joined, keys = set(), similar_keys(word[0])
+                own.append((n, keys, joined))
+                for key in keys:
                     for x in {last.get(key), seen.get(key)} - {None} - joined:
                         edges.append((x, n, 1))
                         joined.add(x)
                     last[key] = n
                     if hit:
                         seen[key] = n
+            tied = {n: joined for n, _, joined in own}
+            ahead: dict[str, int] = {}  # the next one that a recogniser found
+            for n, keys, _ in reversed(own):
+                for x in sorted({ahead[key] for key in keys if key in ahead}):
+                    if n not in tied[x]:
+                        edges.append((n, x, 1))
+                        tied[x].add(n)
+                if self.observed[n]:
+                    ahead.update(dict.fromkeys(keys, n))
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
 
 
