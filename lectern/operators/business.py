@@ -282,10 +282,36 @@ h2 AS (SELECT DISTINCT b.o FROM h1 JOIN e a ON a.o = h1.o JOIN e b ON a.s = b.s)
 SELECT o AS "order", CASE WHEN o = (SELECT min(o) FROM e) THEN 0 WHEN o IN (SELECT o FROM h1) THEN 1 ELSE 2 END::BIGINT AS hops FROM h2
 """)
 def related_k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders within two hops of the first, over shared suppliers, among the numbers below 2000: the feature is one document's surroundings."""
+    """Orders within two hops of the first, over shared suppliers, among the numbers below 2000: the feature is one document's surroundings. related_k_hop_all takes all."""
     e = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
     seen = e.agg(F.min("o").alias("o")).select("o", F.lit(0).cast("long").alias("hops"))
     for k in (1, 2):
         near = seen.join(e, "o").select("s").distinct().join(e, "s").select("o", F.lit(k).cast("long").alias("hops")).distinct()
         seen = seen.unionByName(near).groupBy("o").agg(F.min("hops").alias("hops"))
     return seen.select(F.col("o").alias("order"), "hops")
+
+
+def hops(edges: DataFrame, most: int) -> DataFrame:
+    """(order, hops) of the orders within most hops of the first, over shared suppliers; edges is (o, s).
+
+    Only keys are walked: those reached last are joined to the edges, made distinct before the next join, and not met again.
+    """
+    e = edges.filter("o IS NOT NULL AND s IS NOT NULL").distinct()
+    last = e.agg(F.min("o").alias("o")).filter("o IS NOT NULL")
+    seen = last.select("o", F.lit(0).cast("long").alias("hops"))
+    for k in range(1, most + 1):
+        over = e.join(last, "o", "left_semi").select("s").distinct()
+        last = e.join(over, "s", "left_semi").select("o").distinct().join(seen, "o", "left_anti")
+        seen = seen.unionByName(last.select("o", F.lit(k).cast("long").alias("hops")))
+    return seen.select(F.col("o").alias("order"), "hops")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
+s1 AS (SELECT DISTINCT s FROM e WHERE o = (SELECT min(o) FROM e)), h1 AS (SELECT DISTINCT o FROM e WHERE s IN (SELECT s FROM s1)),
+s2 AS (SELECT DISTINCT s FROM e WHERE o IN (SELECT o FROM h1)), h2 AS (SELECT DISTINCT o FROM e WHERE s IN (SELECT s FROM s2))
+SELECT o AS "order", CASE WHEN o = (SELECT min(o) FROM e) THEN 0 WHEN o IN (SELECT o FROM h1) THEN 1 ELSE 2 END::BIGINT AS hops FROM h2
+""")
+def related_k_hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders within two hops of the first, over shared suppliers, among all orders."""
+    return hops(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")), 2)

@@ -1,7 +1,11 @@
 """The retrieval operators on whole texts and tables: against brute force."""
 
+import math
+
+import numpy as np
 import pytest
 
+from lectern.operators import business as B
 from lectern.operators import documents as D
 
 ITEM = "The quick brown fox jumps over the lazy dog."
@@ -27,3 +31,9 @@ def test_alike_takes_whole_texts(spark):
     for block in (1, 2, 100):
         rows = D.alike(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), item_block=block).collect()
         assert {(r.item_id, r.doc_id): r.similarity for r in rows} == want and len(rows) == len(want)
+
+
+def test_hops_over_all_orders(spark):
+    edges = [(1, 10), (1, 10), (2500, 10), (2500, 11), (9000, 11), (9000, 12), (9001, 12), (None, 10), (3, None)]
+    got = B.hops(spark.createDataFrame(edges, "o long, s long"), 2).collect()
+    assert sorted((r.order, r.hops) for r in got) == [(1, 0), (2500, 1), (9000, 2)]
