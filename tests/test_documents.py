@@ -37,3 +37,17 @@ def test_hops_over_all_orders(spark):
     edges = [(1, 10), (1, 10), (2500, 10), (2500, 11), (9000, 11), (9000, 12), (9001, 12), (None, 10), (3, None)]
     got = B.hops(spark.createDataFrame(edges, "o long, s long"), 2).collect()
     assert sorted((r.order, r.hops) for r in got) == [(1, 0), (2500, 1), (9000, 2)]
+
+
+def test_nearest_answers_every_query(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 8)]) for i in range(350)] + [(350, [0.0] * 8), (351, None), (352, [1.0, 2.0]), (500, [1.0] * 8)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = set()
+    for q, a in rows:
+        if q % 100 == 0:
+            of = [(round(float(np.dot(a, b)) / math.sqrt(np.dot(a, a) * np.dot(b, b)), 6), i) for i, b in rows if b and len(b) == 8 and any(b)]
+            want |= {(q, i) for _, i in sorted(of, key=lambda x: (-x[0], x[1]))[:20]}
+    for block in (2, 1_000):
+        got = D.nearest(e.filter("vec_id % 100 = 0"), e, query_block=block).collect()
+        assert {(r.query_id, r.vec_id) for r in got} == want and len(got) == 5 * 20
