@@ -179,16 +179,24 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal marginal relevance: (rank, doc_id, score) of ten out of a pool of thirty, one group a query."""
     pool = bm25(table(spark, sf_dir, "documents"), WORDS).orderBy(F.desc("score"), "doc_id").limit(30)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 320).alias("excerpt"))
-    rows = pool.join(docs, "doc_id").select(F.lit(0).alias("query"), "doc_id", "score", "excerpt")
+    return mmr_of(pool, table(spark, sf_dir, "documents"))
+
+
+def mmr_of(pool: DataFrame, docs: DataFrame) -> DataFrame:
+    """mmr() on the 3-gram sets of the whole texts of a pool of bounded size (doc_id, score)."""
+
+    @F.pandas_udf("array<string>")
+    def grams(s: pd.Series) -> pd.Series:
+        return pd.Series([sorted(trigrams(re.sub(r"\s+", " ", (t or "").lower()).strip())) for t in s], dtype=object)
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(pool), "doc_id").select(F.lit(0).alias("query"), "doc_id", "score", grams("text").alias("grams"))
     return rows.groupBy("query").applyInPandas(lambda f: mmr(f), "rank long, doc_id long, score double")
 
 
 def mmr(pool: pd.DataFrame, top: int = 10, weight: float = 0.7) -> pd.DataFrame:
     """Greedy: weight / rank less (1 - weight) times the greatest 3-gram similarity to what is chosen."""
     pool = pool.sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
-    text = [re.sub(r"\s+", " ", t.lower()).strip() for t in pool.excerpt]
-    grams = [{t[i : i + 3] for i in range(max(1, len(t) - 2))} if t else set() for t in text]
+    grams = [set(g) for g in pool.grams]
     like = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b]) if grams[a] and grams[b] else 0.0
     left, out = list(range(len(pool))), []
     while left and len(out) < top:

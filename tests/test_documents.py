@@ -51,3 +51,14 @@ def test_nearest_answers_every_query(spark):
     for block in (2, 1_000):
         got = D.nearest(e.filter("vec_id % 100 = 0"), e, query_block=block).collect()
         assert {(r.query_id, r.vec_id) for r in got} == want and len(got) == 5 * 20
+
+
+def test_mmr_compares_whole_texts(spark):
+    head, tail, other = "same head " * 40, "a passage that comes late " * 40, "quite something else, of zebras and jukeboxes " * 40
+    docs = spark.createDataFrame([(1, head + tail), (2, "x" * 330 + tail), (3, head + other)], "doc_id long, text string")
+    got = D.mmr_of(spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 1.0)], "doc_id long, score double"), docs).orderBy("rank").collect()
+    like = lambda a, b: len(D.trigrams(a) & D.trigrams(b)) / len(D.trigrams(a) | D.trigrams(b))
+    texts = {1: (head + tail).strip(), 2: ("x" * 330 + tail).strip(), 3: (head + other).strip()}
+    value = {d: 0.7 / k - 0.3 * like(texts[1], texts[d]) for k, d in ((2, 2), (3, 3))}
+    best = max(value, key=value.get)
+    assert [r.doc_id for r in got][:2] == [1, best] and got[1].score == pytest.approx(value[best])
