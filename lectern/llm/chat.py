@@ -2,15 +2,45 @@
 
 All other speakers become named users, and the mask covers what the assistant says. A rendering comes in parts of
 PART_TURNS turn numbers, so that a dialogue that holds a third of all rows is spread over many rows and tasks; offset says
-where in the whole rendering a part begins, and parts joined in order are the dialogue. DataFrame functions only.
+where in the whole rendering a part begins, and parts joined in its order are the dialogue. Turns may be null or repeated: a
+part of more than PART_TURNS messages comes as several rows of as many messages at most. DataFrame functions only.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Turn numbers in a part.
+from lectern.llm.common import cut
+
+#: Turn numbers in a part, and messages in a row.
 PART_TURNS = 64
+#: So many keys of overfull parts are broadcast; beyond, the joins with them shuffle.
+BROADCAST_PARTS = 100_000
+
+
+def pieces(t: DataFrame, most: int, broadcast: int = BROADCAST_PARTS) -> DataFrame:
+    """t (conv_id, part, turn, role, text) with piece: 0, or, in parts of more than most messages, which most of them a message is among.
+
+    Only messages of such parts are sorted: over ranges, each numbered in itself and moved on by the ranges before. So no
+    task takes a whole part. Equal messages are told apart by a number for the ranges' sake; which of them comes first doesn't matter.
+    """
+    key = ["conv_id", "part"]
+    crowded = cut(t.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(F.col("conv_id").alias("c"), F.col("part").alias("k")))
+    whole, n = F.lit(0).cast("long"), crowded.count()
+    if not n:
+        return t.withColumn("piece", whole)
+    crowded = F.broadcast(crowded) if n <= broadcast else crowded
+    on = t["conv_id"].eqNullSafe(crowded["c"]) & (t["part"] == crowded["k"])
+    order = ["turn", "role", "text", "tie"]
+    many = t.withColumn("tie", F.monotonically_increasing_id()).join(crowded, on, "left_semi")  # numbered before any shuffle, so a task run again numbers alike
+    many = cut(many.repartitionByRange(*key, *order).withColumn("at", F.spark_partition_id()))
+    counts = many.groupBy(*key, "at").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy(*key).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(F.col("conv_id").alias("c"), F.col("part").alias("k"), F.col("at").alias("a"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("moved"))
+    many = many.withColumn("i", F.row_number().over(W.partitionBy(*key, "at").orderBy(*order)) - 1)
+    many = many.join(counts, many["conv_id"].eqNullSafe(counts["c"]) & (many["part"] == counts["k"]) & (many["at"] == counts["a"]))
+    many = many.select(*t.columns, F.floor((F.col("moved") + F.col("i")) / most).cast("long").alias("piece"))
+    return t.join(crowded, on, "left_anti").withColumn("piece", whole).unionByName(many)
 
 
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
@@ -19,14 +49,15 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     A message is "<|assistant|>\\n" or "<|user|>name\\n", its text, "<|end|>\\n". mask lists "start:end" of what the assistant
     says, end mark included, in code points of the part's text, joined by commas; empty if it says nothing in that part.
     Messages are in the order of turn, then role, then text; rows that are equal in all of them stay, each a message. A null
-    turn comes first, in part -1. A null role is the participant "unknown"; a null text is empty; null conversations are one.
+    turn comes first, in part -1. Rows of one part differ in offset. A null role is the participant "unknown"; a null text is empty; null conversations are one.
     """
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long"))
+    t = pieces(t, part_turns)
     people = t.groupBy("conv_id").agg(F.collect_set("role").alias("people"))
-    parts = t.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
+    parts = t.groupBy("conv_id", "part", "piece").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
     cid = F.col("p.conv_id")
-    both = parts.alias("d").join(people.alias("p"), F.col("d.conv_id").eqNullSafe(cid)).select("d.conv_id", "d.part", "d.said", F.explode("p.people").alias("perspective"))
+    both = parts.alias("d").join(people.alias("p"), F.col("d.conv_id").eqNullSafe(cid)).select("d.conv_id", "d.part", "d.piece", "d.said", F.explode("p.people").alias("perspective"))
     own = lambda m: m["role"] == F.col("perspective")
     lead = lambda m: F.when(own(m), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user|>"), m["role"], F.lit("\n")))
     both = both.withColumn("messages", F.transform("said", lambda m: F.struct(lead(m).alias("lead"), F.concat(m["text"], F.lit("<|end|>\n")).alias("body"), own(m).alias("own"))))
@@ -37,16 +68,17 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         "conv_id",
         "perspective",
         "part",
+        "piece",
         F.size("messages").cast("long").alias("n_messages"),
         F.array_join(F.transform("messages", lambda m: F.concat(m["lead"], m["body"])), "").alias("text"),
         F.array_join(
             F.filter(F.transform("messages", lambda m, i: F.when(m["own"], F.concat_ws(":", F.get("ends", i) - F.length(m["body"]), F.get("ends", i)))), lambda s: s.isNotNull()), ","
         ).alias("mask"),
     )
-    before = W.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    where = both.select("conv_id", "perspective", "part", F.length("text").cast("long").alias("size")).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
-    where = where.select(F.col("conv_id").alias("c"), F.col("perspective").alias("w"), F.col("part").alias("k"), "offset")
-    on = both["conv_id"].eqNullSafe(where["c"]) & (both["perspective"] == where["w"]) & (both["part"] == where["k"])
+    before = W.partitionBy("conv_id", "perspective").orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)
+    where = both.select("conv_id", "perspective", "part", "piece", F.length("text").cast("long").alias("size")).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
+    where = where.select(F.col("conv_id").alias("c"), F.col("perspective").alias("w"), F.col("part").alias("k"), F.col("piece").alias("l"), "offset")
+    on = both["conv_id"].eqNullSafe(where["c"]) & (both["perspective"] == where["w"]) & (both["part"] == where["k"]) & (both["piece"] == where["l"])
     return both.join(where, on).select("conv_id", "perspective", "part", "n_messages", "offset", "text", "mask")
 
 
