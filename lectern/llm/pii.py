@@ -1,17 +1,24 @@
 """Personal data: exact recognisers, and a skip-chain conditional random field that adds what they miss.
 
-The recognisers find e-mail addresses, IP addresses, card numbers and phone numbers. The field labels tokens. Its graph has a
-node for each token with a digit or an @ (all other tokens are certainly outside, so they part the chain), chain edges between
+The recognisers find e-mail addresses, IP addresses, card numbers and phone numbers. The field labels tokens as one of
+these, as a secret (a credential), or as outside. Its graph has a
+node for each token with a digit or an @, and for each that holds the local part of an address found in the text. All other tokens
+are outside for certain, so what they tell a neighbour is a feature of it, and they part the chain. There are chain edges between
 neighbours, and skip edges between distant tokens that repeat or resemble each other; edges tie each to the one
 before it and to the last and the next that a recogniser found, so their number follows that of tokens and a label that a
 recogniser gave reaches every mention, ahead of it or after, in one step. Loopy message passing over each document makes labels agree along both kinds: a
 number that is named in full once is found again where it is cut short or written otherwise. Tokens inside a
 recogniser's span are observed; spans are added for the others where the field is sure enough.
 
-It is trained by distant supervision: on about SAMPLE documents (those of least hash among those with a digit or an @ and
-at most SAMPLE_CHARS long), with the recognisers' own spans as labels.
+It is trained by distant supervision on about SAMPLE documents (those of least hash among those with a digit or an @ and
+at most SAMPLE_CHARS long). Labels are the recognisers' own spans, secrets that stand behind a word for them and a sign of
+assignment, and, in a copy of each document, cut or respelt mentions of what was recognised in it, put there for training. Tokens that look like
+personal data and have no label (seven digits or more, an @, or tied to a recognised one) are neither taken for it nor
+for outside: they are latent, and training maximises the likelihood of the labels that are known. So a number of a card's
+length with a wrong check digit is left to what the field has learnt of cards; it mostly comes out as one.
 """
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -23,7 +30,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import sample_by_hash, texts
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("outside", *KINDS)
+LABELS = ("outside", *KINDS, "secret")
 SAMPLE, SAMPLE_CHARS = 1_500, 20_000
 #: Least marginal probability of an added label, and rounds of message passing.
 SURE, ROUNDS = 0.8, 12
@@ -36,7 +43,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_EDGE = "\"'.,;:!?<>[]{}"
+_SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?([A-Za-z0-9_/+-]{16,256})", re.I)
+_NUMBERS = re.compile(r"[0-9()+./-]*[0-9][0-9()+./-]*")
+_EDGE = "\"'.,;:!?<>[]{}#*%$&|"
 
 
 def luhn(digits: str) -> bool:
@@ -93,62 +102,128 @@ def node_features(token: str, before: str, after: str) -> list[str]:
     out += [f"at {'@' in core}", f"plus {core.startswith('+')}", f"brackets {'(' in core or ')' in core}", f"digits only {core.isdigit()}", f"octets {octets}"]
     if 12 <= len(digits) <= 19:
         out.append(f"luhn {luhn(digits)} {len(digits) >= 16}")
+    turns = len(re.findall("[0-9][A-Za-z]|[A-Za-z][0-9]", core[:200]))
+    out += [f"turns {_bucket(turns)}", f"one word {len(core) >= 16 and core.isalnum()}", f"quoted {token[:1] in QUOTES}"]
+    named = re.fullmatch(r"([A-Za-z_-]{3,12}) ?([=:])", before) or re.match(r"([A-Za-z_-]{3,12})([=:])", token)
+    if named and named[1].lower() in CONTEXT:
+        out.append("assigned")
+    before = before.split()[-1] if before.strip() else ""
     for side, near in (("before", before), ("after", after)):
         near = re.sub("[0-9]+", "9", near.strip(_EDGE).lower())
         out.append(f"{side} {'9' if near and '9' in near else near if re.fullmatch('[a-z.:=+#-]{2,8}', near) and near.rstrip('.:=') in CONTEXT else ''}")
     return out
 
 
+QUOTES = ("'", '"')
 #: Words beside personal data in several languages; all others are one feature.
-CONTEXT = frozenset("tel phone call fax mobile cell mail email contact card visa account ip host server token key version telefon karte correo llame carte".split())
+CONTEXT = frozenset("tel phone call fax mobile cell mail email contact card visa account ip host server token key secret password passwd version telefon karte correo llame carte".split())
 
 
-def similar_keys(token: str) -> list[str]:
-    """Keys of a token: tokens with a key in common are joined by skip edges. The token itself; its digits, if six or more; an address's local part."""
+def similar_keys(token: str, digits: str = "") -> list[str]:
+    """Keys of a token: tokens with a key in common are joined by skip edges.
+
+    The token itself; an address's local part, or the token as one; of the digits of the number that it is a part of (its own,
+    if digits is empty), all, the first six and the last seven, as far as there are so many.
+    """
     core = token.strip(_EDGE).lower()
-    digits = re.sub("[^0-9]", "", core)
+    digits = digits or re.sub("[^0-9]", "", core)
     out = [f"= {core}"]
-    if len(digits) >= 6 and "@" not in core:
-        out.append(f"9 {digits}")
-    if (at := core.find("@")) > 2:
+    at = core.find("@")
+    if at < 0:
+        out += [f"9 {digits}", f"9< {digits[:6]}"] if len(digits) >= 6 else []
+        out += [f"9> {digits[-7:]}"] if len(digits) >= 7 else []
+        out += [f"@ {core}"] if len(core) > 2 else []
+    elif at > 2:
         out.append(f"@ {core[:at]}")
     return out
 
 
+def candidates(t: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """(start, stop) of the tokens that are nodes: those with a digit or an @, and those with the local part of a recognised address in them."""
+    marks = {m.start() for m in _ANY.finditer(t)}
+    for local in {t[a:b].split("@")[0] for k, a, b in base if k == "email"}:
+        at = t.find(local) if len(local) >= 4 else -1
+        while at >= 0:
+            marks.add(at)
+            at = t.find(local, at + len(local))
+    out, place = [], 0
+    for a in sorted(marks):
+        if a < place:
+            continue
+        while a > place and t[a - 1] not in " \t\n\v\f\r":
+            a -= 1
+        place = _TOKEN.match(t, a).end()
+        out.append((a, place))
+    return out
+
+
+def _numbers(t: str, tokens: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[str]:
+    """For each token the digits of the number that it is a part of: of its recognised card or phone number, or of its run of neighbouring tokens of digits and signs."""
+    own = [t[a:b].strip(_EDGE) for a, b in tokens]
+    out, run = [re.sub("[^0-9]", "", w) if "@" not in w else "" for w in own], []
+
+    def close():
+        if len(run) > 1:
+            whole = "".join(out[i] for i in run)
+            if len(whole) <= 24:
+                for i in run:
+                    out[i] = whole
+        run.clear()
+
+    for i, w in enumerate(own):
+        if run and t[tokens[i - 1][1] : tokens[i][0]].strip(" \t"):
+            close()
+        if _NUMBERS.fullmatch(w):
+            run.append(i)
+        else:
+            close()
+    close()
+    spans = [(a, b) for k, a, b in base if k in ("card", "phone")]
+    starts = [a for a, _ in tokens]
+    for a, b in spans:
+        digits, i = re.sub("[^0-9]", "", t[a:b]), max(0, bisect.bisect_right(starts, a) - 1)
+        while i < len(tokens) and tokens[i][0] < b:
+            if tokens[i][1] > a:
+                out[i] = digits
+            i += 1
+    return out
+
+
 class Graph:
-    """Nodes and edges of a batch of texts; edge types are 0 chain and 1 skip, for repeated and for similar tokens."""
+    """Nodes and edges of a batch of texts; edge types are 0 chain and 1 skip, for repeated and for similar tokens.
+
+    known: for each text, further spans (kind, start, stop) that training has labels for; they aren't observed.
+    """
 
-    def __init__(self, all_texts: list[str]):
-        self.nodes, self.labels, self.observed, self.features = [], [], [], []
+    def __init__(self, all_texts: list[str], known: list[list[tuple[str, int, int]]] | None = None):
+        self.nodes, self.labels, self.observed, self.latent, self.features = [], [], [], [], []
         edges, self.base = [], []
         for d, t in enumerate(all_texts):
             base = base_spans(t)
             self.base.append(base)
             if not _ANY.search(t):
                 continue
+            more = known[d] if known else []
+            tokens = candidates(t, base)
+            numbers = _numbers(t, tokens, base)
             last: dict[str, int] = {}
             seen: dict[str, int] = {}  # the last one that a recogniser found
             own: list[tuple[int, list[str], set[int]]] = []  # each node's keys, and the earlier ones it is tied to
-            place, before = 0, None
-            for m in _ANY.finditer(t):
-                if m.start() < place:
-                    continue
-                a = m.start()
-                while a > place and not t[a - 1] in " \t\n\v\f\r":
-                    a -= 1
-                word = _TOKEN.match(t, a)
-                b = place = word.end()
-                n = len(self.nodes)
+            before = None
+            at = _Cover(base)
+            for (a, b), digits in zip(tokens, numbers, strict=True):
+                n, word = len(self.nodes), t[a:b]
                 self.nodes.append((d, a, b))
-                hit = next((k for k, x, y in base if x < b and a < y), None)
-                self.labels.append(LABELS.index(hit) if hit else 0)
+                hit = at.kind(a, b)
+                given = hit or next((k for k, x, y in more if x < b and a < y), None)
+                self.labels.append(LABELS.index(given) if given else 0)
                 self.observed.append(hit is not None)
-                near = _near(t, a, b)
-                self.features.append(node_features(word[0], *near))
-                if before is not None and self.nodes[n - 1][0] == d and not t[before:a].strip(" \t\n\v\f\r"):
+                self.latent.append(not given and ("@" in word or len(digits) >= 7))
+                self.features.append(node_features(word, *_near(t, a, b)))
+                if before is not None and not t[before:a].strip(" \t\n\v\f\r"):
                     edges.append((n - 1, n, 0))
                 before = b
-                joined, keys = set(), similar_keys(word[0])
+                joined, keys = set(), similar_keys(word, digits)
                 own.append((n, keys, joined))
                 for key in keys:
                     for x in {last.get(key), seen.get(key)} - {None} - joined:
@@ -167,12 +242,30 @@ class Graph:
                 if self.observed[n]:
                     ahead.update(dict.fromkeys(keys, n))
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
+        for i, j, kind in edges:
+            for x, y in ((i, j), (j, i)):
+                if kind and self.observed[x] and not self.labels[y]:
+                    self.latent[y] = True
+
+
+class _Cover:
+    """Which of a text's spans, the first by kind, a token meets."""
+
+    def __init__(self, base: list[tuple[str, int, int]]):
+        self.by = [(k, [a for x, a, _ in base if x == k], [b for x, _, b in base if x == k]) for k in KINDS]
+
+    def kind(self, a: int, b: int) -> str | None:
+        for k, starts, stops in self.by:
+            i = bisect.bisect_left(starts, b) - 1
+            if i >= 0 and stops[i] > a:
+                return k
+        return None
 
 
 def _near(t: str, a: int, b: int, most: int = 24) -> tuple[str, str]:
-    """The tokens before and after, as far as they are within a few characters."""
+    """The tokens before and after, as far as they are within a few characters; before a sign of assignment, with the word before that."""
     left, right = t[max(0, a - most) : a].split(), t[b : b + most].split()
-    return left[-1] if left else "", right[0] if right else ""
+    return " ".join(left[-2:] if left[-1:] in (["="], [":"]) else left[-1:]), right[0] if right else ""
 
 
 def _norm(x: np.ndarray) -> np.ndarray:
@@ -245,32 +338,69 @@ class Field:
         return np.exp(propagate(node, g.edges, self.pair)[0])
 
 
-def fit(sample: list[str], rounds: int = 80, rate: float = 0.2, ridge: float = 0.02) -> Field:
-    """Maximises the labels' likelihood, with the marginals of loopy message passing, by Adam. No texts give weights of zero."""
-    g = Graph(sample)
+def variants(kind: str, span: str) -> list[str]:
+    """Ways to write a recognised span short or otherwise, as people do; each of one token, or of numbers side by side."""
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "email":
+        local, host = span.split("@", 1)
+        return [f"{local}@{host.split('.')[0]}", local, f"{local}(at){host}", f"{local}@"]
+    if kind == "ip":
+        parts = span.split(".")
+        return [".".join(parts[:3]), "-".join(parts), ".".join(parts[:3]) + ".x"]
+    if kind == "card":
+        return [digits[:12], ".".join(digits[k : k + 4] for k in range(0, len(digits), 4)), digits[:-1]]
+    return [span.lstrip("+"), digits, digits[-10:], f"{digits[-10:-7]} {digits[-7:-4]} {digits[-4:]}"]
+
+
+def planted(t: str, rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with a variant of each of its recognised spans put in at a white space somewhere, and where these are."""
+    gaps = [m.start() for m in re.finditer(r"[\x20\n]", t)] or [len(t)]
+    busy = base_spans(t)
+    put = []
+    for kind, a, b in busy:
+        ways = variants(kind, t[a:b])
+        free = [g for g in gaps if all(g < x or g > y for _, x, y in busy)] or [len(t)]
+        put.append((free[int(rng.integers(0, len(free)))], kind, ways[int(rng.integers(0, len(ways)))]))
+    parts, at, size, spans = [], 0, 0, []
+    for place, kind, way in sorted(put):
+        parts += [t[at:place], " then ", way, " said"]
+        start = size + place - at + 6
+        spans.append((kind, start, start + len(way)))
+        size, at = start + len(way) + 5, place
+    return "".join([*parts, t[at:]]), spans
+
+
+def fit(sample: list[str], rounds: int = 80, rate: float = 0.2, ridge: float = 0.02, seed: int = 0) -> Field:
+    """Maximises the likelihood of the known labels, latent ones summed over, with the marginals of loopy message passing, by Adam. No texts give weights of zero."""
+    rng = np.random.default_rng(seed)
+    secrets = lambda t: [("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(t)]
+    rows = [(t, secrets(t)) for t in sample]
+    rows += [(u, spans + secrets(u)) for u, spans in (planted(t, rng) for t in sample if base_spans(t))]
+    g = Graph([t for t, _ in rows], [k for _, k in rows])
     names: dict[str, int] = {}
     for fs in g.features:
         for f in fs:
             names.setdefault(f, len(names))
     k, n = len(LABELS), len(g.nodes)
+    y = np.array(g.labels)
     field = Field(names, np.zeros((len(names), k)), np.zeros((2, k, k)), {(f[2], y) for f, y in zip(g.features, g.labels, strict=True) if y})
     if not n:
         return field
     at = np.array([(i, names[f]) for i, fs in enumerate(g.features) for f in fs])
-    gold = np.zeros((n, k))
-    gold[np.arange(n), g.labels] = 1
-    y = np.array(g.labels)
+    fixed = np.flatnonzero(~np.array(g.latent))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (field.weight, field.pair)]
     for r in range(1, rounds + 1):
         node = np.zeros((n, k))
         np.add.at(node, at[:, 0], field.weight[at[:, 1]])
         lb, le = propagate(node, g.edges, field.pair, 6)
+        held = node.copy()
+        held[fixed] = -50.0
+        held[fixed, y[fixed]] = 0.0
+        hb, he = propagate(held, g.edges, field.pair, 6)
         gw, gp = np.zeros_like(field.weight), np.zeros_like(field.pair)
-        np.add.at(gw, at[:, 1], (gold - np.exp(lb))[at[:, 0]])
+        np.add.at(gw, at[:, 1], (np.exp(hb) - np.exp(lb))[at[:, 0]])
         if len(g.edges):
-            diff = -np.exp(le)
-            diff[np.arange(len(diff)), y[g.edges[:, 0]], y[g.edges[:, 1]]] += 1
-            np.add.at(gp, g.edges[:, 2], diff)
+            np.add.at(gp, g.edges[:, 2], np.exp(he) - np.exp(le))
         for p, grad, (m, v) in zip((field.weight, field.pair), (gw, gp), state, strict=True):
             grad = grad - ridge * p
             m += 0.1 * (grad - m)
@@ -307,7 +437,7 @@ def spans_of(all_texts: list[str], field: Field, sure: float = SURE) -> list[lis
             else:
                 out[d].append((LABELS[best[i]], a, b, False))
             run = i, best[i]
-    return [sorted(x, key=lambda s: (KINDS.index(s[0]), s[1])) for x in out]
+    return [sorted(x, key=lambda s: (LABELS.index(s[0]), s[1])) for x in out]
 
 
 def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,4 +485,5 @@ def digests(found: DataFrame) -> DataFrame:
         F.sha2(show(base), 256).alias("base_sha256"),
         show(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
