@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import cut
 
 
-ROWS_A_PART = 250_000
+#: A small table is kept in few parts, as many would cost more in files than in rows; large ones keep their partitions.
+ROWS_A_PART = 20_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     shuffle. Every round is cut from its lineage by a checkpoint. No links give no rows.
     """
     n = links.count()
-    parts = 1 + n // ROWS_A_PART  # a small table in many partitions would cost more in files than in rows
+    parts = 1 + n // ROWS_A_PART
     both = links.filter("a <> b").select("a", "b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts).distinct().coalesce(parts))
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).withColumnRenamed("a", "id").coalesce(parts))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, texts
+from lectern.llm.common import cut, texts, written
 from lectern.llm.components import ROWS_A_PART, components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -27,6 +27,9 @@ BLOCK, BLOCK_CHARS = 512, 8_000_000
 #: pairs of just 0.8 isn't, as few as share no band.
 AGREE = 0.71
 
+#: Digests that a task remembers, and rows that are broadcast at most (40 bytes each); beyond, joins with them shuffle.
+REMEMBERED, BROADCAST_NODES = 500_000, 500_000
+
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -53,51 +56,49 @@ def shingles(text: str, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(out, return_counts=True)
 
 
-def _uniform(h: np.ndarray) -> np.ndarray:
-    return ((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
-
-
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = BANDS * ROWS, seed: int = 0) -> np.ndarray:
     """A row of k dart hashes for each (elements, weights); weights are positive. A set without elements gets zeros.
 
     Weights are cut into layers [0, 1), [1, 2), [2, 4), ...; a layer's darts come at exponential intervals of its width,
-    each with a place in the layer, and count where the place is below the weight.
+    each with a place in the layer, and count where the place is below the weight. A dart's upper 32 bits give its rank, its
+    lower 32 bits its coordinate and its name; rank and name are kept as one number, the least of which a coordinate keeps.
     """
-    out = np.zeros((len(sets), k), np.uint64)
-    todo = np.array([i for i, s in enumerate(sets) if len(s[0])], int)
-    hits = (k * np.log(k) + 2 * k) / np.array([max(1e-300, float(np.sum(s[1]))) for s in sets]) if sets else None
+    n, half, own_bits, unset = len(sets), np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(2**64 - 1)
+    best = np.full(n * k, unset, np.uint64)
+    sizes = np.array([len(s[0]) for s in sets], int)
+    hits = (k * np.log(k) + 2 * k) / np.array([max(1e-300, float(np.sum(s[1]))) for s in sets]).astype(np.float32)
+    todo = np.flatnonzero(sizes)
     while len(todo):
-        owner = np.repeat(todo, [len(sets[i][0]) for i in todo])
+        owner = np.repeat(todo, sizes[todo])
         items = np.concatenate([sets[i][0] for i in todo])
-        weights = np.concatenate([np.asarray(sets[i][1], float) for i in todo])
-        docs, ranks, darts = [], [], []
+        weights = np.concatenate([np.asarray(sets[i][1], np.float32) for i in todo])
         low, layer = 0.0, 0
         while len(items):
             width = 1.0 if not layer else low
-            base, own, limit, w = mix(items, seed * 64 + layer), owner, hits[owner], weights
-            rank, step = np.zeros(len(items)), 0
+            full = bool((weights >= low + width).all())  # then every dart of the layer counts
+            base, cell, limit, w = mix(items, seed * 64 + layer), (owner * k).astype(np.uint64), hits[owner], weights
+            rank, step = np.zeros(len(items), np.float32), 0
             while len(base):
                 h = mix(base, 2 * step)
-                # most elements of long texts get no dart at all: told by the hash before its logarithm is taken
-                rank = rank - np.log(_uniform(h)) / width
-                keep = rank < limit
-                base, own, limit, w, rank, h = base[keep], own[keep], limit[keep], w[keep], rank[keep], h[keep]
-                place = low + width * _uniform(mix(base, 2 * step + 1))
-                hit = place < w
-                docs.append(own[hit])
-                ranks.append(rank[hit])
-                darts.append(mix(h[hit], 7))
+                gap = ((h >> half).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
+                rank = rank - np.log(gap) / np.float32(width)
+                keep = np.flatnonzero(rank < limit)
+                base, cell, limit, rank, h, w = base[keep], cell[keep], limit[keep], rank[keep], h[keep], w[keep]
+                name = h & own_bits
+                at = (cell + ((name * np.uint64(k)) >> half)).view(np.int64)
+                dart = (rank.view(np.uint32).astype(np.uint64) << half) | name
+                if not full:
+                    hit = low + width * ((mix(base, 2 * step + 1) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)) < w
+                    at, dart = at[hit], dart[hit]
+                np.minimum.at(best, at, dart)
                 step += 1
             low, layer = low + width, layer + 1
-            more = weights > low
+            more = np.flatnonzero(weights > low)
             items, owner, weights = items[more], owner[more], weights[more]
-        docs, ranks, darts = map(np.concatenate, (docs, ranks, darts))
-        cell = docs * k + (darts % np.uint64(k)).astype(int)
-        order = np.lexsort((darts, ranks, cell))
-        cells, first = np.unique(cell[order], return_index=True)
-        out[cells // k, cells % k] = np.maximum(darts[order][first], np.uint64(1))
-        todo = todo[(out[todo] == 0).any(axis=1)]
+        todo = todo[(best.reshape(n, k)[todo] == unset).any(axis=1)]
         hits[todo] *= 2
+    out = best.reshape(n, k) & own_bits
+    out[sizes == 0] = 0
     return out
 
 
@@ -120,47 +121,68 @@ def jaccard(a: tuple, b: tuple, weighted: bool = False) -> float:
     return len(common) / (len(a[0]) + len(b[0]) - len(common))
 
 
-def _banded(docs: DataFrame, weighted: bool) -> DataFrame:
-    """(doc_id, digest, bands, low) of every row; low has the lowest byte of each coordinate; bands is empty for texts without words."""
+def _signed(docs: DataFrame, weighted: bool) -> DataFrame:
+    """(digest, doc_id, bands, low) of every row; low has the lowest byte of each coordinate; bands is empty for texts without words.
+
+    Of the rows of one text that a task reads only the first is signed (it remembers so many digests, then begins anew); the
+    others have null bands, so that a large group of copies costs a signature a task.
+    """
 
     def run(frames):
+        seen = set()
         for f in frames:
-            sets, at, size = [], 0, 0
+            sets, at, size, again = [], [], 0, []
             ids, digests, whole = f["doc_id"].to_numpy(), f["digest"].to_numpy(), f["text"].to_numpy()
 
-            def close(start, stop, sets):
-                sig = signatures(sets)
-                keys, low = band_keys(sig), [x.astype(np.uint8).tobytes() for x in sig]
-                return pd.DataFrame({"low": low, "doc_id": ids[start:stop], "digest": digests[start:stop], "bands": [k if len(s[0]) else k[:0] for k, s in zip(keys, sets, strict=True)]})
-
-            for i, t in enumerate(whole):
+            def close(at, sets):
+                keys = low = [None] * len(at)
+                if sets:
+                    sig = signatures(sets)
+                    low = [x.astype(np.uint8).tobytes() for x in sig]
+                    keys = [k if len(s[0]) else k[:0] for k, s in zip(band_keys(sig), sets, strict=True)]
+                return pd.DataFrame({"digest": digests[at], "doc_id": ids[at], "bands": keys, "low": low})
+
+            for i, (digest, t) in enumerate(zip(digests, whole, strict=True)):
+                if digest in seen:
+                    again.append(i)
+                    continue
+                seen = {digest} if len(seen) >= REMEMBERED else seen
+                seen.add(digest)
                 s = shingles(t)
                 sets.append(s if weighted else (s[0], np.ones(len(s[0]))))
-                size += len(s[0]) + 2500
-                if size > 400_000:
-                    yield close(at, i + 1, sets)
-                    sets, at, size = [], i + 1, 0
+                at.append(i)
+                size += len(s[0]) + 200
+                if size > 60_000:
+                    yield close(at, sets)
+                    sets, at, size = [], [], 0
             if sets:
-                yield close(at, len(whole), sets)
+                yield close(at, sets)
+            if again:
+                yield close(again, [])
+
+    return docs.mapInPandas(run, "digest binary, doc_id long, bands array<long>, low binary")
 
-    return docs.mapInPandas(run, "low binary, doc_id long, digest binary, bands array<long>")
 
+def _small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df (a checkpoint), to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_NODES if most is None else most) else df
 
-def _texts_of(ids: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, text) of the documents in ids (id, distinct; in so many parts): texts are read again, and only theirs are shuffled."""
-    ids = cut(ids.coalesce(parts))
-    few = ids.count() <= 1_000_000  # 8 bytes each
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
+def _texts_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
+    """(id, text) of nodes (id, distinct; in so many parts): texts are read again, and only theirs are shuffled."""
+    want = _small(cut(ids.join(reps.select("id", "least", "digest"), "id").coalesce(parts)))
+    got = docs.select("doc_id", "text").join(want, F.col("doc_id") == F.col("least")).filter(F.unhex(F.md5("text")) == F.col("digest"))
+    return got.groupBy("id").agg(F.first("text").alias("text"))
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: bool, parts: int) -> DataFrame:
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, weighted: bool, parts: int) -> DataFrame:
     """Those (a, b) of pairs whose texts are similar."""
-    own = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), docs, parts)
-    left = own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    own = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), reps, docs, parts)
+    left = own.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    right = own.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def run(frames):
-        known, size = {}, 0  # of the last documents, of two million shingles at most
+        known, size = {}, 0  # of the last texts, of two million shingles at most
 
         def of(i, text):
             nonlocal known, size
@@ -181,21 +203,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: boo
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
+def _dealt(placed: DataFrame, chars: DataFrame) -> DataFrame:
+    """(id, band, bucket, class, own, lo, hi): each member of a bucket once for every two blocks of it that its own is one of.
+
+    A bucket's members are dealt to blocks by hash, as many as keep a block within BLOCK members and about BLOCK_CHARS
+    (chars: id, chars). Only numbers are joined by bucket here; texts and signatures come to these rows by node.
+    """
+    full = F.greatest(F.count("*") / BLOCK, F.sum("chars") / BLOCK_CHARS)
+    sizes = placed.join(chars, "id").groupBy("bucket").agg(F.ceil(full).cast("int").alias("blocks"))
+    rows = placed.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.select("id", "band", "bucket", "class", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select("id", "band", "bucket", "class", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
 def _left(placed: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, weighted: bool, parts: int) -> DataFrame:
     """(a, b): links that join the components of a bucket which similar texts join.
 
-    placed: (id, band, bucket, class). A bucket's members are dealt to blocks by hash, and every two blocks of a bucket are compared
-    in one task, so no task holds more than about two blocks however large a bucket is. A pair is compared in its first common band
+    placed: (id, band, bucket, class); docs: (doc_id, text) by those ids, each once. Every two blocks of a bucket are compared in one task, so no task holds more
+    than about two blocks however large a bucket is. A pair is compared in its first common band
     alone: by signature, then by text, the likeliest first. Members that a task's links have joined need no more comparing, so it
     emits fewer links than it has members, and no pairs that aren't links.
     """
-    text = _texts_of(placed.select("id").distinct(), docs, parts).withColumnRenamed("doc_id", "id")
-    rows = placed.join(reps.select("id", "bands", "low").dropDuplicates(["id"]).join(text, "id"), "id")
-    full = F.greatest(F.count("*") / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)
-    sizes = rows.groupBy("bucket").agg(F.ceil(full).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.select("id", "band", "bucket", "class", "bands", "low", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    text = docs.select(F.col("doc_id").alias("id"), "text")
+    rows = _dealt(placed, text.select("id", F.length("text").alias("chars"))).join(text.join(reps.select("id", "bands", "low"), "id"), "id")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         ids, cls, own, text = (f[c].to_numpy().copy() for c in ("id", "class", "own", "text"))
@@ -222,32 +252,45 @@ def _left(placed: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float,
                     cls[cls == cls[k]] = cls[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return rows.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    return rows.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long").distinct().coalesce(parts)
+
+
+def _one_id(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """(a, b): links between the texts of ids that have several; None if there are none. Ids are found by pre-aggregated hashes of their texts."""
+    h = F.xxhash64("text")
+    several = cut(docs.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("doc_id"))
+    if not several.limit(1).count():
+        return None
+    rows = docs.join(_small(several), "doc_id", "left_semi").select("doc_id", "digest").distinct().join(reps.select("digest", "id"), "digest")
+    lead = rows.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return cut(rows.join(lead, "doc_id").filter("a <> id").select("a", F.col("id").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """(doc_id, class) of every row: class is the least doc_id linked to it by texts of the similarity, or by equal texts.
+    """(doc_id, class) of every row: class is the least doc_id linked to it by texts of the similarity, by equal texts, or by one id.
 
     Similarity is the Jaccard of the sets of five-word shingles, or with weighted, of their counts; element weights of the
     signatures are 1 or the counts. Texts without words are alike only if equal (a null text is the empty one). Repeated rows
-    stay; texts under one id are one class; rows with a null id stay, their class null. An empty table gives no rows.
+    stay; all texts under one id are one class; rows with a null id stay, their class null. An empty table gives no rows.
+    Other columns are left out, whatever their names.
 
-    Equal texts are put together first, by digest. A bucket (band, key) then isn't paired off: each round compares all of its
+    A node is a distinct text, by digest, and is signed once a task at most. A bucket (band, key) isn't paired off: each round compares all of its
     members with one of them, first the one with the most collisions in all, and links those that are similar. Members of one
     component need no more comparing. After STAR_ROUNDS all pairs across the components of a bucket are compared, by signature,
     then by text. So no link that could join two classes is left out, but for those that MinHash itself misses.
     """
     d = texts(docs, id_col, text_col).withColumn("digest", F.unhex(F.md5("text")))
     known = d.filter("doc_id IS NOT NULL")
-    reps = cut(_banded(known, weighted).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("low").alias("low")))
-    hits = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    sizes = hits.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    hits = hits.join(sizes, ["band", "key"]).select("id", "band", "key", "n")
+    reps = _signed(known, weighted).groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("bands", True).alias("bands"), F.first("low", True).alias("low"))
+    reps = written(reps.withColumn("id", F.monotonically_increasing_id()), "signatures")
+    hits = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("bucket"))
+    sizes = hits.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    hits = hits.join(sizes, "bucket")
     hub = hits.groupBy("id").agg(F.sum("n").alias("hub"))
-    hits = cut(hits.join(hub, "id").select("id", "band", F.xxhash64("band", "key").alias("bucket"), "hub"))
+    hits = cut(hits.select("id", "band", "bucket").join(hub, "id"))
     parts = 1 + hits.count() // ROWS_A_PART
     hits = hits.coalesce(parts)
-    seen = links = None
+    seen, links = None, _one_id(known, reps)
     own = hits.select("id").distinct().select("id", F.col("id").alias("class"))
     for r in range(STAR_ROUNDS + 1):
         placed = hits.join(own, "id") if r else hits.withColumn("class", F.col("id"))
@@ -258,7 +301,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
         last = r == STAR_ROUNDS
         if last:
-            found = cut(_left(placed, reps, known, threshold, weighted, parts))
+            own_text = written(_texts_of(placed.select("id").distinct(), reps, known, parts).withColumnRenamed("id", "doc_id"), "texts")
+            found = cut(_left(placed, reps, own_text, threshold, weighted, parts))
         else:
             rank = F.struct(F.col("hub"), -F.col("id")) if not r else F.struct(F.xxhash64("id", F.lit(r)), -F.col("id"))
             lead = placed.groupBy("bucket").agg(F.max_by(F.struct(F.col("id").alias("lead"), F.col("class").alias("lead_class")), rank).alias("l")).select("bucket", "l.*")
@@ -266,21 +310,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if seen is not None:
                 pairs = pairs.join(seen, ["a", "b"], "left_anti")
             pairs = cut(pairs.coalesce(parts))
-            found = cut(_verified(pairs, known, threshold, weighted, parts))
+            found = cut(_verified(pairs, reps, known, threshold, weighted, parts))
             seen = pairs if seen is None else seen.union(pairs)
         links = found if links is None else links.union(found)
         classes = components(links)
-        own = hits.select("id").distinct().join(classes, "id", "left").select("id", F.coalesce("class", "id").alias("class"))
         if last:
             break
-    classes = own.filter("id <> class")
-    by_digest = reps.select("digest", "id").join(classes, "id", "left").select("digest", F.coalesce("class", "id").alias("class"))
+        own = hits.select("id").distinct().join(classes, "id", "left").select("id", F.coalesce("class", "id").alias("class"))
+    members = classes.join(reps.select("id", "least"), "id")
+    label = members.groupBy("class").agg(F.min("least").alias("label"))
+    members = members.join(label, "class").select("id", "label")
+    by_digest = reps.select("digest", "id", "least").join(members, "id", "left").select("digest", F.coalesce("label", "least").alias("class"))
     rows = d.select("doc_id", "digest")
     return rows.join(by_digest, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
 
 
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without repeats of an id. Only ids that repeat are counted out, and only their rows are shuffled by content; a null id stays."""
+    """docs without repeats of an id: the row of the least text stays, then of the least other columns; a null id stays.
+
+    Only ids that repeat are counted out, and only their rows are shuffled by id, pre-aggregated.
+    """
     many = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col)
-    again = docs.join(many, id_col, "left_semi")
-    return docs.join(many, id_col, "left_anti").unionByName(again.dropDuplicates([id_col]).select(*docs.columns))
+    order = [text_col, *[c for c in docs.columns if c != text_col]]
+    again = docs.join(many, id_col, "left_semi").groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(*order)).alias("row"))
+    return docs.join(many, id_col, "left_anti").unionByName(again.select("row.*").select(*docs.columns))

@@ -25,7 +25,7 @@ def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("class", "class_id")
+    return dartminhash.near_duplicates(read(spark, sf_dir, "documents"), weighted=True).withColumnRenamed("class", "class_id")
 
 
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
