@@ -1,6 +1,11 @@
-"""All registered queries of the engine's own operators, and their SQL."""
+"""All registered queries of the engine, and their SQL."""
 
-from lectern.operators import business, documents
+from lectern.operators import business, documents, extraction, records, textops
+
+_REGISTRIES = (records.query, textops.query, extraction.query)
 
 QUERIES = business.QUERIES | documents.QUERIES
 ORACLES = business.ORACLES | documents.ORACLES
+for _r in _REGISTRIES:
+    QUERIES = QUERIES | _r.queries
+    ORACLES = ORACLES | _r.oracles
