@@ -47,11 +47,14 @@ def text_search_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, words: tuple[str, ...], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score): Okapi BM25 of the query's words. One pass counts each row's words; document frequencies are aggregates of it."""
-    t = docs.select("doc_id", C.tokens(F.col("text")).alias("t"))
-    times = lambda w: F.size(F.filter("t", lambda x: x == w))
+    """(doc_id, score): Okapi BM25 of the query's words. One pass counts each row's words; document frequencies are aggregates of it.
+
+    Words are counted where they stand, without making arrays of them; rows without any of the words are told by a plain search.
+    """
+    t = docs.select("doc_id", C.fold(F.col("text")).alias("t"))
+    times = lambda w: F.when(F.col("t").contains(w), F.regexp_count("t", F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))).otherwise(0)
     tf = [times(w).alias(f"f{i}") for i, w in enumerate(words)]
-    t = t.select("doc_id", F.size("t").alias("n"), *tf)
+    t = t.select("doc_id", F.regexp_count("t", F.lit("[a-z0-9]+")).alias("n"), *tf)
     stats = t.agg(count().alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -219,19 +222,6 @@ def exact_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", p.alias("priority")).filter("priority IS NOT NULL")
 
 
-@query("""
-SELECT item_id, doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM
-(SELECT i.item_id, d.doc_id, list_distinct(list_transform(range(1, length(x) - 1), lambda k: substr(x, k, 3))) AS a, list_distinct(list_transform(range(1, length(y) - 1), lambda k: substr(y, k, 3))) AS b FROM
- (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS x, substr(text, 1, 2) AS block FROM benchmark) i
- JOIN (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 320)), '\\s+', ' ', 'g')) AS y, substr(text, 1, 2) AS block FROM documents WHERE length(text) >= 40) d USING (block)) WHERE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.3
-""")
-def jaccard_trigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items and documents' excerpts that begin alike (the block) and share three tenths of their 3-grams. jaccard_trigram_all takes whole texts."""
-    i = table(spark, sf_dir, "benchmark").select("item_id", C.ngrams(F.col("text")).alias("a"), F.substring("text", 1, 2).alias("block"))
-    d = table(spark, sf_dir, "documents").filter("length(text) >= 40").select("doc_id", C.ngrams(F.substring("text", 1, 320)).alias("b"), F.substring("text", 1, 2).alias("block"))
-    return i.join(d, "block").select("item_id", "doc_id", C.jaccard(F.col("a"), F.col("b")).alias("j")).filter("j >= 0.3").select("item_id", "doc_id", F.round("j", 6).alias("similarity"))
-
-
 def trigrams(t: str) -> set[str]:
     """C.ngrams of a text that is in lower case with single spaces, in time linear in it."""
     return {t[k : k + 3] for k in range(max(1, len(t) - 2))} if t else set()
@@ -301,10 +291,10 @@ def jaccard_trigram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY sha256(text)), doc_id) AS duplicate_of FROM documents")
 def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first row of each content stays; others point at it. Only digests are shuffled, pre-aggregated."""
+    """The first row of each content stays; others point at it. Only digests are shuffled, pre-aggregated. Null texts are one content."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    first = d.groupBy("h").agg(F.min("doc_id").alias("first"))
-    return d.join(first, "h").select("doc_id", F.nullif("first", "doc_id").alias("duplicate_of"))
+    first = d.groupBy(F.col("h").alias("k")).agg(F.min("doc_id").alias("first"))
+    return d.join(first, F.col("h").eqNullSafe(F.col("k"))).select("doc_id", F.nullif("first", "doc_id").alias("duplicate_of"))
 
 
 @query(f"""

@@ -1,8 +1,8 @@
-"""All registered queries of the engine, and their SQL."""
+"""All registered queries of the engine's own operators, and their SQL."""
 
-from lectern.operators import business, documents, extraction, records, textops
+from lectern.operators import business, corpus, documents, extraction, records, retrieval, textops, workflow
 
-_REGISTRIES = (records.query, textops.query, extraction.query)
+_REGISTRIES = [m.query for m in (records, textops, extraction, corpus, retrieval, workflow)]
 
 QUERIES = business.QUERIES | documents.QUERIES
 ORACLES = business.ORACLES | documents.ORACLES
