@@ -2,29 +2,38 @@
 
 A text holds a benchmark item if some stretch of it is within EDIT_SHARE of the item's length in edits, both normalised.
 
-1. Windows. An item with at most e edits, cut into e + 1 pieces, has a piece left whole (pigeonhole). So windows of the
-   item's size begin where a piece says so: at each place where the text holds the first SEED bytes of a piece, less the
-   piece's place in the item. Without that, every place would begin a window for every item size; nothing is lost by it.
-2. CGK. A window and the items are embedded by the same random walks: each step writes the current byte and goes on to the
+1. Windows. Each text is read once for PIECE_BLOCK pieces (some 200,000 items), and gives windows of the items' sizes. They begin at the
+   starts of words, or, with the pre-filter, only where a window within the edits allowed can begin: an item with at most e edits,
+   cut into e + 1 pieces, has a piece left whole (pigeonhole), so the first SEED bytes of some piece stand in the text, and the window begins
+   there, less the piece's place in its item. The pre-filter knows places and sizes, not items. It loses nothing that
+   verification would keep, and spares hundreds of windows for each one that it leaves.
+2. CGK. Windows and items are embedded by the same random walks: each step writes the current byte and goes on to the
    next if the walk's bit for (step, byte) says so. Few edits become few differing steps.
-3. LSH. Each of TABLES repetitions has a walk of its own and samples BITS of its steps; a window meets the items that agree
-   with it in all the steps of some repetition. recall() measures the share of edited items that meet theirs.
+3. LSH. Each of TABLES repetitions has a walk of its own and samples BITS of its steps; the sampled steps are a bucket's key. A join of
+   windows and items by (size class, repetition, key) gives the candidates: a window meets all items that fall into one of its buckets.
 4. Verification. Exact edit distance of the item to the best stretch around the window, by bit-parallel dynamic programming.
 
-Items come in blocks of ITEM_BLOCK, each sent to all executors, and every block is held against all documents.
+recall() measures the share of edited items that meet theirs in the LSH, tests the share found end to end. Items of fewer than
+SEED bytes have no windows: they are found where they stand word for word.
 """
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import texts
+from lectern.llm.common import cut, texts
 
 EDIT_SHARE, SEED = 0.08, 12
 TABLES, BITS = 32, 4
-#: Items sent to the executors at a time, and bytes of text looked at a time.
-ITEM_BLOCK, CHUNK = 5_000, 1 << 22
+#: Pieces of items (24 bytes each, some ten an item) that are sent to the executors at a time, and bytes of text looked at a time.
+PIECE_BLOCK, CHUNK = 2_000_000, 1 << 22
+#: Rows of item keys that are broadcast at most (40 bytes each); beyond, windows and items are shuffled by bucket.
+BROADCAST_KEYS = 1_000_000
+SCHEMA = "doc_id long, item_id long, edits long"
 _KEEP = bytes(c if chr(c).isalnum() and c < 128 else (c if c >= 128 else 32) for c in range(256))
 
 
@@ -97,33 +106,19 @@ def size_class(n: int) -> int:
 
 
 class Items:
-    """A block of benchmark items, ready to be looked for; small enough to broadcast."""
+    """Items ready to be met by windows of their own size; for measuring the LSH alone."""
 
     def __init__(self, rows: list[tuple[int, str]], share: float = EDIT_SHARE):
         made = [(i, normalise(t or "")) for i, t in rows]
         made = [(i, t) for i, t in made if len(t) >= SEED]
-        self.ids = [i for i, _ in made]
-        self.texts = [t for _, t in made]
-        self.most = [edits_allowed(len(t), share) for t in self.texts]
-        seeds: dict[int, list[tuple[int, int]]] = {}
-        for k, (t, e) in enumerate(zip(self.texts, self.most, strict=True)):
-            for p in range(e + 1):
-                o = p * len(t) // (e + 1)
-                seeds.setdefault(t[o : o + SEED], []).append((k, o))
-        heads, tails = (np.array([int.from_bytes(s[a : a + 8], "little") for s in seeds], np.uint64) for a in (0, SEED - 8))
-        order = np.argsort(_pair(heads, tails))
-        self.seeds = _pair(heads, tails)[order]
-        self.places = [list(seeds.values())[k] for k in order.tolist()]
-        self.bitmap = np.zeros(1 << 22, bool)
-        self.bitmap[_slot(heads)] = True
-        self.walks, self.keys = {}, {}
+        self.ids, self.texts = [i for i, _ in made], [t for _, t in made]
+        self.keys = {}
         for c in {size_class(len(t)) for t in self.texts}:
             own = [k for k, t in enumerate(self.texts) if size_class(len(t)) == c]
-            self.walks[c] = Walks(int(2 ** (c / 2)))
-            self.keys[c] = self.walks[c].keys([self.texts[k] for k in own]), np.array(own)
+            self.keys[c] = walks(c).keys([self.texts[k] for k in own]), np.array(own)
 
     def candidates(self, of: np.ndarray, windows: list[bytes]) -> np.ndarray:
-        """For windows and the items whose pieces they are anchored at: whether the two agree in a repetition."""
+        """For windows and items: whether the two agree in a repetition."""
         out = np.zeros(len(windows), bool)
         size = np.array([size_class(len(self.texts[k])) for k in of.tolist()], int)
         for c in np.unique(size):
@@ -132,13 +127,19 @@ class Items:
             row = np.searchsorted(own, of[at])
             for a in range(0, len(at), 4096):
                 b = at[a : a + 4096]
-                out[b] = (self.walks[c].keys([windows[i] for i in b]) == keys[row[a : a + 4096]]).any(axis=1)
+                out[b] = (walks(c).keys([windows[i] for i in b]) == keys[row[a : a + 4096]]).any(axis=1)
         return out
 
 
-def _slot(x: np.ndarray) -> np.ndarray:
+@cache
+def walks(c: int) -> Walks:
+    """The walks of a size class, the same in every task."""
+    return Walks(int(2 ** (c / 2)))
+
+
+def _slot(x: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+        return (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
 def _pair(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
@@ -147,90 +148,223 @@ def _pair(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
         return (head * np.uint64(0x9E3779B97F4A7C15)) ^ (tail * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _seeds_in(buffer: bytes, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the buffer where a seed begins, and which seed."""
-    places, which, raw = [], [], np.frombuffer(buffer, np.uint8)
-    for shift in range(8):
-        n = (len(buffer) - shift) // 8
-        if n <= 0:
-            continue
-        v = np.frombuffer(buffer, "<u8", n, shift)
-        hit = np.flatnonzero(items.bitmap[_slot(v)])
-        hit = hit[hit * 8 + shift + SEED <= len(buffer)]
-        if len(hit):
-            tail = raw[(hit * 8 + shift + SEED - 8)[:, None] + np.arange(8)].view("<u8")[:, 0]
-            pair = _pair(v[hit], tail)
-            s = np.searchsorted(items.seeds, pair)
-            s[s == len(items.seeds)] = 0
-            same = items.seeds[s] == pair
-            places.append(hit[same] * 8 + shift)
-            which.append(s[same])
-    return (np.concatenate(places), np.concatenate(which)) if places else (np.empty(0, int), np.empty(0, int))
-
-
-def find(raw: list[bytes], items: Items) -> list[tuple[int, int, int]]:
-    """(text, item, edits) of the items that normalised texts hold."""
-    if not len(items.seeds):
-        return []
-    gap = b"\0" * SEED
-    buffer = gap.join(raw)
-    starts = np.cumsum([0, *[len(r) + SEED for r in raw]])
-    at, which = _seeds_in(buffer, items)
-    doc = np.searchsorted(starts, at, "right") - 1
-    found: dict[tuple[int, int], int] = {}
-    windows = set()
-    for p, s, d in zip(at.tolist(), which.tolist(), doc.tolist(), strict=True):
-        for k, o in items.places[s]:
-            windows.add((d, k, p - o - int(starts[d])))
-    todo = sorted(windows)
-    near = items.candidates(np.array([k for _, k, _ in todo], int), [raw[d][max(0, w) : max(0, w + len(items.texts[k]))] for d, k, w in todo]) if todo else []
-    for (d, k, w), ok in zip(todo, near, strict=True):
-        if ok and found.get((d, k), 1) > 0:
-            e = items.most[k]
-            around = raw[d][max(0, w - e) : w + len(items.texts[k]) + e]
-            n = 0 if items.texts[k] in around else distance(items.texts[k], around)[0]
-            if n <= e:
-                found[d, k] = min(n, found.get((d, k), n))
-    return [(d, items.ids[k], n) for (d, k), n in sorted(found.items())]
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str):
-    """Items of ITEM_BLOCK rows at a time, streamed to the driver; no block grows with the benchmark."""
-    rows = items.select(F.col(id_col).cast("long"), text_col).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    block = []
-    for r in rows.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == ITEM_BLOCK:
-            yield block
-            block = []
-    yield block
-
-
-def contamination(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+class Seeds:
+    """The pre-filter: where pieces of items begin, and, for each seed, the size classes and places in the item that it stands for.
+
+    t has the columns head, tail (a seed's first and last eight bytes), class and place. classes gives for each class the greatest
+    size of its items and the most edits that one of them may have.
+    """
+
+    def __init__(self, t: pd.DataFrame, classes: dict[int, tuple[int, int]]):
+        self.classes = classes
+        t = t.drop_duplicates()
+        heads = t["head"].to_numpy().view(np.uint64)
+        pair = _pair(heads, t["tail"].to_numpy().view(np.uint64))
+        order = np.argsort(pair, kind="stable")
+        self.seeds, self.first = np.unique(pair[order], return_index=True)
+        self.first = np.append(self.first, len(order))
+        self.of_class, self.place = t["class"].to_numpy()[order], t["place"].to_numpy()[order]
+        self.bits = max(16, min(28, int(np.log2(max(1, len(t)))) + 8))
+        self.bitmap = np.zeros(1 << self.bits, bool)
+        self.bitmap[_slot(heads, self.bits)] = True
+
+    def hits(self, buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the buffer where a seed begins, and which seed."""
+        places, which, raw = [], [], np.frombuffer(buffer, np.uint8)
+        for shift in range(8 if len(self.seeds) else 0):
+            n = (len(buffer) - shift) // 8
+            if n <= 0:
+                continue
+            v = np.frombuffer(buffer, "<u8", n, shift)
+            hit = np.flatnonzero(self.bitmap[_slot(v, self.bits)])
+            hit = hit[hit * 8 + shift + SEED <= len(buffer)]
+            if len(hit):
+                tail = raw[(hit * 8 + shift + SEED - 8)[:, None] + np.arange(8)].view("<u8")[:, 0]
+                pair = _pair(v[hit], tail)
+                s = np.searchsorted(self.seeds, pair)
+                s[s == len(self.seeds)] = 0
+                same = self.seeds[s] == pair
+                places.append(hit[same] * 8 + shift)
+                which.append(s[same])
+        return (np.concatenate(places), np.concatenate(which)) if places else (np.empty(0, int), np.empty(0, int))
+
+    def windows(self, raw: list[bytes]) -> pd.DataFrame:
+        """(text, class, start) of the windows that can be within the edits allowed of an item; start may be before the text's."""
+        buffer = (b"\0" * SEED).join(raw)
+        starts = np.cumsum([0, *[len(r) + SEED for r in raw]])
+        at, which = self.hits(buffer)
+        n = self.first[which + 1] - self.first[which]
+        row = np.repeat(np.arange(len(at)), n)
+        entry = np.repeat(self.first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        doc = (np.searchsorted(starts, at, "right") - 1)[row]
+        out = pd.DataFrame({"text": doc, "class": self.of_class[entry], "start": at[row] - self.place[entry] - starts[doc]})
+        return out.drop_duplicates()
+
+
+def word_windows(raw: list[bytes], classes: dict[int, tuple[int, int]]) -> pd.DataFrame:
+    """(text, class, start) of windows of every class at the start of every word."""
+    rows = [(d, c, p) for d, r in enumerate(raw) for p in [0, *(np.flatnonzero(np.frombuffer(r, np.uint8) == 32) + 1).tolist()] for c in classes]
+    return pd.DataFrame(rows, columns=["text", "class", "start"])
+
+
+def _normalised(items: DataFrame, share: float, id_col: str, text_col: str) -> DataFrame:
+    """(key, item_id, item, class, most) of items with an id and a text that isn't empty; key tells repeated ids apart."""
+
+    def run(frames):
+        for f in frames:
+            item = [normalise(t) for t in f["text"]]
+            size = [len(t) for t in item]
+            yield pd.DataFrame({"item_id": f["item_id"], "item": item, "class": [size_class(n) for n in size], "most": [edits_allowed(n, share) for n in size]}).loc[np.array(size, int) > 0]
+
+    rows = items.select(items[id_col].cast("long").alias("item_id"), items[text_col].cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    return cut(rows.mapInPandas(run, "item_id long, item binary, class int, most int").withColumn("key", F.monotonically_increasing_id()))
+
+
+def pieces(item: bytes, edits: int) -> list[bytes]:
+    """The item cut into one piece more than the edits allowed."""
+    return [item[k * len(item) // (edits + 1) : (k + 1) * len(item) // (edits + 1)] for k in range(edits + 1)]
+
+
+def _seeds(made: DataFrame) -> DataFrame:
+    """(head, tail, class, place) of every piece of every item."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for t, c, e in zip(f["item"], f["class"], f["most"], strict=True):
+                for k in range(e + 1):
+                    o = k * len(t) // (e + 1)
+                    seed = t[o : o + SEED]
+                    if len(seed) == SEED:
+                        rows.append((int.from_bytes(seed[:8], "little", signed=True), int.from_bytes(seed[-8:], "little", signed=True), c, o))
+            yield pd.DataFrame(rows, columns=["head", "tail", "class", "place"])
+
+    return made.select("item", "class", "most").mapInPandas(run, "head long, tail long, class int, place int")
+
+
+def _keys(strings: DataFrame, column: str, keep: list[str], schema: str) -> DataFrame:
+    """keep, class and keys, a bucket key for each repetition, of the strings in a column."""
+
+    def run(frames):
+        for f in frames:
+            for c, own in f.groupby("class"):
+                for a in range(0, len(own), 4096):
+                    part = own.iloc[a : a + 4096]
+                    keys = walks(int(c)).keys(part[column].tolist()).astype(np.int64)
+                    yield part[keep].assign(**{"class": np.int32(c), "keys": list(keys)})
+
+    return strings.mapInPandas(run, f"{schema}, class int, keys array<long>")
+
+
+def _windows(docs: DataFrame, sent, classes: dict[int, tuple[int, int]]) -> DataFrame:
+    """(window, row, doc_id, class, keys, around): every window of the texts with its bucket keys and the stretch around it; cut from its lineage.
+
+    row tells the rows of docs apart. sent: broadcast Seeds, or None for windows at the starts of words.
+    """
+
+    def run(frames):
+        pid, row, made = TaskContext.get().partitionId() << 33, 0, 0
+        for f in frames:
+            ids, raw, size, at = f["doc_id"].astype("Int64"), [], 0, 0
+            for i, t in enumerate(f["text"]):
+                raw.append(normalise(t))
+                size += len(raw[-1])
+                if size <= CHUNK and i + 1 < len(f):
+                    continue
+                w = word_windows(raw, classes) if sent is None else sent.value.windows(raw)
+                for c, own in w.groupby("class"):
+                    most, e = classes[int(c)]
+                    for a in range(0, len(own), 4096):
+                        part = own.iloc[a : a + 4096]
+                        d, start = part["text"].to_numpy(), part["start"].to_numpy()
+                        pieces = [raw[x][max(0, s) : max(0, s + most)] for x, s in zip(d, start, strict=True)]
+                        yield pd.DataFrame({
+                            "window": pid + made + np.arange(len(part)), "row": pid + row + at + d, "doc_id": ids.iloc[at + d].to_numpy(), "class": np.int32(c), "keys": list(walks(int(c)).keys(pieces).astype(np.int64)),
+                            "around": [raw[x][max(0, s - e) : max(0, s + most + e)] for x, s in zip(d, start, strict=True)],
+                        })
+                        made += len(part)
+                raw, size, at = [], 0, i + 1
+            row += len(f)
+
+    return cut(docs.mapInPandas(run, "window long, row long, doc_id long, class int, keys array<long>, around binary"))
+
+
+def _verified(candidates: DataFrame) -> DataFrame:
+    """(row, doc_id, item_id, edits) of (row, doc_id, item_id, item, most, around) within most edits."""
+
+    def run(frames):
+        known: dict[tuple[bytes, bytes], int] = {}
+        for f in frames:
+            edits = []
+            for item, around, e in zip(f["item"], f["around"], f["most"].tolist(), strict=True):
+                if item in around:
+                    edits.append(0)
+                    continue
+                if not any(p in around for p in pieces(item, e)):  # no piece left whole: more than e edits, so the distance needn't be worked out
+                    edits.append(e + 1)
+                    continue
+                if (n := known.get((item, around))) is None:
+                    known = {} if len(known) >= 10_000 else known
+                    n = known[item, around] = distance(item, around)[0]
+                edits.append(n)
+            out = f[["row", "doc_id", "item_id"]].assign(edits=edits)
+            yield out.loc[np.array(edits, int) <= f["most"].to_numpy()]
+
+    return candidates.select("row", "doc_id", "item_id", "item", "most", "around").mapInPandas(run, "row long, doc_id long, item_id long, edits long")
+
+
+def _short(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, doc_id, item_id, edits) of items of fewer than SEED bytes where they stand word for word; no row twice. items: (item, item_id), PIECE_BLOCK at most."""
+    names: dict[bytes, set[int]] = {}
+    for r in items.toLocalIterator():
+        names.setdefault(bytes(r["item"]), set()).add(r["item_id"])
+    sent, sizes = docs.sparkSession.sparkContext.broadcast(names), sorted({len(x.split()) for x in names})
+
+    def run(frames):
+        pid, row = TaskContext.get().partitionId() << 33, 0
+        for f in frames:
+            out = []
+            for i, t in zip(f["doc_id"].astype(object), f["text"], strict=True):
+                words = normalise(t).split()
+                found = {b" ".join(words[k : k + n]) for n in sizes for k in range(len(words) - n + 1)} & sent.value.keys()
+                out += [(pid + row, None if pd.isna(i) else int(i), item, 0) for x in found for item in sent.value[x]]
+                row += 1
+            yield pd.DataFrame(out, columns=["row", "doc_id", "item_id", "edits"]).astype({"row": "int64", "doc_id": "Int64", "item_id": "int64", "edits": "int64"})
+
+    return docs.mapInPandas(run, "row long, doc_id long, item_id long, edits long")
+
+
+def contamination(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", prefilter: bool = True) -> DataFrame:
     """(doc_id, item_id, edits): each item that each row's whole text holds within its edits, with the least edits found.
 
-    Items of fewer than SEED normalised bytes, null items and null texts match nothing. Repeated rows give repeated matches.
-    No shuffle: documents are read once for each block of items.
+    Null texts are empty. Null items, and items and texts without letters or digits, match nothing; an item id that repeats stands
+    for all its texts. Repeated rows give repeated matches; rows with a null id stay. Empty tables give no rows. Other columns
+    are left out, whatever their names. Items of fewer than SEED bytes are found word for word.
+
+    docs is to be read from files or a checkpoint: once for each PIECE_BLOCK pieces of items (and once for short items, if there are any).
+    Without the pre-filter, windows begin at every word, which costs hundreds of times more.
     """
+    spark = docs.sparkSession
     d = texts(docs, id_col, text_col)
-    out = None
-    for block in _blocks(items, item_id, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(Items(block, share))
-
-        def run(frames, sent=sent):
-            for f in frames:
-                ids, raw, size, at = f["doc_id"].to_numpy(), [], 0, 0
-                rows = []
-                for i, t in enumerate(f["text"]):
-                    raw.append(normalise(t))
-                    size += len(raw[-1])
-                    if size > CHUNK or i + 1 == len(f):
-                        rows += [(ids[at + k], item, n) for k, item, n in find(raw, sent.value)]
-                        raw, size, at = [], 0, i + 1
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits"]).astype({"doc_id": "Int64", "item_id": "int64", "edits": "int64"})
-
-        part = d.mapInPandas(run, "doc_id long, item_id long, edits long")
-        out = part if out is None else out.unionByName(part)
+    made = _normalised(items, share, item_id, item_text)
+    n, pieces = made.agg(F.count("*"), F.coalesce(F.sum(F.col("most") + 1), F.lit(0))).first()
+    blocks, out = -(-pieces // PIECE_BLOCK), spark.createDataFrame([], SCHEMA)
+    for k in range(blocks):
+        block = made if blocks == 1 else made.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        long, brief = block.filter(F.octet_length("item") >= SEED), block.filter(F.octet_length("item") < SEED)
+        found = _short(d, brief.select("item", "item_id")) if brief.limit(1).count() else None
+        classes = {r["class"]: (r["size"], r["most"]) for r in long.groupBy("class").agg(F.max(F.octet_length("item")).alias("size"), F.max("most").alias("most")).collect()}
+        if classes:
+            sent = spark.sparkContext.broadcast(Seeds(_seeds(long).toArrow().to_pandas(), classes)) if prefilter else None
+            windows = _windows(d, sent, classes)
+            keys = _keys(long.select("key", "item", "class"), "item", ["key"], "key long").select("key", "class", F.posexplode("keys").alias("repetition", "bucket"))
+            keys = F.broadcast(keys) if n * TABLES <= BROADCAST_KEYS else keys
+            met = windows.select("window", "class", F.posexplode("keys").alias("repetition", "bucket")).join(keys, ["class", "repetition", "bucket"]).select("window", "key").distinct()
+            candidates = met.join(windows.select("window", "row", "doc_id", "around"), "window").join(long.select("key", "item_id", "item", "most"), "key")
+            near = _verified(candidates)
+            found = near if found is None else found.unionByName(near)
+        if found is not None:
+            out = out.unionByName(found.groupBy("row", "doc_id", "item_id").agg(F.min("edits").alias("edits")).select("doc_id", "item_id", "edits"))
     return out
 
 
