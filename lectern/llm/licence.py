@@ -1,16 +1,20 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines. A sparse multinomial logistic regression over word 1-grams to 3-grams gives each paragraph a licence
+A paragraph is a line, and also a run of lines that are wrapped: up to a blank line or to a line that ends a sentence. A sparse
+multinomial logistic regression over word 1-grams to 3-grams gives each paragraph a licence
 family or unknown; it is trained on templates, their excerpts and noisy copies, and on paragraphs of the corpus as
 unknown. Its scores are calibrated by a temperature fitted on held-out rows, a family is named at a calibrated probability of
 ACCEPT or more, and the prediction is confirmed if enough of the nearest template's word pairs are in the paragraph.
 
-Only paragraphs that hold a cue word of the templates are scored: without one every n-gram feature of a family is absent.
+Every paragraph of every text is scored. A wrapped run is reported as one where none of its lines is named by itself.
 """
 
+import bisect
 import math
 import re
+import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -59,16 +63,11 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "reserved": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher."],
 }
-#: Words one of which is in any declaration.
-CUES = (
-    "license", "licensed", "licence", "licenced", "licenses", "spdx", "copyright", "copyrighted", "permission", "permitted", "redistribution", "redistribute",
-    "gnu", "gpl", "mit", "apache", "bsd", "cc", "creative", "commons", "rights", "warranties", "warranty", "contributors",
-)
 UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
 BITS, NGRAM = 16, 3
-#: Unknown paragraphs that are sampled for training: about SAMPLE with a cue word (by least hash of id and text) and as many without.
-SAMPLE = 2_000
+#: Documents that are sampled for training (by hash of id and text, of SAMPLE_CHARS at most), and lines of them that are taken as unknown.
+SAMPLE, SAMPLE_CHARS, UNKNOWN_LINES = 1_000, 20_000, 4_000
 ACCEPT, CONFIRM = 0.7, 0.5
 #: A paragraph of more words is scored in windows of so many, half of each shared with the next.
 WINDOW = 60
@@ -79,12 +78,32 @@ def words(paragraph: str) -> list[str]:
     return _WORD.findall(paragraph.lower())
 
 
+@cache
+def _code(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
+def codes(ws: list[str]) -> np.ndarray:
+    """Numbers of words; a worker remembers those of a million words, then begins anew."""
+    if _code.cache_info().currsize > 1_000_000:
+        _code.cache_clear()
+    return np.fromiter(map(_code, ws), np.uint64, len(ws))
+
+
+def _mixed(x: np.ndarray, n: int) -> np.ndarray:
+    """The hashed feature of each n-gram of word numbers."""
+    with np.errstate(over="ignore"):
+        h = np.full(max(0, len(x) - n + 1), np.uint64(n) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+        for k in range(n):
+            h = (h ^ x[k : k + len(h)]) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def features(ws: list[str]) -> np.ndarray:
     """Hashed distinct word 1- to NGRAM-grams."""
-    import zlib
-
-    grams = {" ".join(ws[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(ws) - n + 1)}
-    return np.array(sorted({zlib.crc32(g.encode()) & ((1 << BITS) - 1) for g in grams}), np.int64)
+    x = codes(ws)
+    return np.unique(np.concatenate([_mixed(x, n) for n in range(1, NGRAM + 1)]))
 
 
 class Model:
@@ -98,11 +117,24 @@ class Model:
         f = features(ws)
         return self.weights[f].sum(axis=0) / math.sqrt(max(1, len(f))) + self.bias
 
-    def predict(self, paragraph: str) -> tuple[str, float, float]:
-        """(family, calibrated probability, share of the nearest of its templates that the paragraph holds)."""
-        ws = words(paragraph)
-        z = self.scores(ws) / self.temperature
-        p = np.exp(z - z.max())
+    def many(self, x: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """scores() of many paragraphs at once: x has the words' numbers, parts the (start, stop) of each paragraph in it, none empty."""
+        n = np.maximum(parts[:, 1] - parts[:, 0], 0)
+        pairs = []
+        for size in range(1, NGRAM + 1):
+            grams, m = _mixed(x, size), np.maximum(n - size + 1, 0)
+            own = np.repeat(np.arange(len(parts)), m)
+            at = np.repeat(parts[:, 0] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            pairs.append((own << BITS) | grams[at])
+        pairs = np.unique(np.concatenate(pairs))
+        own = pairs >> BITS
+        first = np.searchsorted(own, np.arange(len(parts)))
+        sums = np.add.reduceat(self.weights[pairs & ((1 << BITS) - 1)], first, axis=0)
+        return sums / np.sqrt(np.diff(np.append(first, len(pairs))))[:, None] + self.bias
+
+    def named(self, z: np.ndarray, ws: list[str]) -> tuple[str, float, float]:
+        """What predict() gives, of scores and words."""
+        p = np.exp((z - z.max()) / self.temperature)
         p /= p.sum()
         k = int(p.argmax())
         if k == 0 or p[k] < ACCEPT:
@@ -110,6 +142,11 @@ class Model:
         own = _pairs(ws)
         return FAMILIES[k], float(p[k]), max(len(own & t) / len(t) for f, t in self.pairs if f == FAMILIES[k])
 
+    def predict(self, paragraph: str) -> tuple[str, float, float]:
+        """(family, calibrated probability, share of the nearest of its templates that the paragraph holds)."""
+        ws = words(paragraph)
+        return self.named(self.scores(ws), ws)
+
 
 def _pairs(ws: list[str]) -> set:
     return set(zip(ws, ws[1:], strict=False)) or {(w,) for w in ws}
@@ -171,63 +208,108 @@ def fit(rows: list[tuple[str, int]], rounds: int = 60, seed: int = 0) -> Model:
     return model
 
 
-def pieces(line: str) -> list[tuple[int, int]]:
-    """A paragraph, or its windows if it is long: [(start, stop)]."""
-    at = [(x.start(), x.end()) for x in re.finditer(r"\S+", line)]
-    if len(at) <= WINDOW:
-        return [(0, len(line))]
-    return [(at[i][0], at[min(i + WINDOW, len(at)) - 1][1]) for i in range(0, len(at) - WINDOW // 2, WINDOW // 2)]
+_ENDS = re.compile(r"[.!?:;|]\s*$")
 
 
-def cued(column: str):
-    """Whether a text holds a cue word."""
-    return F.lower(column).rlike(r"\b(" + "|".join(CUES) + r")\b")
+def paragraphs(text: str) -> list[tuple[int, int, int, int]]:
+    """(first line, start, stop, number of lines) of every line with a character that isn't white space, and of every wrapped run of two such lines or more."""
+    out, run, at = [], [], 0
 
+    def close():
+        if len(run) > 1:
+            out.append((run[0][0], run[0][1], run[-1][2], len(run)))
+        run.clear()
 
-def unknown_sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
-    """Paragraphs of the corpus that hold no template's word pair run: about most with a cue, and as many without, by least hash.
+    for k, line in enumerate(text.split("\n")):
+        if line.strip():
+            out.append((k, at, at + len(line), 1))
+            run.append(out[-1])
+            if _ENDS.search(line):
+                close()
+        else:
+            close()
+        at += len(line) + 1
+    close()
+    return out
 
-    It is the classifier's bounded sample of unknown rows; scoring covers all rows.
-    """
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("length(line) BETWEEN 1 AND 2000")
-    key, cue = F.xxhash64("doc_id", "line"), re.compile(r"\b(?:" + "|".join(CUES) + r")\b")
-    out = sorted(r.line for r in sample_by_hash(lines.filter(cued("line")), key, most).select("line").collect())
-    out += sorted(r.line for r in sample_by_hash(lines, key, most).select("line").collect() if not cue.search(r.line.lower()))
+
+def pieces(tokens: list, start: int, stop: int) -> list[tuple[int, int]]:
+    """A paragraph's words from start to stop, or windows of WINDOW of them, half shared with the next, if there are more."""
+    if stop - start <= WINDOW:
+        return [(start, stop)] if stop > start else []
+    return [(i, min(i + WINDOW, stop)) for i in range(start, stop - WINDOW // 2, WINDOW // 2)]
+
+
+def unknown_sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
+    """Lines of about most documents that hold no template's word pair run: the classifier's bounded sample of unknown rows; scoring covers all rows."""
+    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS))
+    rows = sample_by_hash(short, F.xxhash64("doc_id", "text"), most).select("text").collect()
+    lines = sorted({x for r in rows for x in r.text.split("\n") if x.strip()}, key=lambda x: zlib.crc32(x.encode()))[:UNKNOWN_LINES]
     known = [_pairs(words(t)) for ts in TEMPLATES.values() for t in ts]
     clear = lambda t: all(len(_pairs(words(t)) & p) <= 0.2 * len(p) for p in known)
-    return [t for t in out if clear(t)]
+    return [t for t in lines if clear(t)]
+
+
+#: Words that are scored at a time.
+BATCH = 50_000
+
+
+def scan_texts(all_texts: list[str], m: Model):
+    """(text, line_no, family, probability, similarity, start, stop) of every named paragraph of some texts, in order."""
+    x, parts, about, spans, at = [], [], [], [], 0
+    for d, t in enumerate(all_texts):
+        tokens = [(w.start(), w.end()) for w in _WORD.finditer(t.lower())] if len(t.lower()) == len(t) else [(w.start(), w.end()) for w in _WORD.finditer("".join(c.lower() if len(c.lower()) == 1 else c for c in t))]
+        begins = [a for a, _ in tokens]
+        for line, start, stop, n in paragraphs(t):
+            i, j = bisect.bisect_left(begins, start), bisect.bisect_left(begins, stop)
+            whole = j - i <= WINDOW
+            for a, b in pieces(tokens, i, j):
+                parts.append((at + a, at + b))
+                about.append((d, line, n, start if whole else tokens[a][0], stop if whole else tokens[b - 1][1]))
+        x += [t[a:b].lower() for a, b in tokens]
+        at += len(tokens)
+    if not parts:
+        return []
+    z = m.many(codes(x), np.array(parts))
+    p = z / m.temperature
+    p = p - np.log(np.exp(p - p.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - p.max(axis=1, keepdims=True)
+    found = []
+    for k in np.flatnonzero((p.argmax(axis=1) > 0) & (p.max(axis=1) >= math.log(ACCEPT) - 1e-9)).tolist():
+        family, sure, like = m.named(z[k], x[parts[k][0] : parts[k][1]])
+        if family != UNKNOWN:
+            found.append((about[k], family, sure, like))
+    lines: dict[int, list[int]] = {}
+    for (d, line, n, _, _), _, _, like in found:
+        if n == 1 and like >= CONFIRM:
+            lines.setdefault(d, []).append(line)
+    out = []
+    for (d, line, n, a, b), family, sure, like in found:
+        if n == 1 or not any(line <= k < line + n for k in lines.get(d, ())):
+            out.append((d, line, family, sure, like, a, b))
+    return sorted(out, key=lambda r: (r[0], r[5], r[6]))
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, family, probability, similarity, confirmed, start, stop) of every paragraph of a family, in whole texts.
 
-    line_no counts from 0, start and stop are code points. Null and empty texts have none; repeated rows repeat theirs; a
-    null id stays. No shuffle; the model, of a fixed size, is broadcast.
+    line_no counts from 0 and is a wrapped run's first line; start and stop are code points. Null and empty texts have none; repeated rows repeat theirs; a
+    null id stays. An empty table gives no rows. Other columns are left out, whatever their names. No shuffle; the model, of a fixed size, is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    d = texts(docs, id_col, text_col).filter(cued("text"))
+    d = texts(docs, id_col, text_col)
 
     def run(frames):
         m = sent.value
-        cue, known = re.compile(r"\b(?:" + "|".join(CUES) + r")\b"), {}
         for f in frames:
-            rows = []
-            for i, t in zip(f["doc_id"].astype(object), f["text"], strict=True):
-                at = 0
-                for k, line in enumerate(t.split("\n")):
-                    for a, b in pieces(line) if cue.search(line.lower()) else ():
-                        part = line[a:b]
-                        if not cue.search(part.lower()):
-                            continue
-                        if (got := known.get(part)) is None:
-                            got = m.predict(part)
-                            if len(known) < 10_000 and len(part) < 500:
-                                known[part] = got
-                        if got[0] != UNKNOWN:
-                            rows.append((None if pd.isna(i) else int(i), k, got[0], got[1], got[2], got[2] >= CONFIRM, at + a, at + b))
-                    at += len(line) + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "line_no", "family", "probability", "similarity", "confirmed", "start", "stop"])
-            yield out.astype({"doc_id": "Int64", "line_no": "int64", "start": "int64", "stop": "int64", "probability": float, "similarity": float, "confirmed": bool})
+            ids, whole, size, at = f["doc_id"].astype(object).tolist(), f["text"].tolist(), 0, 0
+            for i, t in enumerate(whole):
+                size += len(t) // 5
+                if size < BATCH and i + 1 < len(whole):
+                    continue
+                rows = [(None if pd.isna(ids[at + k]) else int(ids[at + k]), line, family, sure, like, like >= CONFIRM, a, b) for k, line, family, sure, like, a, b in scan_texts(whole[at : i + 1], m)]
+                out = pd.DataFrame(rows, columns=["doc_id", "line_no", "family", "probability", "similarity", "confirmed", "start", "stop"])
+                yield out.astype({"doc_id": "Int64", "line_no": "int64", "start": "int64", "stop": "int64", "probability": float, "similarity": float, "confirmed": bool})
+                size, at = 0, i + 1
 
     return d.mapInPandas(run, "doc_id long, line_no long, family string, probability double, similarity double, confirmed boolean, start long, stop long")
 
