@@ -1,5 +1,6 @@
 """What the operators share: tables, the shared folder, and the columns they take."""
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, as in local tests, a temporary one is set."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one is set if all runs on this machine, as in tests; on a cluster that is an error."""
     to = spark.conf.get("spark.checkpoint.dir", None)
     if not to:
         got = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        if not got and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: name a folder there that the driver and all executors share")
         to = got or tempfile.mkdtemp(prefix="lectern-")
         if not got:
             spark.sparkContext.setCheckpointDir(to)

@@ -26,6 +26,8 @@ EPOCH = "1970-01-01T00:00:00Z"
 
 #: An archive is closed once it has so many compressed bytes; the reader holds one archive at a time.
 ARCHIVE_BYTES = 8 << 20
+#: Repeated digests (about 80 bytes each) that are broadcast at most.
+BROADCAST_DIGESTS = 500_000
 
 READ_SCHEMA = (
     "archive string, start long, stop long, kind string, reason string, record_type string, page_id long, url string, "
@@ -218,12 +220,14 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of the pages with one payload of least_bytes or more, that with the largest page_id is written in full and the others
     refer to it. Repeated rows of that page are all written in full, as are pages with a null id. A null html is an empty payload.
-    Hashes of the payloads are counted before any shuffle; the join is by digest, and AQE splits a hot one.
+    Hashes of the payloads are counted before any shuffle. Only repeated ones go on, as broadcast while there are few, so that no payload
+    is shuffled; beyond, payloads are joined by digest, and AQE splits a hot one.
     """
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("sha1", F.sha1("payload"))
     last = p.filter(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha1", "last")
-    p = p.join(last, "sha1", "left")
+    last = cut(last)
+    p = p.join(F.broadcast(last) if last.count() <= BROADCAST_DIGESTS else last, "sha1", "left")
     return p.select("page_id", "url", "payload", base32("sha1").alias("digest"), F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to"))
 
 
@@ -241,11 +245,18 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes the pages as archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A revisit's payload_bytes are those of the response with its digest, as read back. Gaps, of which a fresh archive has none, give no rows.
+    An empty table gives no rows. Other columns are left out, whatever their names.
     """
     spark = pages.sparkSession
     to = fresh_path(spark, "warc")
     write_archives(with_revisits(pages, least_bytes), to).count()
     got = read_archives(spark, to, with_payload=False).filter("kind = 'record'")
-    got = got.select("page_id", "payload_digest", "record_type", "refers_to", "payload_bytes")
-    sizes = got.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
-    return got.join(sizes, "payload_digest", "left").select("page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    got = cut(got.select("page_id", "payload_digest", "record_type", "refers_to", "payload_bytes"))  # archives are read once
+    # only what is revisited needs its response's size, and only revisits need one
+    revisits, responses = got.filter("record_type = 'revisit'"), got.filter("record_type = 'response'")
+    asked = cut(revisits.select("payload_digest").distinct())
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_DIGESTS else asked
+    sizes = cut(responses.join(asked, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_DIGESTS else sizes
+    again = revisits.join(sizes, "payload_digest", "left").select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(again)
