@@ -19,6 +19,8 @@ CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 #: So many missing ids (about 16 bytes each) are sent to every executor at most; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: A text is hot if its copies are more than one in so many rows.
+HOT = 2_000
 
 
 @cache
@@ -77,12 +79,18 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, id_col: str =
     Documents are read for digests (no text is shuffled), then again for the misses. Rows with a null id are counted too;
     a row stands for its digest by its id (0 for null), so among rows of one digest that with the least id is encoded. Appending is one Parquet commit; a run that fails before it leaves the cache as it was, and one repeated after it
     finds the counts. Two runs at once may append the same count twice; the reader takes one a digest.
+
+    Counts of texts that make up more than 1 in HOT of all rows, of which there are fewer than HOT, are broadcast, and their rows
+    are dealt by id instead of by digest, so no text's copies meet in one task. An empty table gives no rows. Other columns are
+    left out, whatever their names.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
     d = texts(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("row", F.coalesce("doc_id", F.lit(0).cast("long")))
     known = open_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    missing = cut(d.groupBy("digest").agg(F.min("row").alias("rep")).join(known, "digest", "left_anti"))
+    each = cut(d.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("n")))
+    n_rows = each.agg(F.sum("n")).first()[0] or 0
+    missing = cut(each.join(known, "digest", "left_anti").select("digest", "rep"))
     n_missing = missing.count()
     if n_missing:
         keys = missing.select("rep")
@@ -91,8 +99,15 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, id_col: str =
         counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = open_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     fresh = missing.select("digest", F.lit(False).alias("cached"))
-    rows = d.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(counts, "digest").join(fresh, "digest", "left").select("doc_id", "digest", "n_bytes", "n_tokens", F.coalesce("cached", F.lit(True)).alias("cached"))
+    counts = each.select("digest", "n").join(counts, "digest").join(fresh, "digest", "left")
+    counts = cut(counts.select("digest", "n_tokens", F.coalesce("cached", F.lit(True)).alias("cached"), (F.col("n") * HOT > n_rows).alias("hot")))
+    hot = counts.filter("hot").select(F.col("digest").alias("d"), F.col("n_tokens").alias("hot_tokens"), F.col("cached").alias("hot_cached"))
+    rest = counts.filter("NOT hot").select(F.col("digest").alias("k"), "n_tokens", "cached")
+    rows = d.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(F.broadcast(hot), F.col("digest") == F.col("d"), "left")
+    # a key of eight bytes meets no digest, which has 32
+    rows = rows.withColumn("by", F.when(F.col("d").isNull(), F.col("digest")).otherwise(F.unhex(F.lpad(F.hex(F.xxhash64("doc_id", F.monotonically_increasing_id())), 16, "0"))))
+    rows = rows.join(rest, F.col("by") == F.col("k"), "left")
+    return rows.select("doc_id", "digest", "n_bytes", F.coalesce("n_tokens", "hot_tokens").alias("n_tokens"), F.coalesce("cached", "hot_cached").alias("cached"))
 
 
 def cold_cache(spark: SparkSession) -> str:
