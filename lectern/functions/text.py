@@ -419,9 +419,14 @@ def redact_kinds(c: Column, amounts: bool = True, personal: bool = True) -> Colu
 INJECTIONS = (
     ("ignore_previous_instructions", r"(?i)\b(?:ignora|ignore|disregard|olvida|forget)\b[^\n]{0,40}\b(?:instrucciones?|instructions?|preceding|anterior|previo)\b", 0.95),
     ("you_are_now", r"(?i)\b(?:you are now|ahora eres|from now on|a partir de ahora)\b[^\n]{0,80}\b(?:assistant|chatbot|jailbreak|DAN|evil|unrestricted)\b", 0.90),
-    ("chat_marker", r"<\|(?:im_start|im_end|endoftext|system|user|assistant)\|>", 0.99),
+    ("system_role_marker", r"(?i)\b(?:^|\n)\s*(system|assistant|user)\s*:\s*[A-Z]", 0.85),
+    ("openai_chat_ml", r"<\|(?:im_start|im_end|endoftext|system|user|assistant)\|>", 0.99),
+    ("tool_call_marker", r"\{[^{}]*?[\"']?(?:name|function|arguments|tool)[\"']?\s*:", 0.85),
     ("output_secrets", r"(?i)\b(?:output|print|reveal|expose|return|dump|leak)\b[^\n]{0,40}\b(?:api[_\s]?key|secret|password|token|credential|system[_\s]?prompt)\b", 0.90),
     ("bypass_safety", r"(?i)\b(?:bypass|jailbreak|skip|disable|override)\b[^\n]{0,40}\b(?:safety|filter|guardrail|restriction|policy|rule)\b", 0.85),
+    ("fake_tool_invocation", r"(?i)\b(?:call|invoke|run|execute)\b[^\n]{0,30}\b(?:tool|function|action)\b[^\n]{0,30}\b(?:with|using)\b[^\n]{0,80}", 0.80),
+    ("system_prompt_exfiltration", r"(?i)\b(?:output|print|reveal|expose|dump|leak|repeat|copy)\b[^\n]{0,40}\b(?:system[_\s]?prompt|developer[_\s]?policy|hidden[_\s]?instructions)\b", 0.80),
+    ("exfiltrate_data", r"(?i)\b(?:send|email|post|upload|transmit)\b[^\n]{0,40}\b(?:to|at)\b[^\n]{0,80}\b(?:http|https|@|\.com|attacker)\b", 0.85),
 )
 #: Least score to act on, by sensitivity.
 SENSITIVITY = {"low": 0.95, "medium": 0.80, "high": 0.50}

@@ -270,9 +270,22 @@ JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l2 ON l1.l_partkey =
 """)
 def shared_reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that share at least two parts."""
-    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = x.select(F.col("l_orderkey").alias("a"), "l_partkey"), x.select(F.col("l_orderkey").alias("b"), "l_partkey")
-    return a.join(b, "l_partkey").filter("a < b").groupBy("a", "b").agg(count().alias("shared")).filter("shared >= 2")
+    return sharing(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("ref")))
+
+
+def sharing(mentions: DataFrame) -> DataFrame:
+    """(a, b, shared): the documents that share two references or more, of mentions (doc, ref).
+
+    They meet by pairs of references instead of by one: what two documents with s shared references have in common is s (s - 1) / 2
+    pairs, so a reference that half of all documents hold makes no pairs of documents that aren't in the result. A document's
+    own references are collected, so they are to be few (an order has some lines).
+    """
+    refs = mentions.filter("doc IS NOT NULL AND ref IS NOT NULL").groupBy("doc").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    two = F.flatten(F.transform("refs", lambda x, i: F.transform(F.slice("refs", i + 2, F.size("refs")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    keys = refs.select("doc", F.explode(two).alias("k")).select("doc", "k.x", "k.y")
+    a, b = keys.select(F.col("doc").alias("a"), "x", "y"), keys.select(F.col("doc").alias("b"), "x", "y")
+    n = a.join(b, ["x", "y"]).filter("a < b").groupBy("a", "b").agg(count().alias("n"))
+    return n.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("shared"))
 
 
 def hops(edges: DataFrame, most: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import columns as C
-from lectern.operators.business import GROSS, GROSS_SQL, count, money
+from lectern.operators.business import GROSS, GROSS_SQL, count, money, sharing
 from lectern.operators.registry import Registry
 from lectern.sources.tables import table
 
@@ -246,10 +246,10 @@ WITH {BUDGETS_SQL}, t AS (SELECT id AS at FROM budgets)
 SELECT number, lag(number) OVER (ORDER BY id) AS before, lead(number) OVER (ORDER BY id) AS after FROM budgets
 """)
 def neighbouring_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The number before and after each, by id: ranges of ids are sorted apart, and each range's ends are joined to its neighbours'."""
-    b = budgets(spark, sf_dir).select("id", "number").repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    """The number before and after each, by id: runs of 100,000 ids are sorted apart, and each run's ends are joined to its neighbours'."""
+    b = budgets(spark, sf_dir).select("id", "number", F.floor(F.col("id") / 100_000).alias("part"))
     ends = b.groupBy("part").agg(F.min_by("number", "id").alias("first"), F.max_by("number", "id").alias("last"))
-    w = W.orderBy("part")  # one row a partition
+    w = W.orderBy("part")  # one row a run
     ends = ends.select("part", F.lag("last").over(w).alias("left"), F.lead("first").over(w).alias("right"))
     own = W.partitionBy("part").orderBy("id")
     rows = b.select("part", "number", F.lag("number").over(own).alias("lag"), F.lead("number").over(own).alias("lead")).join(ends, "part")
@@ -406,3 +406,40 @@ def revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = o.withColumn("o", F.lit(1)).alias("o").join(n.withColumn("n", F.lit(1)).alias("n"), ["parent_id", "line"], "full")
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when((F.col("o.quantity") != F.col("n.quantity")) | (F.col("o.reference") != F.col("n.reference")), "changed")
     return both.select("parent_id", "line", change.alias("change"), F.col("o.quantity").alias("before"), F.col("n.quantity").alias("after")).filter("change IS NOT NULL")
+
+
+@query(f"""
+WITH {LINES_SQL}, m AS (SELECT DISTINCT parent_id AS doc, reference AS ref FROM lines), n AS (SELECT doc, count(*) AS n FROM m GROUP BY 1),
+s AS (SELECT a.doc AS a, b.doc AS b, count(*) AS shared FROM m a JOIN m b ON a.ref = b.ref AND a.doc < b.doc GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6)::DOUBLE AS confidence, CASE WHEN shared / (x.n + y.n - shared) >= 0.5 THEN 'verified' ELSE 'pending' END AS status FROM s JOIN n x ON x.doc = a JOIN n y ON y.doc = b
+""")
+def proposed_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of documents that share two references or more, as sure as the Jaccard similarity of their references."""
+    m = lines(spark, sf_dir).select(F.col("parent_id").alias("doc"), F.col("reference").alias("ref")).distinct()
+    n = m.groupBy("doc").agg(count().alias("n"))
+    rows = sharing(m).join(n.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
+    c = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    return rows.select("a", "b", "shared", F.round(c, 6).alias("confidence"), F.when(c >= 0.5, "verified").otherwise("pending").alias("status"))
+
+
+def entity_id(tenant: str, name: str) -> Column:
+    """A number of 60 bits out of an entity's key, so that runs at once, or a run again, give one entity one id."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("\x01", F.coalesce(F.col(tenant).cast("string"), F.lit("")), name), 256), 1, 15), 16, 10).cast("long")
+
+
+def resolved(found: DataFrame, known: DataFrame, tenant: str, name: str) -> DataFrame:
+    """(tenant, name, id, fresh) of every distinct entity of found: its id in known (tenant, name, id) if it is there, null tenants being one, else entity_id()."""
+    f, k = found.select(tenant, name).distinct(), known.select(F.col(tenant).alias("kt"), F.col(name).alias("kn"), "id")
+    rows = f.join(k, f[tenant].eqNullSafe(k["kt"]) & (f[name] == k["kn"]), "left")
+    return rows.select(tenant, name, F.coalesce("id", entity_id(tenant, name)).alias("id"), F.col("id").isNull().alias("fresh"))
+
+
+@query(f"""
+WITH {LINES_SQL}, f AS (SELECT DISTINCT CASE WHEN parent_id % 5 = 0 THEN NULL ELSE parent_id % 3 END AS tenant, reference AS name FROM lines)
+SELECT tenant, name, CASE WHEN length(name) % 2 = 0 THEN length(name) ELSE ('0x' || substr(sha256(coalesce(tenant::VARCHAR, '') || chr(1) || name), 1, 15))::BIGINT END AS id, length(name) % 2 <> 0 AS fresh FROM f
+""")
+def entities_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references as entities of tenants, some of them known by an earlier run."""
+    f = lines(spark, sf_dir).select(F.when(F.col("parent_id") % 5 != 0, F.col("parent_id") % 3).alias("tenant"), F.col("reference").alias("name")).distinct()
+    known = f.filter("length(name) % 2 = 0").withColumn("id", F.length("name").cast("long"))
+    return resolved(f, known, "tenant", "name")

@@ -1,8 +1,8 @@
 """All registered queries of the engine's own operators, and their SQL."""
 
-from lectern.operators import business, corpus, documents, extraction, records, retrieval, textops, workflow
+from lectern.operators import business, corpus, documents, extraction, layout, lookup, records, retrieval, textops, workflow
 
-_REGISTRIES = [m.query for m in (records, textops, extraction, corpus, retrieval, workflow)]
+_REGISTRIES = [m.query for m in (records, textops, extraction, corpus, retrieval, workflow, layout, lookup)]
 
 QUERIES = business.QUERIES | documents.QUERIES
 ORACLES = business.ORACLES | documents.ORACLES
