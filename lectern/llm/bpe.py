@@ -247,6 +247,22 @@ def decode(ids: str | Column, ranks_path: str) -> Column:
     return run(ids)
 
 
+def decoded(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, decoded) of rows (doc_id, ids), by a join of every position with the table of token bytes; the join that encode() does by index.
+
+    The table is as large as the vocabulary, so it is broadcast; a row's tokens are put together by position, so a row, as in any
+    column of ids, is to fit a task. Rows without ids give empty bytes, null ids null; an id outside the table is an error. An empty table gives no rows.
+    """
+    spark = encoded.sparkSession
+    table = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(token_bytes(ranks_path))], "token int, bytes binary")
+    rows = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids")
+    one = rows.select("row", "doc_id", F.col("ids").isNull().alias("unknown"), F.posexplode_outer("ids").alias("at", "id"))
+    met = one.join(F.broadcast(table), F.col("id") == F.col("token"), "left")
+    bytes_ = F.when(F.col("id").isNotNull() & F.col("token").isNull(), F.raise_error(F.lit("an id isn't in the table"))).otherwise(F.hex("bytes"))
+    parts = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("unknown").alias("unknown"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", bytes_.alias("b"))))).alias("parts"))
+    return parts.select("doc_id", F.when(~F.col("unknown"), F.unhex(F.array_join(F.transform("parts", lambda p: p["b"]), ""))).alias("decoded"))
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode()'s rows."""
     return encoded.select(

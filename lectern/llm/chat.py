@@ -43,13 +43,28 @@ def pieces(t: DataFrame, most: int, broadcast: int = BROADCAST_PARTS) -> DataFra
     return t.join(crowded, on, "left_anti").withColumn("piece", whole).unionByName(many)
 
 
+def _sizes(t: DataFrame, people: DataFrame) -> DataFrame:
+    """(conv_id, perspective, part, piece, size): the code points of each rendering, told from counts and lengths by role alone, so that nothing is rendered for it.
+
+    As a user's, a message takes its text, its role and the marks around them; as the assistant's, the other lead for the role.
+    """
+    key = ["conv_id", "part", "piece"]
+    fixed, lead = len("<|user|>\n<|end|>\n"), len("<|assistant|>\n") - len("<|user|>\n")
+    by_role = t.groupBy(*key, "role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    each = F.sum(F.col("chars") + F.col("n") * (F.length("role") + fixed))
+    parts = by_role.groupBy(*key).agg(each.alias("size"), F.map_from_entries(F.collect_list(F.struct("role", "n"))).alias("said_by"))
+    rows = parts.alias("d").join(people.alias("p"), F.col("d.conv_id").eqNullSafe(F.col("p.conv_id"))).select("d.conv_id", "d.part", "d.piece", "d.size", "d.said_by", F.explode("p.people").alias("perspective"))
+    own = F.coalesce(F.try_element_at("said_by", "perspective"), F.lit(0))
+    return rows.select("conv_id", "perspective", "part", "piece", (F.col("size") + own * (lead - F.length("perspective"))).cast("long").alias("size"))
+
+
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """(conv_id, perspective, part, n_messages, offset, text, mask) of (conv_id, turn, role, text).
 
     A message is "<|assistant|>\\n" or "<|user|>name\\n", its text, "<|end|>\\n". mask lists "start:end" of what the assistant
     says, end mark included, in code points of the part's text, joined by commas; empty if it says nothing in that part.
     Messages are in the order of turn, then role, then text; rows that are equal in all of them stay, each a message. A null
-    turn comes first, in part -1. Rows of one part differ in offset. A null role is the participant "unknown"; a null text is empty; null conversations are one.
+    turn comes first, in part -1. Rows of one part differ in offset. An empty table gives no rows. Other columns are left out, whatever their names. A null role is the participant "unknown"; a null text is empty; null conversations are one.
     """
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long"))
@@ -76,7 +91,7 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         ).alias("mask"),
     )
     before = W.partitionBy("conv_id", "perspective").orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)
-    where = both.select("conv_id", "perspective", "part", "piece", F.length("text").cast("long").alias("size")).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
+    where = _sizes(t, people).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
     where = where.select(F.col("conv_id").alias("c"), F.col("perspective").alias("w"), F.col("part").alias("k"), F.col("piece").alias("l"), "offset")
     on = both["conv_id"].eqNullSafe(where["c"]) & (both["perspective"] == where["w"]) & (both["part"] == where["k"]) & (both["piece"] == where["l"])
     return both.join(where, on).select("conv_id", "perspective", "part", "n_messages", "offset", "text", "mask")

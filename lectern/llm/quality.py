@@ -104,6 +104,12 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measures(docs, id_col, text_col).withColumn("rule_bits", _held_bits())
 
 
+def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger, written once as a table; policies and ablations then read its bits, and no text again."""
+    ledger(docs, id_col, text_col).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def kept(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, that a policy keeps; no join, as the ledger is computed beside each row."""
     row = F.struct(*[F.col(c) for c in docs.columns])
