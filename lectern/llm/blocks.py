@@ -24,6 +24,14 @@ OTHERWISE = "the documents were dealt otherwise in another reading; read them fr
 PAYLOAD_SCHEMA = "block long, ids array<long>, lens binary, payload binary"
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they come."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 def _cut(frames: Iterator[pd.DataFrame], most: int):
     """(block, ids, texts) of a task's (doc_id, text) frames; ids are ints or None."""
     pid, k, ids, texts, chars = TaskContext.get().partitionId(), 0, [], [], 0

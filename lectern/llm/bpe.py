@@ -97,14 +97,6 @@ def _merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return [rank[p] for p in part if p is not None]
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they come."""
-
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        return n
-
-
 def _packed(x: np.ndarray) -> bytes:
     """Whole numbers below 2^32, byte by byte of their significance, compressed."""
     return zstandard.ZstdCompressor(level=3).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
@@ -171,7 +163,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str
     def positions(frames):
         split = splitter(pattern)
         for block, rows in blocks.dealt(frames, block_chars):
-            number, ids, out = _Numbers(), [], []
+            number, ids, out = blocks.Numbers(), [], []
             for i, t in rows:
                 own = split(t)
                 ids.append(i)

@@ -7,7 +7,7 @@ estimate with its child's by that posterior. Counts come from the training docum
 
 How it runs: n-grams of DEPTH + 1 bytes are counted once per task, summed by a shuffle, and dealt by the three newest
 context bytes, so that all deeper contexts of one of these are together (at most 256^2 contexts of 256 bytes each, however
-large the corpus). Depths from 3 down are weighted there, depths 2 to 0, of which there are at most 65,536 contexts, above. The
+large the corpus). Depths from 3 down are weighted there, depth 2, of at most 65,536 contexts, by tasks of its own, depths 1 and 0, of 257 contexts, by the driver. The
 log probability of every n-gram that occurs, in training or not, is then worked out from its path, and texts are scored by
 looking up their n-grams: from a broadcast table while it has at most BROADCAST_GRAMS rows, else by a shuffle of each
 block's distinct n-grams. Both give the same sums.
@@ -176,38 +176,57 @@ def _deep(grams: DataFrame) -> DataFrame:
     return rows.groupBy("ctx2", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
 
 
+def _weighted(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log weighted, share, p1) of nodes above depth DEPTH: what a node predicts is share of p1 and the rest of what its child does."""
+    own = kt(n0, n1)
+    lw = weigh(own, below)
+    return lw, np.exp(HALF + own - lw), (n1 + 0.5) / (n0 + n1 + 1)
+
+
+def _step(a, b, parent, t: pd.DataFrame, row, rows: int):
+    """The shares a, b of a depth from its parents': t has the nodes (node, n0, n1, below) of the contexts named by row."""
+    share, p1 = np.full((rows, 256), 0.5), np.full((rows, 256), 0.5)
+    _, share[row, t["node"]], p1[row, t["node"]] = _weighted(*(t[c].to_numpy() for c in ("n0", "n1", "below")))
+    a, b = a[parent], b[parent]
+    return a + b * share * p1, b * (1 - share)
+
+
 def _shallow(deep: DataFrame):
-    """Depths 2 to 0 from at most 65,536 contexts of 255 nodes: (row of each two-byte context, shares a, b by row and node).
+    """Depths 2 to 0: (row of each two-byte context, shares a, b by row and node). What a node predicts is a + b * what its subtree below depth 2 predicts.
 
-    What a node predicts is a + b * what its subtree below depth 2 predicts.
+    Depth 2, of at most 65,536 contexts of 255 nodes, is weighted by tasks; the driver sees its sums by one-byte context (at most
+    65,280 rows) and, of each two-byte context that training saw, one packed row of 4 KB, streamed.
     """
-    t = deep.toArrow().to_pandas()
-    levels = [t]
-    for depth in (2, 1, 0):
-        t = levels[-1]
-        own, below = kt(t.n0.to_numpy(), t.n1.to_numpy()), t.below.to_numpy()
-        lw = weigh(own, below)
-        t["share"], t["p1"] = np.exp(HALF + own - lw), (t.n1 + 0.5) / (t.n0 + t.n1 + 1)
-        if depth:
-            levels.append(t.assign(ctx2=t.ctx2 // 256, below=lw).groupby(["ctx2", "node"], as_index=False)[["n0", "n1", "below"]].sum())
-    two, one, zero = levels
-    a, b = np.zeros((1, 256)), np.ones((1, 256))
-
-    def step(a, b, parent, t, row):
-        share, p1 = np.full((len(parent), 256), 0.5), np.full((len(parent), 256), 0.5)
-        share[row, t.node], p1[row, t.node] = t.share, t.p1
-        a, b = a[parent], b[parent]
-        return a + b * share * p1, b * (1 - share)
-
-    a, b = step(a, b, np.zeros(1, int), zero, np.zeros(len(zero), int))
-    a, b = step(a, b, np.zeros(256, int), one, one.ctx2.to_numpy())
-    seen = np.unique(two.ctx2.to_numpy())
-    a2, b2 = step(a, b, seen >> 8, two, np.searchsorted(seen, two.ctx2.to_numpy()))
+    spark = deep.sparkSession
+    deep = cut(deep)
+
+    def run(frames):
+        for f in frames:
+            lw = _weighted(*(f[c].to_numpy() for c in ("n0", "n1", "below")))[0]
+            yield pd.DataFrame({"ctx1": f["ctx2"] // 256, "node": f["node"], "n0": f["n0"], "n1": f["n1"], "below": lw})
+
+    sums = deep.mapInPandas(run, "ctx1 long, node long, n0 double, n1 double, below double").groupBy("ctx1", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
+    one = sums.toArrow().to_pandas()
+    zero = one.assign(below=_weighted(*(one[c].to_numpy() for c in ("n0", "n1", "below")))[0]).groupby("node", as_index=False)[["n0", "n1", "below"]].sum()
+    a, b = _step(np.zeros((1, 256)), np.ones((1, 256)), np.zeros(1, int), zero, np.zeros(len(zero), int), 1)
+    a, b = _step(a, b, np.zeros(256, int), one, one["ctx1"].to_numpy(), 256)
+    above = spark.sparkContext.broadcast((a, b))
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        ctx2 = int(f["ctx2"].iloc[0])
+        a1, b1 = above.value
+        a2, b2 = _step(a1, b1, np.array([ctx2 >> 8]), f, np.zeros(len(f), int), 1)
+        return pd.DataFrame({"ctx2": [ctx2], "a": [a2.tobytes()], "b": [b2.tobytes()]})
+
+    seen, a2, b2 = [], [], []
+    for r in deep.groupBy("ctx2").applyInPandas(pack, "ctx2 long, a binary, b binary").toLocalIterator():
+        seen.append(r["ctx2"])
+        a2.append(np.frombuffer(r["a"]))
+        b2.append(np.frombuffer(r["b"]))
     # below a two-byte context that training never saw, half of what is left is its own estimate of one half
-    a, b = a + b * 0.25, b * 0.5
     row = np.repeat(np.arange(256), 256) + len(seen)
     row[seen] = np.arange(len(seen))
-    return row, np.vstack([a2, a]), np.vstack([b2, b])
+    return row, np.vstack([*a2, a + b * 0.25]), np.vstack([*b2, b * 0.5])
 
 
 def gram_logs(grams: DataFrame) -> DataFrame:
@@ -275,23 +294,21 @@ def _scorer(n: int, v: int, ends: int, table):
     """For blocks.meet(): both scores of a block's texts; score is left at 0 without a table."""
 
     def run(block, ids, raw, values):
-        seen = {}
-        split = [r.lower().split() for r in raw]
-        for own in split:
-            seen.update(dict.fromkeys(own))
-        counts = np.full(len(seen), -1, np.int64)
+        number, texts_words = blocks.Numbers(), []
+        for r in raw:  # numbers take a tenth of the memory of words
+            own = r.lower().split()
+            texts_words.append(np.fromiter(map(number.__getitem__, own), np.uint32, len(own)))
+        counts = np.full(len(number), -1, np.int64)
         for row in values.itertuples():
             counts[np.frombuffer(row.locals, "<u4")] = np.frombuffer(row.counts, "<i8")
         if (counts < 0).any():
             raise RuntimeError("a block's words lack counts")
-        for k, w in enumerate(seen):
-            seen[w] = k
+        del number
         logs, known = np.log10((counts + 0.5) / (n + 0.5 * (v + 1))), counts > 0
         end = np.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
         out = []
-        for own in split:
-            at = np.fromiter(map(seen.__getitem__, own), np.int64, len(own))
-            out.append((len(own) + 1, int(known[at].sum()) + (ends > 0), logs[at].sum() + end))
+        for at in texts_words:
+            out.append((len(at) + 1, int(known[at].sum()) + (ends > 0), logs[at].sum() + end))
         got = np.zeros(len(raw)) if table is None else _look_up(raw, _index(table.value[0]), table.value[1])
         out = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score"])
         return out.assign(block=block, place=np.arange(len(out)), doc_id=pd.array(ids, dtype="Int64"), score=got, n_bytes=[len(r) for r in raw])[SCORED]
