@@ -423,9 +423,17 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, idx, chunk_text, token_count) of chunks of at most 220 words that overlap by 40; whole sentences where they fit."""
 
     def run(frames):
+        made = lambda rows: pd.DataFrame(rows, columns=["doc_id", "idx", "chunk_text", "token_count"])
         for f in frames:
-            rows = [(i, k, c, len(c.split())) for i, t in zip(f.doc_id, f.text, strict=True) for k, c in enumerate(chunks(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "idx", "chunk_text", "token_count"])
+            rows = []
+            for i, t in zip(f["doc_id"].astype(object), f["text"], strict=True):
+                for k, c in enumerate(chunks(t or "")):
+                    rows.append((None if pd.isna(i) else int(i), k, c, len(c.split())))
+                    if len(rows) == 1_000:  # a batch of long texts has far more chunks than texts
+                        yield made(rows)
+                        rows = []
+            if rows:
+                yield made(rows)
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, idx long, chunk_text string, token_count long")
 

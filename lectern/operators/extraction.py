@@ -559,7 +559,7 @@ def chunk_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = []
             for i, t in zip(f["doc_id"].astype(object), f["text"], strict=True):
                 for k, (chunk, kind) in enumerate(structured(t or "")):
-                    rows.append((i, k, chunk, len(chunk.split()), kind))
+                    rows.append((None if pd.isna(i) else int(i), k, chunk, len(chunk.split()), kind))
                     if len(rows) == 1_000:
                         yield pd.DataFrame(rows, columns=["doc_id", "idx", "chunk_text", "token_count", "chunk_type"])
                         rows = []

@@ -343,13 +343,16 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT DISTINCT substr(text, 1, 20) AS opening FROM benchmark WHERE length(text) >= 20), d AS (SELECT doc_id, substr(text, 1, 20) AS opening, n_chars FROM documents)
-SELECT opening, count(*) AS n, min(doc_id) AS first FROM d JOIN q USING (opening) GROUP BY 1
+WITH q AS (SELECT conv_id, turn, role, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS k FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL), f AS (SELECT role, k, min(conv_id) AS first, count(*) AS n FROM q GROUP BY 1, 2)
+SELECT q.conv_id, q.turn, q.role, CASE WHEN first < q.conv_id THEN first END AS answered_in, n FROM q JOIN f USING (role, k)
 """)
-def cached_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts whose first twenty characters, as a cache's key, are those of a benchmark item: the key is the feature, not a cut of the text."""
-    q = table(spark, sf_dir, "benchmark").filter("length(text) >= 20").select(F.substring("text", 1, 20).alias("opening")).distinct()
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("opening")).join(q, "opening").groupBy("opening").agg(count().alias("n"), F.min("doc_id").alias("first"))
+def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that an earlier conversation had already, in the same role (the isolation) and the same normal form: an exact key, pre-aggregated, of the whole text."""
+    key = F.md5(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))
+    q = table(spark, sf_dir, "conversations").filter("text IS NOT NULL AND conv_id IS NOT NULL").select("conv_id", "turn", "role", key.alias("k"))
+    first = q.groupBy(F.col("role").alias("r"), F.col("k").alias("c")).agg(F.min("conv_id").alias("first"), count().alias("n"))
+    rows = q.join(first, (F.col("role") == F.col("r")) & (F.col("k") == F.col("c")))
+    return rows.select("conv_id", "turn", "role", F.when(F.col("first") < F.col("conv_id"), F.col("first")).alias("answered_in"), "n")
 
 
 @query("SELECT doc_id, round(0.55 * least(1, len(w) / 200.0) + CASE WHEN contains(text, '|') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 0.25 ELSE 0 END, 6)::DOUBLE AS strength FROM (SELECT doc_id, text, regexp_split_to_array(trim(text), '\\s+') AS w FROM documents WHERE text IS NOT NULL)")
