@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import columns as C
 from lectern.operators.business import count
-from lectern.sources.tables import table
+from lectern.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -49,12 +49,14 @@ def text_search_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25(docs: DataFrame, words: tuple[str, ...], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc_id, score): Okapi BM25 of the query's words. One pass counts each row's words; document frequencies are aggregates of it.
 
-    Words are counted where they stand, without making arrays of them; rows without any of the words are told by a plain search.
+    Words are counted where they stand, without making arrays of them. Accents are folded by the patterns, each letter standing
+    for its accented forms too, instead of character by character in the texts.
     """
-    t = docs.select("doc_id", C.fold(F.col("text")).alias("t"))
-    times = lambda w: F.when(F.col("t").contains(w), F.regexp_count("t", F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))).otherwise(0)
-    tf = [times(w).alias(f"f{i}") for i, w in enumerate(words)]
-    t = t.select("doc_id", F.regexp_count("t", F.lit("[a-z0-9]+")).alias("n"), *tf)
+    t = spread(docs.select("doc_id", "text")).select("doc_id", F.lower("text").alias("t"))
+    letter = f"[a-z0-9{C.ACCENTED}]"
+    forms = lambda w: "".join(f"[{c}{''.join(a for a, p in zip(C.ACCENTED, C.PLAIN, strict=True) if p == c)}]" for c in w)
+    tf = [F.regexp_count("t", F.lit(f"(?<!{letter}){forms(w)}(?!{letter})")).alias(f"f{i}") for i, w in enumerate(words)]
+    t = t.select("doc_id", F.regexp_count("t", F.lit(f"{letter}+")).alias("n"), *tf)
     stats = t.agg(count().alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -435,7 +437,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             if rows:
                 yield made(rows)
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, idx long, chunk_text string, token_count long")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInPandas(run, "doc_id long, idx long, chunk_text string, token_count long")
 
 
 def chunks(text: str, most: int = 220, overlap: int = 40) -> list[str]:

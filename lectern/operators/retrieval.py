@@ -2,7 +2,8 @@
 
 import difflib
 import hashlib
-from functools import cache, reduce
+from collections import Counter
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from lectern.operators.documents import ORACLES as _DOCUMENT_SQL
 from lectern.operators.documents import WORDS, bm25, nearest, rrf, text_search
 from lectern.operators.records import BUDGETS_SQL, INVOICES_SQL, budgets, invoices
 from lectern.operators.registry import Registry
-from lectern.sources.tables import table
+from lectern.sources.tables import spread, table
 
 query = Registry()
 
@@ -27,36 +28,40 @@ query = Registry()
 SIZE, GRAM = 64, 0.35
 
 
-@cache
 def _feature(feature: str, size: int) -> tuple[int, float]:
     """A feature's component and sign, of its SHA-256: the first four bytes, and the parity of the fifth."""
     digest = hashlib.sha256(feature.encode()).digest()
     return int.from_bytes(digest[:4], "big") % size, 1.0 if digest[4] % 2 == 0 else -1.0
 
 
+@lru_cache(100_000)
+def _token(token: str, size: int) -> np.ndarray:
+    """What one token adds: its own feature and those of its 3-grams. A worker remembers the last 100,000 tokens (half a kilobyte each)."""
+    v = np.zeros(size)
+    grams = [token] if len(token) <= 3 else [token[i : i + 3] for i in range(len(token) - 2)]
+    for name, weight in ((token, 1.0), *((f"ng:{g}", GRAM) for g in grams)):
+        at, sign = _feature(name, size)
+        v[at] += sign * weight
+    return v
+
+
 def embedding(tokens: list[str], size: int = SIZE) -> list[float]:
     """Signed sums of the tokens' and their 3-grams' features, at length 1; zeros without tokens."""
-    v = np.zeros(size)
-    for token in tokens:
-        grams = [token] if len(token) <= 3 else [token[i : i + 3] for i in range(len(token) - 2)]
-        for name, weight in ((token, 1.0), *((f"ng:{g}", GRAM) for g in grams)):
-            at, sign = _feature(name, size)
-            v[at] += sign * weight
+    times = Counter(tokens)
+    v = np.array(list(times.values()), float) @ np.stack([_token(t, size) for t in times]) if times else np.zeros(size)
     norm = np.sqrt(v @ v)
     return (v / norm if norm else v).tolist()
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def hash_vector(s: pd.Series) -> pd.Series:
-    """embedding() of a column of token arrays; null for null. Python, in Arrow batches: a text's features are hashed once a worker."""
-    if _feature.cache_info().currsize > 1_000_000:
-        _feature.cache_clear()
+    """embedding() of a column of token arrays; null for null. Python, in Arrow batches: a token is hashed once a worker."""
     return pd.Series([None if x is None else embedding(list(x)) for x in s], dtype=object)
 
 
 def embedded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(vec_id, embedding) of every row's whole text."""
-    return docs.select(F.col(key).alias("vec_id"), hash_vector(T.ascii_tokens(F.coalesce(F.col(text), F.lit("")))).alias("embedding"))
+    return spread(docs.select(key, text)).select(F.col(key).alias("vec_id"), hash_vector(T.ascii_tokens(F.coalesce(F.col(text), F.lit("")))).alias("embedding"))
 
 
 EMBEDDED_SQL = f"""
