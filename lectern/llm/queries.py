@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators, and their SQL."""
+"""The registered queries of the operators, and their SQL."""
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, ctw, dartminhash, decontaminate, licence, pii, quality, tokencount, warc
+from lectern.llm import bpe, chat, ctw, dartminhash, decontaminate, licence, mixing, pii, quality, sourceaudit, tokencount, vectorcodes, warc
 from lectern.llm.common import read
 
 COUNT_LIMIT = 1024
@@ -59,7 +59,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op2_skip_chain_pii, op3_dart_minhash, op4_context_tree, op5_licence_scan, op6_chat_rotation, op7_byte_bpe, op8_token_counts, op9_warc_salvage, op10_decontamination)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(read(spark, sf_dir, "embeddings"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourceaudit.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op2_skip_chain_pii, op3_dart_minhash, op4_context_tree, op5_licence_scan, op6_chat_rotation, op7_byte_bpe, op8_token_counts, op9_warc_salvage, op10_decontamination, op11_vector_codes, op12_source_audit, op13_entropy_mix)}
 
 WARC_SQL = r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages),
@@ -69,4 +81,4 @@ b AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, last, page
    FROM range(4) a(g), range(8) c(k)) AS payload_digest FROM p JOIN l USING (h))
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT own THEN last END AS refers_to FROM b
 """
-ORACLES = {"op1_quality_rules": quality.LEDGER_SQL, "quality_ablation": quality.ABLATION_SQL, "op6_chat_rotation": chat.ROTATE_SQL, "op9_warc_salvage": WARC_SQL}
+ORACLES = {"op1_quality_rules": quality.LEDGER_SQL, "quality_ablation": quality.ABLATION_SQL, "op6_chat_rotation": chat.ROTATE_SQL, "op9_warc_salvage": WARC_SQL, "op11_vector_codes": vectorcodes.CODES_SQL, "op12_source_audit": sourceaudit.AUDIT_SQL}
