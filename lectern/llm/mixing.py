@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACE, cut, written
+from lectern.llm.common import SPACE, written
 
 #: Weights of the sources in order, repeating; no document is taken more often than MOST.
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Newton iterations and mending rounds at most (few are used), and how near words and targets are to be, as shares of the target.
-ROUNDS, MENDS, NEAR, CLOSE = 60, 30, 1e-9, 1e-4
+ROUNDS, MENDS, NEAR, CLOSE = 60, 8, 1e-9, 1e-4
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -52,7 +52,7 @@ def targets(sources: DataFrame) -> DataFrame:
     A share is weight * level; capped sources leave the level to the others, which can only raise it, until none is above.
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
-    s = cut(sources.withColumn("weight", weight).withColumn("most", F.col("source_size") * MOST))
+    s = written(sources.withColumn("weight", weight).withColumn("most", F.col("source_size") * MOST), "capped")
     total = s.agg(F.sum("source_size")).first()[0] or 0
     level, seen = 0.0, None
     while True:
@@ -80,7 +80,7 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
     full = s.filter(F.col("target") >= F.col("source_size") * MOST).select("place", F.lit(None).cast("double").alias("tilt"))
     s = s.filter(F.col("target") < F.col("source_size") * MOST).withColumn("need", F.log(F.col("target") / F.col("source_size")))
     ends = [F.col("need") / F.col("least"), F.col("need") / F.col("largest")]
-    state = cut(s.select("place", "target", (F.col("need") * F.col("source_size") / F.col("squares")).alias("tilt"), F.least(*ends).alias("low"), F.greatest(*ends).alias("high"), F.lit(False).alias("done")))
+    state = written(s.select("place", "target", (F.col("need") * F.col("source_size") / F.col("squares")).alias("tilt"), F.least(*ends).alias("low"), F.greatest(*ends).alias("high"), F.lit(False).alias("done")), "tilts")
     done = []
     for _ in range(ROUNDS):
         rate = _rate("tilt", "size")
@@ -93,7 +93,7 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
         fits = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high"))
         near = (F.abs(F.col("got") - F.col("target")) <= F.col("target") * NEAR + 1e-6) | (F.col("high") - F.col("low") <= F.abs(F.col("high")) * 1e-15)
         now = now.select("place", "target", F.when(near, F.col("tilt")).when(fits, step).otherwise((F.col("low") + F.col("high")) / 2).alias("tilt"), "low", "high", near.alias("done"))
-        state = cut(now)
+        state = written(now, "tilts")
         done.append(state.filter("done").select("place", "tilt"))
         state = state.filter("NOT done")
         if state.isEmpty():
@@ -101,30 +101,31 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
     done.append(state.select("place", "tilt"))
     for d in done:
         full = full.unionByName(d)
-    return cut(full)
+    return written(full, "tilts")
 
 
 def copies(cells: DataFrame, sources: DataFrame) -> DataFrame:
     """(place, size, n, copies): how many copies all documents of a cell have together, 0 to MOST a document.
 
     cells: (place, size, n, rate). From the largest size down, copies are the rounded sums of rates so far, less those before; so the
-    words of a source are off by half its largest document at most. Then, round by round, the cell whose size comes nearest to
-    what a source lacks or has too much gives or takes one copy.
+    words of a source are off by half its largest document at most. Then, round by round, that cell gives or takes copies which
+    comes nearest to what its source lacks or has too much.
     """
     down = W.partitionBy("place").orderBy(F.desc("size"))
     so_far = F.round(F.sum(F.col("n") * F.col("rate")).over(down.rowsBetween(W.unboundedPreceding, 0)))
     c = cells.withColumn("so_far", so_far).withColumn("copies", (F.col("so_far") - F.coalesce(F.lag("so_far").over(down), F.lit(0.0))).cast("long"))
-    c = cut(c.select("place", "size", "n", F.greatest(F.lit(0), F.least(F.col("copies"), F.col("n") * MOST)).alias("copies")))
+    c = written(c.select("place", "size", "n", F.greatest(F.lit(0), F.least(F.col("copies"), F.col("n") * MOST)).alias("copies")), "copies")
     for _ in range(MENDS):
         taken = c.groupBy("place").agg(F.sum(F.col("copies") * F.col("size")).alias("words"))
         off = sources.join(taken, "place").select("place", F.round(F.col("target") - F.col("words")).cast("long").alias("off"), "target").filter((F.abs("off") > 1) & (F.abs("off") > F.col("target") * CLOSE))
-        can = ((F.col("off") > 0) & (F.col("copies") < F.col("n") * MOST)) | ((F.col("off") < 0) & (F.col("copies") > 0))
-        left = F.abs(F.abs("off") - F.col("size"))
-        best = c.filter("size > 0").join(off, "place").filter(can & (left < F.abs("off"))).groupBy("place").agg(F.min(F.struct(left.alias("left"), F.col("size"), F.signum("off").cast("long").alias("add"))).alias("best"))
-        best = cut(best.select("place", F.col("best.size").alias("size"), F.col("best.add").alias("add")))
+        room = F.when(F.col("off") > 0, F.col("n") * MOST - F.col("copies")).otherwise(F.col("copies"))
+        each = c.filter("size > 0").join(off, "place").withColumn("some", F.least(room, F.greatest(F.lit(1), F.round(F.abs("off") / F.col("size")).cast("long"))))
+        each = each.withColumn("left", F.abs(F.abs("off") - F.col("some") * F.col("size"))).filter((F.col("some") > 0) & (F.col("left") < F.abs("off")))
+        best = each.groupBy("place").agg(F.min(F.struct("left", "some", "size", (F.col("some") * F.signum("off").cast("long")).alias("add"))).alias("best"))
+        best = written(best.select("place", F.col("best.size").alias("size"), F.col("best.add").alias("add")), "mends")
         if best.isEmpty():
             break
-        c = cut(c.join(best, ["place", "size"], "left").select("place", "size", "n", (F.col("copies") + F.coalesce("add", F.lit(0))).alias("copies")))
+        c = written(c.join(best, ["place", "size"], "left").select("place", "size", "n", (F.col("copies") + F.coalesce("add", F.lit(0))).alias("copies")), "copies")
     return c
 
 
@@ -138,12 +139,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("hash", F.xxhash64(F.coalesce("doc_id", F.lit(0)))).withColumn("tie", F.monotonically_increasing_id())
     # ranges end anywhere in a cell, so that one of a third of all rows is in many of them
     rows = ranges(rows, F.col("source"), F.col("size"), F.col("hash"), F.col("doc_id"), F.col("tie"), name="documents").drop("tie")
-    spans = cut(rows.groupBy("source", "size", "at").agg(F.count(F.lit(1)).alias("n")))
+    spans = written(rows.groupBy("source", "size", "at").agg(F.count(F.lit(1)).alias("n")), "spans")
     by_source = spans.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    sources = cut(targets(numbered(by_source)))
+    sources = written(targets(numbered(by_source)), "targets")
     named = sources.select(F.col("source").alias("s"), "place")
     cells = spans.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    cells = cut(cells.join(named, cells["source"].eqNullSafe(named["s"])).select("place", "size", "n"))
+    cells = written(cells.join(named, cells["source"].eqNullSafe(named["s"])).select("place", "size", "n"), "cells")
     rates = cells.join(tilts(cells, sources), "place", "left").withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(_rate("tilt", "size"))).select("place", "size", "n", "rate")
     given = copies(rates, sources)
 

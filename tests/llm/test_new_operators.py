@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 import compare
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.llm import mixing, sourceaudit, vectorcodes
 
@@ -182,7 +181,7 @@ def checked(rows, near=0.02):
         taken[r.source] += r.taken
         target[r.source] = r.target
         largest[r.source] = max(largest[r.source], r.size)
-        assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size and abs(r.copies - r.rate) <= 1.001 or r.size == 0 or True
+        assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size and 0 <= r.copies <= 3
     want = plain_targets(dict(size))
     for s in size:
         assert abs(target[s] - want[s]) <= 1e-6 * (1 + want[s])
@@ -243,4 +242,4 @@ def test_mix_of_edge_tables(spark):
 def test_mix_stays_in_the_jvm(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and F is not None
+    assert "Python" not in plan and "Arrow" not in plan
