@@ -99,62 +99,8 @@ def blocks(rows: DataFrame, most: int):
         if len(block) == most:
             yield block
             block = []
-    yield block
-
-
-#: Query vectors held, and broadcast, at a time; rows whose products with them are held at a time.
-QUERY_BLOCK, ROW_BLOCK = 1_000, 4_000
-
-
-class Vectors:
-    """Unit vectors by their length, which is the number of their components: {length: (ids, rows)}; null and zero vectors have no direction and go."""
-
-    def __init__(self, ids, vectors):
-        of = collections.defaultdict(list)
-        for i, v in zip(ids, vectors, strict=True):
-            if v is not None and len(v):
-                x = np.asarray(v, np.float64)
-                norm = np.sqrt(x @ x)
-                if norm > 0:
-                    of[len(x)].append((i, x / norm))
-        self.by = {n: (np.array([i for i, _ in rows], np.int64), np.stack([x for _, x in rows])) for n, rows in of.items()}
-
-
-def nearest(queries: DataFrame, rows: DataFrame, top: int = 20, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, vec_id, score): for each query the top rows by cosine similarity to six places, then by id; both are (vec_id, embedding).
-
-    Exact. Rows are read once for each block of queries; each batch of rows gives its own best, and only these are shuffled.
-    """
-    out = None
-    for block in blocks(queries.select("vec_id", "embedding").filter("vec_id IS NOT NULL"), query_block):
-        sent = rows.sparkSession.sparkContext.broadcast(Vectors([q.vec_id for q in block], [q.embedding for q in block]))
-
-        def run(frames, sent=sent):
-            for f in frames:
-                for at in range(0, len(f), ROW_BLOCK):
-                    part = f.iloc[at : at + ROW_BLOCK]
-                    mine = Vectors(part["vec_id"], part["embedding"])
-                    for n, (ids, x) in mine.by.items():
-                        for q, score in zip(*((sent.value.by[n][0], np.round(sent.value.by[n][1] @ x.T, 6)) if n in sent.value.by else ((), ())), strict=True):
-                            near = np.flatnonzero(score >= np.partition(score, -top)[-top]) if len(score) > top else np.arange(len(score))
-                            best = near[np.lexsort((ids[near], -score[near]))[:top]]
-                            yield pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": score[best]})
-
-        part = rows.select("vec_id", "embedding").filter("vec_id IS NOT NULL").mapInPandas(run, "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= top).drop("k")
-
-
-@query("""
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
-s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q)
-SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
-""")
-def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact nearest vectors to every one whose id is divisible by 100."""
-    e = table(spark, sf_dir, "embeddings")
-    return nearest(e.filter("vec_id % 100 = 0"), e)
+    if block:
+        yield block
 
 
 def rrf(lists: list[DataFrame], key: str, limit: int, k: int = 60) -> DataFrame:
@@ -276,6 +222,8 @@ def alike(items: DataFrame, docs: DataFrame, least: float = 0.3, item_block: int
 
         part = d.mapInPandas(run, "item_id long, doc_id long, similarity double")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "item_id long, doc_id long, similarity double")
     return out.select("item_id", "doc_id", F.round("similarity", 6).alias("similarity"))
 
 

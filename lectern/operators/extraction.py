@@ -77,7 +77,7 @@ def items(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     rows = df.select(key, table_rows(F.col(text)).alias("rows")).filter("size(rows) > 1")
     role = F.transform(F.get("rows", F.lit(0)), lambda h: reduce(lambda a, r: a.when(F.lower(h).rlike(f"^(?:{r[1]})$"), r[0]), list(ROLES.items())[1:], F.when(F.lower(h).rlike(f"^(?:{ROLES['reference']})$"), "reference")))
-    rows = rows.select(key, role.alias("roles"), F.posexplode(F.slice("rows", 2, 1_000_000)).alias("item", "cells"))
+    rows = rows.select(key, role.alias("roles"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("item", "cells"))
     at = lambda name: F.nullif(F.get("cells", (F.array_position("roles", name) - 1).cast("int")), F.lit(""))
     out = rows.select(
         key, F.col("item").cast("long").alias("item"), at("reference").alias("reference"), at("description").alias("description"), T.quantity(at("quantity")).alias("quantity"), at("unit").alias("unit"),
@@ -315,17 +315,6 @@ def mail_fields(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, *[c.alias(name) for name, c in got.items()], T.subject(got["subject"]).alias("subject_key"), issue.alias("is_issue"), files.alias("attachments"))
 
 
-def threads(mails: DataFrame, key: str) -> DataFrame:
-    """(key, thread): the least key of those mails whose subject is the answered mail's, or, if that isn't known, whose subject is theirs.
-
-    Two mails of one thread share a subject's normal form, so its size is bounded by nothing but is only counted here, never collected.
-    """
-    by_id = mails.filter("message_id IS NOT NULL").groupBy(F.col("message_id").alias("m")).agg(F.min("subject_key").alias("parent_subject"))
-    keyed = mails.join(by_id, F.col("in_reply_to") == F.col("m"), "left").select(key, F.coalesce("parent_subject", "subject_key", F.concat(F.lit("#"), F.col(key).cast("string"))).alias("s"))
-    least = keyed.groupBy("s").agg(F.min(key).alias("thread"))
-    return keyed.join(least, "s").select(key, "thread")
-
-
 def render_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, conv, turn, text): every turn as a mail; answers name the turn before, and some have another subject."""
     c = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 100_000 + F.col("turn"))
@@ -349,16 +338,6 @@ def mail_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", F.get(addresses("sender"), F.lit(0)).alias("sender"), F.array_join(addresses("to"), ";").alias("recipients"), "subject_key", "attachments", "in_reply_to")
 
 
-@query("""
-WITH c AS (SELECT conv_id * 100000 + turn AS id, conv_id, turn FROM conversations),
-s AS (SELECT id, conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'otro ' || conv_id || '/' || turn ELSE 'tema ' || conv_id END AS s FROM c),
-k AS (SELECT a.id, coalesce(b.s, a.s) AS s FROM s a LEFT JOIN (SELECT conv_id, turn, min(s) AS s FROM s GROUP BY 1, 2) b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 AND a.turn > 0)
-SELECT id, min(id) OVER (PARTITION BY s) AS thread FROM k
-""")
-def conversation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads(mail_fields(render_mails(spark, sf_dir), "id"), "id")
-
-
 @query("""
 WITH p AS (SELECT page_id, lower(split_part(split_part(url, '?', 1), '/', -1)) AS name, split_part(url, '/', 3) AS project FROM pages),
 a AS (SELECT page_id AS message, project, CASE WHEN page_id % 2 = 0 THEN upper(name) ELSE 'x' || name END AS asked FROM p)

@@ -17,9 +17,10 @@ from lectern.functions import text as T
 from lectern.operators.business import count
 from lectern.operators.corpus import DESCRIBED_SQL, described
 from lectern.operators.documents import ORACLES as _DOCUMENT_SQL
-from lectern.operators.documents import WORDS, bm25, nearest, rrf, text_search
+from lectern.operators.documents import WORDS, bm25, rrf, text_search
 from lectern.operators.records import BUDGETS_SQL, INVOICES_SQL, budgets, invoices
 from lectern.operators.registry import Registry
+from lectern.operators.vectorindex import nearest
 from lectern.sources.tables import spread, table
 
 query = Registry()
@@ -285,7 +286,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     near = nearest(e.filter("vec_id % 100 = 0"), e).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("l"))
-    expected = e.select(F.col("vec_id").alias("item"), "label").join(F.broadcast(q), (F.col("label") == F.col("l")) & (F.col("item") <= F.col("query") + 400)).select("query", "item")
+    expected = e.select(F.col("vec_id").alias("item"), "label").join(q, (F.col("label") == F.col("l")) & (F.col("item") <= F.col("query") + 400)).select("query", "item")
     return recall_at(near.select(F.col("query_id").alias("query"), F.col("vec_id").alias("item"), "rank"), expected, 20)
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from lectern.operators import business as B
 from lectern.operators import documents as D
+from lectern.operators.vectorindex import nearest
 
 ITEM = "The quick brown fox jumps over the lazy dog."
 
@@ -48,9 +49,8 @@ def test_nearest_answers_every_query(spark):
         if q % 100 == 0:
             of = [(round(float(np.dot(a, b)) / math.sqrt(np.dot(a, a) * np.dot(b, b)), 6), i) for i, b in rows if b and len(b) == 8 and any(b)]
             want |= {(q, i) for _, i in sorted(of, key=lambda x: (-x[0], x[1]))[:20]}
-    for block in (2, 1_000):
-        got = D.nearest(e.filter("vec_id % 100 = 0"), e, query_block=block).collect()
-        assert {(r.query_id, r.vec_id) for r in got} == want and len(got) == 5 * 20
+    got = nearest(e.filter("vec_id % 100 = 0"), e).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == want and len(got) == 5 * 20
 
 
 def test_mmr_compares_whole_texts(spark):
