@@ -75,11 +75,6 @@ def _bm25_sql(words=WORDS) -> str:
     return f"bt AS (SELECT doc_id, regexp_extract_all({folded}, '[a-z0-9]+') AS t FROM documents), bf AS (SELECT doc_id, len(t) AS n, {tf} FROM bt), bs AS (SELECT count(*) AS docs, avg(n) AS mean, {d} FROM bf), bm AS (SELECT doc_id, round({s}, 6) AS score FROM bf, bs WHERE {hit})"
 
 
-@query(f"WITH {_bm25_sql()} SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50")
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25(table(spark, sf_dir, "documents"), WORDS).orderBy(F.desc("score"), "doc_id").limit(50)
-
-
 @query("""
 WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1)
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 20
@@ -113,19 +108,6 @@ def rrf(lists: list[DataFrame], key: str, limit: int, k: int = 60) -> DataFrame:
     return all_.groupBy(key).agg(F.round(F.sum("part"), 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
-@query(f"""
-WITH {_bm25_sql()},
-a AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 30),
-b AS (SELECT doc_id, 1.0 AS score FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 30),
-r AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM a UNION ALL SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM b)
-SELECT doc_id, round(sum(part), 6)::DOUBLE AS score FROM r GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10
-""")
-def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten best of a lexical list and a phrase list, fused; pools of thirty each."""
-    pool = lambda d: d.orderBy(F.desc("score"), "doc_id").limit(30)
-    return rrf([pool(bm25(table(spark, sf_dir, "documents"), WORDS)), pool(text_search(spark, sf_dir))], "doc_id", 10)
-
-
 @query()
 def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal marginal relevance: (rank, doc_id, score) of ten out of a pool of thirty, one group a query."""

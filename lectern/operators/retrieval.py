@@ -16,11 +16,11 @@ from lectern.functions import columns as C
 from lectern.functions import text as T
 from lectern.operators.business import count
 from lectern.operators.corpus import DESCRIBED_SQL, described
-from lectern.operators.documents import ORACLES as _DOCUMENT_SQL
-from lectern.operators.documents import WORDS, bm25, rrf, text_search
+from lectern.operators.documents import WORDS, _bm25_sql, rrf, text_search
 from lectern.operators.records import BUDGETS_SQL, INVOICES_SQL, budgets, invoices
 from lectern.operators.registry import Registry
 from lectern.operators.vectorindex import nearest
+from lectern.operators.wordindex import hybrid_pool
 from lectern.sources.tables import spread, table
 
 query = Registry()
@@ -89,10 +89,23 @@ def semantic(docs: DataFrame, words: tuple[str, ...], most: int = 30) -> DataFra
     return e.select(F.col("vec_id").alias("doc_id"), F.round(dot, 6).alias("score")).filter("score > 0.02").orderBy(F.desc("score"), "doc_id").limit(most)
 
 
-_BM = _DOCUMENT_SQL["bm25_topk"].split("WITH ", 1)[1].split(" SELECT * FROM bm")[0]
+_BM = _bm25_sql()
 _Q = ", ".join(f"({b}, {v!r})" for b, v in enumerate(embedding(list(WORDS))))
 
 
+@query(f"""
+WITH {_BM},
+a AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 30),
+b AS (SELECT doc_id, 1.0 AS score FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 30),
+r AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM a UNION ALL SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM b)
+SELECT doc_id, round(sum(part), 6)::DOUBLE AS score FROM r GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10
+""")
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best of a lexical list and a phrase list, fused; pools of thirty each."""
+    said = text_search(spark, sf_dir).orderBy(F.desc("score"), "doc_id").limit(30)
+    return rrf([hybrid_pool(spark, sf_dir), said], "doc_id", 10)
+
+
 @query(f"""
 WITH {_BM}, {EMBEDDED_SQL}, q(b, q) AS (VALUES {_Q}),
 sem AS (SELECT doc_id, round(sum(v / norm * q), 6) AS score FROM es JOIN en USING (doc_id) JOIN q USING (b) WHERE norm > 0 GROUP BY 1),
@@ -104,7 +117,7 @@ def hybrid_three_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best of a lexical, a phrase and a semantic list, fused; pools of thirty each."""
     d = table(spark, sf_dir, "documents")
     pool = lambda x: x.orderBy(F.desc("score"), "doc_id").limit(30)
-    return rrf([pool(bm25(d, WORDS)), pool(text_search(spark, sf_dir)), semantic(d, WORDS)], "doc_id", 10)
+    return rrf([hybrid_pool(spark, sf_dir), pool(text_search(spark, sf_dir)), semantic(d, WORDS)], "doc_id", 10)
 
 
 # exact search

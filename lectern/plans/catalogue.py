@@ -1,8 +1,8 @@
 """All registered queries of the engine's own operators, and their SQL."""
 
-from lectern.operators import business, corpus, documents, extraction, forest, layout, lookup, records, retrieval, textops, vectorindex, workflow
+from lectern.operators import business, corpus, documents, extraction, forest, layout, lookup, records, retrieval, textops, vectorindex, wordindex, workflow
 
-_REGISTRIES = [m.query for m in (records, textops, extraction, corpus, retrieval, workflow, layout, lookup, vectorindex, forest)]
+_REGISTRIES = [m.query for m in (records, textops, extraction, corpus, retrieval, workflow, layout, lookup, vectorindex, forest, wordindex)]
 
 QUERIES = business.QUERIES | documents.QUERIES
 ORACLES = business.ORACLES | documents.ORACLES
