@@ -11,6 +11,7 @@ from lectern.operators.business import count
 from lectern.operators.registry import Registry
 from lectern.sources.tables import table
 from lectern.streaming import events as S
+from lectern.streaming import stateful
 
 query = Registry()
 
@@ -50,6 +51,16 @@ def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stale(j, 30).groupBy("status", "stale").agg(count().alias("n"), F.max("event_id").alias("last"))
 
 
+@query("""
+WITH e AS (SELECT user_id AS job, ts, CASE WHEN event_type = 'view' THEN 'processing' ELSE event_type END AS what FROM events), n AS (SELECT *, lead(ts) OVER (PARTITION BY job ORDER BY ts, what) AS next FROM e)
+SELECT job, ts AS since, ts + INTERVAL 30 MINUTE AS failed_at FROM n WHERE what = 'processing' AND (next IS NULL OR next > ts + INTERVAL 30 MINUTE) AND ts + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM e)
+""")
+def hung_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs without an event for 30 minutes after they began; stateful.sweep() gives the same of a stream."""
+    what = F.when(F.col("event_type") == "view", "processing").otherwise(F.col("event_type"))
+    return stateful.swept(table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), "ts", what.alias("what")))
+
+
 def backoff(attempt: Column, initial: int = 30, cap: int = 3600) -> Column:
     """Seconds until the next attempt: twice as long each time, up to a cap."""
     return F.least(F.lit(float(cap)), initial * F.pow(F.lit(2.0), attempt - 1))
