@@ -310,8 +310,8 @@ def sent_at(c: Column) -> Column:
 
 #: Lengths of bank account numbers by country.
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22,
-    "GR": 27, "HU": 28, "IE": 22, "IT": 27, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24,
+    "ES": 24, "PT": 25, "FR": 27, "DE": 22, "IT": 27, "GB": 22, "NL": 18, "BE": 16, "AT": 20, "CH": 21,
+    "IE": 22, "SE": 24, "NO": 15, "DK": 18, "FI": 18, "PL": 28, "CZ": 24, "RO": 24, "HU": 28, "GR": 27,
 }
 
 

@@ -243,43 +243,52 @@ def validated(expected: DataFrame, found: DataFrame, key: str, value: str, share
 # corrections of recognised text
 
 
+#: Kinds of what is corrected, in their order: pattern, normal form (null: not one), and what it takes to be sure of it.
+CORRECTED = (
+    ("nif", r"\b([0-9]{8}[A-Za-z58])\b", T.nif_repaired, lambda c: T.nif_repaired(c).isNotNull()),
+    ("cif", r"\b([A-Wa-w][0-9]{7}[0-9A-Za-z])\b", lambda c: F.when(C.cif_valid(c), F.upper(c)), lambda c: F.lit(True)),
+    ("iban", r"\b([A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4}){3,7}(?: [0-9A-Z]{1,3})?)\b", lambda c: F.replace(c, F.lit(" "), F.lit("")), T.iban_valid),
+    ("amount", r"(?<![\w.,/-])([0-9OIl]{1,3}(?:[.,][0-9OIl]{3})*[.,][0-9OIl]{2})(?![\w/])", T.recognised_number, lambda c: T.recognised_number(c).rlike(r"^\d+\.\d{2}$")),
+    ("date", r"\b((?:1[3-9]|[2-3][0-9])[/-](?:0?[1-9]|1[0-2])[/-](?:[0-9]{4}|[0-9]{2}))\b", T.iso_dates, lambda c: F.size(T.dates(c)) > 0),
+)
+
+
 def postprocessed(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, text, kind, original, corrected, confidence), a row a correction, and one of null kind for a text without any: tax ids whose
-    letter was read as a digit, account numbers without their spaces, amounts and dates in normal form. confidence is 1 for what passes its check, else 0.8.
+    """(key, text, kind, original, corrected, confidence), a row a correction, and one of null kind for a text without any: tax ids of persons whose
+    letter was read as a digit, those of firms in capitals, account numbers without their spaces, amounts and dates in normal form. confidence is 1 for what passes its check, else 0.8.
 
-    A kind's first occurrence is corrected, in the order of these kinds, each in the text that the one before left.
+    Every occurrence is corrected, kind by kind, each kind in the text that the one before left. Rows that share a key stay rows of their own.
     """
-    found = lambda t, p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
-    t, logs = F.coalesce(F.col(text), F.lit("")), []
-    for kind, pattern, fix, sure in (
-        ("nif", r"\b([0-9]{8}[A-Z58])\b", T.nif_repaired, lambda c: T.nif_repaired(c).isNotNull()),
-        ("iban", r"\b([A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4}){3,7}(?: [0-9A-Z]{1,3})?)\b", lambda c: F.replace(c, F.lit(" "), F.lit("")), T.iban_valid),
-        ("amount", r"(?<![\w.,/-])([0-9OIl]{1,3}(?:[.,][0-9OIl]{3})*[.,][0-9OIl]{2})(?![\w/])", T.recognised_number, lambda c: T.recognised_number(c).rlike(r"^\d+\.\d{2}$")),
-        ("date", r"\b((?:1[3-9]|[2-3][0-9])[/-](?:0?[1-9]|1[0-2])[/-](?:[0-9]{4}|[0-9]{2}))\b", T.iso_dates, lambda c: F.size(T.dates(c)) > 0),
-    ):
-        was = found(t, pattern)
-        now = fix(was)
-        log = F.when(was.isNotNull() & now.isNotNull() & (was != now), F.struct(F.lit(kind).alias("kind"), was.alias("original"), now.alias("corrected"), F.when(sure(was), 1.0).otherwise(0.8).alias("confidence")))
-        df = df.withColumn(f"_{kind}_log", log)
-        df = df.withColumn(f"_{kind}_text", F.when(F.col(f"_{kind}_log").isNull(), t).otherwise(_replace_first(t, F.col(f"_{kind}_log")["original"], F.col(f"_{kind}_log")["corrected"])))
-        t = F.col(f"_{kind}_text")
-        logs.append(F.col(f"_{kind}_log"))
-    return df.select(key, t.alias("text"), F.explode_outer(F.array_compact(F.array(*logs))).alias("c")).select(key, "text", "c.kind", "c.original", "c.corrected", "c.confidence")
-
-
-def _replace_first(t: Column, old: Column, new: Column) -> Column:
-    at = F.instr(t, old)
-    return F.concat(F.substring(t, F.lit(1), at - 1), new, F.substring(t, at + F.length(old), F.length(t)))
+    # a kind's corrections and text are columns of their own behind a barrier of the kind before, so no expression is copied into the next
+    df, t, logs = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")), F.col("_text"), []
+    for kind, pattern, fix, sure in CORRECTED:
+        each = F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("original"), fix(h).alias("corrected"), F.when(sure(h), 1.0).otherwise(0.8).alias("confidence")))  # noqa: B023
+        df = df.withColumn(f"_{kind}", F.filter(each, lambda c: c["corrected"].isNotNull() & (c["corrected"] != c["original"])))
+        df = df.withColumn("_text", _replaced(t, F.col(f"_{kind}")))
+        logs.append(F.col(f"_{kind}"))
+    return df.select(key, F.col("_text").alias("text"), F.explode_outer(F.concat(*logs)).alias("c")).select(key, "text", "c.kind", "c.original", "c.corrected", "c.confidence")
+
+
+def _replaced(t: Column, corrections: Column) -> Column:
+    """t with each correction in turn put where its original comes next."""
+    pair = lambda done, rest: F.struct(done.alias("done"), rest.alias("rest"))
+
+    def one(a, c):
+        at = F.instr(a["rest"], c["original"])
+        return pair(F.concat(a["done"], F.substring(a["rest"], F.lit(1), at - 1), c["corrected"]), F.substring(a["rest"], at + F.length(c["original"]), F.length(a["rest"])))
+
+    return F.when(F.size(corrections) == 0, t).otherwise(F.aggregate(corrections, pair(F.lit(""), t), one, lambda a: F.concat(a["done"], a["rest"])))
 
 
 @query("""
 WITH k AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 8, '0') AS n, substr('TRWAGMYFPDXBNJZSQVHLCKE', (c_custkey % 23 + 1)::INT, 1) AS c FROM customer)
 SELECT k AS c_custkey, 'amount' AS kind, '1.2O' || (k % 10) || ',50' AS original, '120' || (k % 10) || '.50' AS corrected, 1.0::DOUBLE AS confidence FROM k
+UNION ALL SELECT k, 'amount', '2.3O' || (k % 7) || ',60', '230' || (k % 7) || '.60', 1.0 FROM k
 UNION ALL SELECT k, 'date', '25/03/2026', '2026-03-25', 1.0 FROM k UNION ALL SELECT k, 'nif', n || translate(c, 'SB', '58'), n || c, 1.0 FROM k WHERE c IN ('S', 'B')
 """)
 def ocr_postprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters with misread ids, amounts and dates, and what is corrected in them."""
     k = F.col("c_custkey")
     letter = F.translate(F.substring(F.lit(C.NIF_LETTERS), (k % 23 + 1).cast("int"), F.lit(1)), "SB", "58")
-    text = F.concat(F.lit("NIF "), F.lpad(k.cast("string"), 8, "0"), letter, F.lit(" importe 1.2O"), (k % 10).cast("string"), F.lit(",50 el 25/03/2026"))
+    text = F.concat(F.lit("NIF "), F.lpad(k.cast("string"), 8, "0"), letter, F.lit(" importe 1.2O"), (k % 10).cast("string"), F.lit(",50 y 2.3O"), (k % 7).cast("string"), F.lit(",60 el 25/03/2026"))
     return postprocessed(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey").drop("text")

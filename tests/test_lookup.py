@@ -44,6 +44,15 @@ def test_corrections(spark):
     assert by["date"].text.endswith("1204.50 el 2026-03-25 y 12345678A") and [(r.id, r.kind) for r in rows if r.id > 1] == [(2, None), (3, None)]
 
 
+def test_every_occurrence_is_corrected(spark):
+    t = "importe 1.2O3,50 y 2.3O4,60 y 1.2O3,50; b58818501 y B58818501, b58818502; 00000035z 00000037B"
+    rows = lookup.postprocessed(spark.createDataFrame([(1, t), (1, "1.2O3,50")], "id int, text string"), "id").collect()
+    got = sorted((r.kind, r.original, r.corrected) for r in rows if len(r.text) > 20)
+    amounts = [("amount", "1.2O3,50", "1203.50")] * 2 + [("amount", "2.3O4,60", "2304.60")]
+    assert [g for g in got if g[0] == "amount"] == amounts and [g for g in got if g[0] == "cif"] == [("cif", "b58818501", "B58818501")]
+    assert rows[0].text.startswith("importe 1203.50 y 2304.60 y 1203.50; B58818501 y B58818501, b58818502;") and [r.text for r in rows if len(r.text) < 20] == ["1203.50"]
+
+
 def test_validation_and_relations(spark):
     e, f = spark.createDataFrame([(1, 10.0), (2, 10.0), (3, None), (4, 1.0)], "k int, v double"), spark.createDataFrame([(1, 10.05), (2, 11.0), (3, None), (5, 1.0)], "k int, v double")
     assert {r.k: r.result for r in lookup.validated(e, f, "k", "v").collect()} == {1: "equal", 2: "different", 3: "equal", 4: "missing", 5: "unexpected"}
