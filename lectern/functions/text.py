@@ -1,5 +1,6 @@
 """Column builders for text: normal forms, headings, languages, numbers, dates, identifiers, redaction. JVM expressions unless a docstring says otherwise."""
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -29,6 +30,12 @@ def ascii_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t.lower()).encode("ascii", "ignore").decode())
 
 
+def plain_tokens(t: str) -> list[str]:
+    """ascii_tokens() of a string."""
+    t = t.lower()
+    return re.findall("[a-z0-9]+", t if t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+
 def ascii_tokens(c: Column) -> Column:
     """Runs of a-z and 0-9 of ascii_fold()."""
     return F.regexp_extract_all(ascii_fold(c), F.lit("([a-z0-9]+)"), 1)

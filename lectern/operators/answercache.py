@@ -5,9 +5,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import text as T
 from lectern.operators.registry import Registry
-from lectern.operators.retrieval import hash_vector
+from lectern.operators.retrieval import embedded
 from lectern.sources.stored import written
 from lectern.sources.tables import table
 
@@ -74,7 +73,10 @@ def answers(asked: DataFrame, cache: DataFrame, least: float = ALIKE) -> DataFra
 
 @query()
 def answer_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of odd conversations as questions, those of even ones as what was asked before; a turn's number isolates."""
-    c = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 100_000 + F.col("turn")).dropDuplicates(["id"])
-    c = c.select("conv_id", "id", F.col("turn").cast("string").alias("isolation"), F.col("text").alias("question"), hash_vector(T.ascii_tokens(F.coalesce("text", F.lit("")))).alias("v"))
-    return answers(c.filter("conv_id % 2 = 1").drop("conv_id"), c.filter("conv_id % 2 = 0").drop("conv_id"))
+    """Titles of pages with odd ids as questions (every second in another form), those of even ones as what was asked before; the language that a page names isolates."""
+    p = table(spark, sf_dir, "pages").dropDuplicates(["page_id"])
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    p = p.select(F.col("page_id").alias("id"), F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("isolation"), F.when(F.col("page_id") % 4 == 1, F.concat(F.lit("¿"), F.upper(title), F.lit("?"))).otherwise(title).alias("question")).filter("question <> ''")
+    v = embedded(p, "id", "question").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    p = written(p.join(v, "id"), "questions")
+    return answers(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"))

@@ -4,10 +4,12 @@ The given tables hold no such papers, so each query writes them from typed colum
 says what must come back. Extractors take a table with a text column and work line by line with DataFrame functions.
 """
 
+import re
 from email.utils import getaddresses
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,7 +44,8 @@ def cells(row: Column) -> Column:
 def table_rows(text: Column) -> Column:
     """array<array<string>> of the first Markdown table of a text: its header, then its rows, cut or filled to the header's width.
 
-    The header stands above the first line of dashes. A table ends at the first line without a pipe. Too many cells are joined
+    The header stands above the first line of dashes. A table ends at the first line without a pipe, and later tables of a text aren't read: what follows a table is
+    mostly notes, which would come out as rows. Too many cells are joined
     to the last one. Rows without any content are left out. Null without a table.
     """
     rows = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -71,19 +74,60 @@ ROLES = {
 }
 
 
+def first_table(text: str | None) -> list[list[str]] | None:
+    """table_rows() of a string."""
+    rows = [r for r in (x.strip(" ") for x in (text or "").split("\n")) if r]
+    rule = next((k for k, r in enumerate(rows) if _RULE_LINE.search(r)), -1)
+    if rule < 1:
+        return None
+    split = lambda r: [x.strip(" ") for x in _PIPES.sub("", r).split("|")]
+    head, body = split(rows[rule - 1]), []
+    for r in rows[rule + 1 :]:
+        if "|" not in r:
+            break
+        c, n = split(r), len(head)
+        c = c + [""] * (n - len(c)) if len(c) <= n else [*c[: n - 1], " | ".join(c[n - 1 :])]
+        if any(c):
+            body.append(c)
+    return [head, *body]
+
+
+_RULE_LINE, _PIPES = re.compile(_RULE), re.compile(r"^\|+|\|+$")
+_ROLE = {name: re.compile(f"(?:{words})") for name, words in ROLES.items()}
+
+
 def items(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, item, reference, description, quantity, unit, unit_price, total_price) of the rows of each text's table that have a reference or a description.
 
-    item counts from 0. Prices and quantities that can't be read are null.
+    item counts from 0. Prices and quantities that can't be read are null. Texts go to Python once, in Arrow batches; as nested column expressions
+    the same was copied into a plan of 65,000 characters.
     """
-    rows = df.select(key, table_rows(F.col(text)).alias("rows")).filter("size(rows) > 1")
-    role = F.transform(F.get("rows", F.lit(0)), lambda h: reduce(lambda a, r: a.when(F.lower(h).rlike(f"^(?:{r[1]})$"), r[0]), list(ROLES.items())[1:], F.when(F.lower(h).rlike(f"^(?:{ROLES['reference']})$"), "reference")))
-    rows = rows.select(key, role.alias("roles"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("item", "cells"))
-    at = lambda name: F.nullif(F.get("cells", (F.array_position("roles", name) - 1).cast("int")), F.lit(""))
-    out = rows.select(
-        key, F.col("item").cast("long").alias("item"), at("reference").alias("reference"), at("description").alias("description"), T.quantity(at("quantity")).alias("quantity"), at("unit").alias("unit"),
-        T.money(at("unit_price")).alias("unit_price"), T.money(at("total_price")).alias("total_price"),
-    )
+    names = list(ROLES)
+
+    def run(batches):
+        for b in batches:
+            at, item, cells_ = [], [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                rows = first_table(t) if t and "|" in t else None
+                if not rows:
+                    continue
+                roles = [next((r for r in names if _ROLE[r].fullmatch(h.lower())), None) for h in rows[0]]
+                of = [roles.index(r) if r in roles else -1 for r in names]
+                for i, c in enumerate(rows[1:]):
+                    at.append(k)
+                    item.append(i)
+                    cells_.append([(c[j] or None) if j >= 0 else None for j in of])
+                    if len(at) == 20_000:
+                        yield batch(b, at, item, cells_)
+                        at, item, cells_ = [], [], []
+            yield batch(b, at, item, cells_)
+
+    def batch(b, at, item, cells_):
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), *[pa.array([c[j] for c in cells_], pa.string()) for j in range(len(names))]], ["key", "item", *names])
+
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, item long, " + ", ".join(f"{n} string" for n in names))
+    out = out.select(F.col("key").alias(key), "item", "reference", "description", T.quantity(F.col("quantity")).alias("quantity"), "unit", T.money(F.col("unit_price")).alias("unit_price"), T.money(F.col("total_price")).alias("total_price"))
     return out.filter("reference IS NOT NULL OR description IS NOT NULL")
 
 

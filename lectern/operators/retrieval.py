@@ -7,6 +7,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from lectern.operators.records import BUDGETS_SQL, INVOICES_SQL, budgets, invoic
 from lectern.operators.registry import Registry
 from lectern.operators.vectorindex import nearest
 from lectern.operators.wordindex import hybrid_pool
+from lectern.sources.stored import once
 from lectern.sources.tables import spread, table
 
 query = Registry()
@@ -60,9 +62,44 @@ def hash_vector(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else embedding(list(x)) for x in s], dtype=object)
 
 
+#: Tokens whose vectors a task holds (half a kilobyte each) before it begins anew.
+HELD = 200_000
+
+
 def embedded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(vec_id, embedding) of every row's whole text."""
-    return spread(docs.select(key, text)).select(F.col(key).alias("vec_id"), hash_vector(T.ascii_tokens(F.coalesce(F.col(text), F.lit("")))).alias("embedding"))
+    """(vec_id, embedding) of every row's whole text, in one Arrow pass from text to vector; a null text is empty. A task hashes each token once."""
+    rows = spread(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+
+    def run(batches):
+        known, vectors = {}, np.empty((1024, SIZE))
+        for b in batches:
+            out = np.zeros((len(b), SIZE))
+            for k, t in enumerate(b.column(1).to_pylist()):
+                times = Counter(T.plain_tokens(t or ""))
+                if len(known) > HELD:
+                    known.clear()
+                at = np.empty(len(times), np.int64)
+                for j, w in enumerate(times):
+                    i = known.get(w)
+                    if i is None:
+                        i = known[w] = len(known)
+                        if i >= len(vectors):
+                            vectors = np.concatenate([vectors, np.empty_like(vectors)])
+                        vectors[i] = _token(w, SIZE)
+                    at[j] = i
+                if len(at):
+                    v = np.fromiter(times.values(), float, len(at)) @ vectors[at]
+                    norm = np.sqrt(v @ v)
+                    out[k] = v / norm if norm else v
+            offsets = pa.array(np.arange(len(b) + 1) * SIZE, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], ["vec_id", "embedding"])
+
+    return rows.mapInArrow(run, "vec_id long, embedding array<double>")
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embedded() of the documents, made once."""
+    return once(table(spark, sf_dir, "documents"), f"vectors-{SIZE}-2", embedded)
 
 
 EMBEDDED_SQL = f"""
@@ -77,14 +114,13 @@ es AS (SELECT doc_id, b, sum(n * v) AS v FROM ec JOIN ev ON t = w GROUP BY 1, 2)
 @query(f"WITH {EMBEDDED_SQL} SELECT doc_id, b AS component, round(v / norm, 6) AS value FROM es JOIN en USING (doc_id) WHERE norm > 0 AND abs(round(v / norm, 6)) > 0")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The components that aren't zero of each text's vector."""
-    e = embedded(table(spark, sf_dir, "documents")).select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("component", "value"))
+    e = stored_vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("component", "value"))
     return e.select("doc_id", F.col("component").cast("long").alias("component"), F.round("value", 6).alias("value")).filter("abs(value) > 0")
 
 
-def semantic(docs: DataFrame, words: tuple[str, ...], most: int = 30) -> DataFrame:
-    """(doc_id, score): the texts nearest to a query's words by hash embeddings, exact, at most most of them."""
+def semantic(e: DataFrame, words: tuple[str, ...], most: int = 30) -> DataFrame:
+    """(doc_id, score): of vectors (vec_id, embedding) of texts, those nearest to a query's words, exact, at most most of them."""
     q = np.array(embedding(list(words)))
-    e = embedded(docs)
     dot = F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, q.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return e.select(F.col("vec_id").alias("doc_id"), F.round(dot, 6).alias("score")).filter("score > 0.02").orderBy(F.desc("score"), "doc_id").limit(most)
 
@@ -115,9 +151,8 @@ SELECT doc_id, round(sum(part), 6)::DOUBLE AS score FROM r GROUP BY 1 ORDER BY s
 """)
 def hybrid_three_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best of a lexical, a phrase and a semantic list, fused; pools of thirty each."""
-    d = table(spark, sf_dir, "documents")
-    pool = lambda x: x.orderBy(F.desc("score"), "doc_id").limit(30)
-    return rrf([hybrid_pool(spark, sf_dir), pool(text_search(spark, sf_dir)), semantic(d, WORDS)], "doc_id", 10)
+    said = text_search(spark, sf_dir).orderBy(F.desc("score"), "doc_id").limit(30)
+    return rrf([hybrid_pool(spark, sf_dir), said, semantic(stored_vectors(spark, sf_dir), WORDS)], "doc_id", 10)
 
 
 # exact search

@@ -146,8 +146,7 @@ def line_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spanish(cents: Column) -> Column:
     """A whole number of cents as 1.234,56."""
-    s = F.lpad(cents.cast("string"), F.greatest(F.length(cents.cast("string")), F.lit(3)), F.lit("0"))
-    return F.concat(F.reverse(F.regexp_replace(F.reverse(F.substring(s, F.lit(1), F.length(s) - 2)), "([0-9]{3})(?=[0-9])", "$1.")), F.lit(","), F.right(s, F.lit(2)))
+    return F.translate(F.format_number((cents.cast("decimal(20, 0)") / 100).cast("decimal(22, 2)"), 2), ",.", ".,")
 
 
 @query("""

@@ -10,7 +10,6 @@ A top-k search scores the segments with the greatest bounds first; segments whos
 out. New documents are another generation of blocks; a ledger names the generations that count, so one half written isn't seen.
 """
 
-import hashlib
 import json
 import re
 import uuid
@@ -25,13 +24,15 @@ from lectern.functions import columns as C
 from lectern.operators.documents import WORDS, _bm25_sql
 from lectern.operators.registry import Registry
 from lectern.sources.snapshots import Ledger
-from lectern.sources.stored import shared_dir
+from lectern.sources.stored import fingerprint, shared_dir
 from lectern.sources.tables import spread, table
 
 query = Registry()
 
 #: Documents and characters of a segment at most (a longer text is a segment of its own), segments of a term that are stored together, and those scored first.
 SEGMENT_DOCS, SEGMENT_CHARS, RUN, FIRST = 1_024, 8_000_000, 64, 64
+#: Raised when blocks change, so that an index of an earlier form isn't read.
+FORMAT = 2
 BLOCK = "term string, segment long, n int, most int, shortest int, slots array<int>, ids array<long>, counts array<int>, lengths array<int>, positions array<array<int>>"
 _WORD = re.compile("[a-z0-9]+")
 _FOLD = str.maketrans(C.ACCENTED, C.PLAIN)
@@ -152,23 +153,23 @@ class WordIndex:
     def bm25(self, asked: tuple[str, ...] | list[str], top: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(doc_id, score): the top documents by Okapi BM25 (six places), then by id."""
         asked = list(asked)
-        rows = self.blocks(asked)
-        every = self.blocks([""]).select("n", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"))
-        docs, tokens = every.agg(F.sum("n"), F.sum("tokens")).first()
-        if not docs:
+        rows, both = self.blocks(asked), self.blocks([*asked, ""])
+        tokens_of = F.when(F.col("term") == "", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))
+        held = {r.term: r for r in both.groupBy("term").agg(F.sum("n").alias("n"), F.sum(tokens_of).alias("tokens"), F.count(F.lit(1)).alias("segments")).collect()}  # a row a word
+        if "" not in held:
             return self.spark.createDataFrame([], "doc_id long, score double")
-        held = dict(rows.groupBy("term").agg(F.sum("n")).collect())  # a row a word
+        docs, tokens, segments = held[""].n, held[""].tokens, held[""].segments
         mean = tokens / docs
         idf = F.lit(0.0)
         for w in asked:
-            df = held.get(w, 0)
+            df = held[w].n if w in held else 0
             idf = F.when(F.col("term") == w, asked.count(w) * F.ln(F.lit(1 + (docs - df + 0.5) / (df + 0.5)))).otherwise(idf)
         weigh = lambda f, n: idf * f * (k1 + 1) / (f + k1 * (1 - b + b * n / (mean or 1.0)))
-        bounds = rows.groupBy("segment").agg(F.sum(weigh(F.col("most"), F.col("shortest"))).alias("bound"))
-        ahead = bounds.orderBy(F.desc("bound"), "segment").limit(FIRST + 1).collect()
-        if len(ahead) <= FIRST:
+        if segments <= FIRST:
             return self._scored(rows, weigh, top)
-        first = [r.segment for r in ahead[:FIRST]]
+        bounds = rows.groupBy("segment").agg(F.sum(weigh(F.col("most"), F.col("shortest"))).alias("bound"))
+        ahead = bounds.orderBy(F.desc("bound"), "segment").limit(FIRST).collect()
+        first = [r.segment for r in ahead]
         best = self._scored(rows.filter(F.col("segment").isin(first)), weigh, top).collect()
         least = best[-1].score - 1e-6 if len(best) == top else float("-inf")
         rest = rows.join(bounds.filter((F.col("bound") >= least) & ~F.col("segment").isin(first)).select("segment"), "segment", "left_semi")
@@ -201,15 +202,7 @@ class WordIndex:
 def of_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> WordIndex:
     """The index of a table's texts, kept in the shared folder under a digest of the table's files, their sizes and times, and built where there is none yet."""
     docs = table(spark, sf_dir, name)
-    jvm, h = spark._jvm, hashlib.sha256()
-    files = sorted(docs.inputFiles())
-    for parent in sorted({f.rsplit("/", 1)[0] for f in files}):
-        p = jvm.org.apache.hadoop.fs.Path(parent)
-        for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p):
-            if f.isFile():
-                h.update(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}\n".encode())
-    h.update("\n".join(files).encode())
-    index = WordIndex(spark, f"{shared_dir(spark)}/words-{h.hexdigest()[:32]}")
+    index = WordIndex(spark, f"{shared_dir(spark)}/words-{FORMAT}-{fingerprint(docs)}")
     return index if index.generations() else index.add(docs)
 
 

@@ -37,11 +37,6 @@ def test_mail_fields(spark):
     assert extraction.mail_fields(one(spark, None), "id").first().sender is None
 
 
-def test_threads(spark):
-    m = spark.createDataFrame([(1, "<a>", None, "tema"), (2, "<b>", "<a>", "otro"), (3, None, "<zz>", "otro"), (4, None, None, None), (5, "<b>", None, "tema")], "id int, message_id string, in_reply_to string, subject_key string")
-    assert {r.id: r.thread for r in extraction.threads(m, "id").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
-
-
 def test_chunks_keep_tables_and_headings():
     table = "| a | b |\n|---|---|\n" + "\n".join(f"| {k} | x |" for k in range(300))
     got = list(chunking.structured(f"# Uno\n\nTexto corto.\n\n{table}\n\nMás texto.\n\nFINAL DE TODO"))
