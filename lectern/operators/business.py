@@ -273,19 +273,31 @@ def shared_reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharing(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("ref")))
 
 
-def sharing(mentions: DataFrame) -> DataFrame:
+#: References of a document up to which it makes pairs of them (some 20,000 then).
+FEW = 200
+
+
+def sharing(mentions: DataFrame, few: int = FEW) -> DataFrame:
     """(a, b, shared): the documents that share two references or more, of mentions (doc, ref).
 
     They meet by pairs of references instead of by one: what two documents with s shared references have in common is s (s - 1) / 2
-    pairs, so a reference that half of all documents hold makes no pairs of documents that aren't in the result. A document's
-    own references are collected, so they are to be few (an order has some lines).
+    pairs, so a reference that half of all documents hold makes no pairs of documents that aren't in the result. A document of more
+    than few references would make too many pairs of them: it meets the others by single references, of which none is collected. Such documents are few, as
+    there are at most mentions / few of them.
     """
-    refs = mentions.filter("doc IS NOT NULL AND ref IS NOT NULL").groupBy("doc").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    m = mentions.filter("doc IS NOT NULL AND ref IS NOT NULL").select("doc", "ref").distinct()
+    sizes = m.groupBy("doc").agg(count().alias("n"))
+    long_ = sizes.filter(F.col("n") > few).select("doc")
+    refs = m.join(long_, "doc", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
     two = F.flatten(F.transform("refs", lambda x, i: F.transform(F.slice("refs", i + 2, F.size("refs")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     keys = refs.select("doc", F.explode(two).alias("k")).select("doc", "k.x", "k.y")
     a, b = keys.select(F.col("doc").alias("a"), "x", "y"), keys.select(F.col("doc").alias("b"), "x", "y")
     n = a.join(b, ["x", "y"]).filter("a < b").groupBy("a", "b").agg(count().alias("n"))
-    return n.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("shared"))
+    short = n.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("shared"))
+    own = m.join(long_, "doc", "left_semi").select(F.col("doc").alias("x"), "ref")
+    met = own.join(m.select(F.col("doc").alias("y"), "ref"), "ref").filter("x <> y").groupBy("x", "y").agg(count().alias("shared")).filter("shared >= 2")
+    # two long documents find each other twice
+    return short.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared").distinct())
 
 
 def hops(edges: DataFrame, most: int) -> DataFrame:

@@ -67,6 +67,41 @@ def nearest_anchors(entities: DataFrame, anchors: DataFrame) -> DataFrame:
     return out.select("plan", "entity", "anchor", "distance", rank.alias("rank"))
 
 
+#: By how much of its value a dimension may differ from what is drawn, and the pixels that a box must have on its longer side.
+TOLERANCE, LEAST_SIDE = 0.30, 4.0
+
+
+def pixels_per_metre(dpi: Column, scale: Column) -> Column:
+    """Pixels of a real metre on a page of dpi dots an inch, drawn at 1:scale; null unless both are positive."""
+    return F.when((dpi > 0) & (scale > 0), dpi / 0.0254 / scale)
+
+
+def checked_dimensions(dims: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """dims (value_m, x0, y0, x1, y1, dpi, scale, confidence, ...) with expected_m and needs_review: what the longer side of a dimension's box stands for in metres, and whether
+    its value differs from that by more than tolerance of itself. Such a dimension keeps its value, and has half its confidence.
+
+    expected_m is null, and nothing is in doubt, where the box, scale or resolution is missing, the box is below LEAST_SIDE pixels, or the value isn't positive.
+    """
+    side = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+    whole = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    expected = F.when(whole & (side >= LEAST_SIDE), side / pixels_per_metre(F.col("dpi"), F.col("scale")))
+    off = F.coalesce((F.col("value_m") > 0) & (F.abs(F.col("expected_m") - F.col("value_m")) / F.col("value_m") > tolerance), F.lit(False))
+    rows = dims.withColumn("expected_m", expected).withColumn("needs_review", off)
+    return rows.withColumn("confidence", F.when(F.col("needs_review"), F.round(F.col("confidence") * 0.5, 4)).otherwise(F.col("confidence")))
+
+
+@query("""
+WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity AS value_m, CASE WHEN l_discount > 0.05 THEN 2 ELSE 1 END * l_quantity / 50 / 0.0254 * 300 AS side FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(side / (300 / 0.0254 / 50), 6) AS expected_m, abs(side / (300 / 0.0254 / 50) - value_m) / value_m > 0.3 AS needs_review, CASE WHEN abs(side / (300 / 0.0254 / 50) - value_m) / value_m > 0.3 THEN 0.45 ELSE 0.9 END::DOUBLE AS confidence FROM d
+""")
+def dimensions_against_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities as lengths drawn at 1:50 and 300 dots an inch, those with large discounts twice as long as they say."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("value_m"), "l_discount")
+    side = F.when(F.col("l_discount") > 0.05, 2).otherwise(1) * F.col("value_m") / 50 / 0.0254 * 300
+    dims = li.select("l_orderkey", "l_linenumber", "value_m", F.lit(10.0).alias("x0"), F.lit(5.0).alias("y0"), (side + 10).alias("x1"), F.lit(9.0).alias("y1"), F.lit(300.0).alias("dpi"), F.lit(50.0).alias("scale"), F.lit(0.9).alias("confidence"))
+    return checked_dimensions(dims).select("l_orderkey", "l_linenumber", F.round("expected_m", 6).alias("expected_m"), "needs_review", "confidence")
+
+
 @query("""
 WITH p AS (SELECT label AS plan, vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
 d AS (SELECT e.plan, e.vec_id AS entity, a.vec_id AS anchor, sqrt((e.x - a.x) * (e.x - a.x) + (e.y - a.y) * (e.y - a.y)) AS distance FROM p e JOIN p a ON a.plan = e.plan AND a.vec_id % 7 = 0 AND e.vec_id % 7 <> 0),

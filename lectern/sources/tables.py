@@ -15,10 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Partitions of a table that spread() still moves (of 128 MB each, unless the session says otherwise).
+SMALL = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if its files give fewer (one row group isn't split), for work that costs more than moving the rows.
+    """df in as many partitions as there are cores, if its files give fewer (one row group isn't split) and SMALL at most, for work that costs more than moving the rows.
 
-    A table of many files or row groups, as any large one is, stays as it is.
+    Larger tables stay as they are, however many cores there are: their texts aren't shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, n = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < min(cores, SMALL + 1) else df

@@ -41,7 +41,7 @@ def test_unions_of_boxes_through_spark(spark, monkeypatch):
     text = "El presupuesto de la obra incluye tabiques de yeso laminado con espesor de quince milimetros y perfiles de acero segun norma vigente".split()
     rows = boxes_of(1, text) + [(2, 0, "tabiques", None, 0.0, 1.0, 1.0), (2, 1, None, 0.0, 0.0, 1.0, 1.0), (2, 2, "yeso", 3.0, 4.0, 5.0, 6.0), (None, 0, "yeso", 0.0, 0.0, 1.0, 1.0)]
     boxes = spark.createDataFrame(rows, "page long, place int, word string, x0 double, y0 double, x1 double, y1 double")
-    quotes = [(10, 1, "tab1ques de yes0 lam1nado, con espesor"), (11, 1, "perfi1es de acero"), (12, 1, "nada de esto esta aqui escrito"), (13, 1, None), (14, 1, ""), (15, None, "yeso"), (16, 2, "yeso"), (17, 9, "yeso"), (18, 1, "presupuesto obra incluye"), (19, 1, "tabiques")]
+    quotes = [(10, 1, "tab1ques de yes0 lam1nado, con espesor"), (11, 1, "perfi1es de acero"), (12, 1, "nada de esto esta aqui escrito"), (13, 1, None), (14, 1, ""), (15, None, "yeso"), (16, 2, "yeso"), (17, 9, "yeso"), (18, 1, "presupuesto de obra incluye"), (19, 1, "tabiques")]
     got = {r.quote: r for r in H.highlights(spark.createDataFrame(quotes, "quote long, page long, text string"), boxes).collect()}
     assert set(got) == {10, 11, 16, 18, 19}
     r = got[10]

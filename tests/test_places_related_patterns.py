@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from lectern.operators import extraction, patterns, places
+from lectern.operators import business, extraction, patterns, places
 from lectern.operators.related import Links, Peers, related
 
 
@@ -98,3 +98,24 @@ def test_a_hundred_thousand_learned_rules(spark):
     rules = spark.range(100_000).select(F.lit("product").alias("type"), F.concat(F.lit("n"), F.col("id").cast("string"), F.lit(".")).alias("word"), F.lit(0.3).alias("weight"))
     got = {r.page_id: (r.type, r.confidence) for r in extraction.classified(pages, "page_id", rules=(), settled=(), learned=rules).collect()}
     assert got == {k: ("product", 0.4) for k in range(50)}
+
+
+def test_dimensions_against_the_scale(spark):
+    rows = [(1, 5.0, 0.0, 0.0, 1181.1, 4.0, 300.0, 50.0, 0.8), (2, 5.0, 0.0, 0.0, 600.0, 4.0, 300.0, 50.0, 0.8), (3, 5.0, None, 0.0, 600.0, 4.0, 300.0, 50.0, 0.8), (4, 5.0, 0.0, 0.0, 2.0, 3.0, 300.0, 50.0, 0.8), (5, 0.0, 0.0, 0.0, 600.0, 4.0, 300.0, 50.0, 0.8), (6, 5.0, 0.0, 0.0, 600.0, 4.0, None, 50.0, 0.8), (7, 5.0, 0.0, 0.0, 600.0, 4.0, 300.0, 0.0, 0.8), (8, 5.0, 9.0, 1200.0, 0.0, 0.0, 300.0, 50.0, None)]
+    dims = spark.createDataFrame(rows, "id int, value_m double, x0 double, y0 double, x1 double, y1 double, dpi double, scale double, confidence double")
+    got = {r.id: (r.expected_m and round(r.expected_m, 3), r.needs_review, r.confidence) for r in places.checked_dimensions(dims).collect()}
+    assert got == {1: (5.0, False, 0.8), 2: (2.54, True, 0.4), 3: (None, False, 0.8), 4: (None, False, 0.8), 5: (2.54, False, 0.8), 6: (None, False, 0.8), 7: (None, False, 0.8), 8: (5.08, False, None)}
+
+
+def test_documents_with_very_many_references(spark):
+    rng = random.Random(8)
+    mentions = [(d, rng.randrange(40)) for d in range(40) for _ in range(rng.randrange(12))] + [(d, r) for d in (100, 101, 5) for r in range(500 * (d == 100) + 30)] + [(7, None), (None, 3)]
+    sets = defaultdict(set)
+    for d, r in mentions:
+        if d is not None and r is not None:
+            sets[d].add(r)
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2}
+    rows = spark.createDataFrame(mentions, "doc long, ref long")
+    for few in (0, 5, 20, 1000):
+        got = business.sharing(rows, few).collect()
+        assert {(r.a, r.b): r.shared for r in got} == want and len(got) == len(want)
