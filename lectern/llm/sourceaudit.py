@@ -22,7 +22,7 @@ from lectern.llm.common import written
 #: Documents of a language that a kept term is in at least; terms listed for each group; what shares are multiples of.
 MIN_DOCS, TERM_RANKS, UNIT = 3, 200, 1_000_000_000
 #: Bytes of text sorted at a time (a longer text is cut between words), and pointers of a slice that is sorted at once.
-SHARD_BYTES, SLICE = 16 << 20, 1 << 16
+SHARD_BYTES, SLICE = 8 << 20, 1 << 16
 #: Rows of (term, source) that are compared in one group, and cells of a table of them.
 PAIR_ROWS, CELLS = 400_000, 2_000_000
 
