@@ -64,24 +64,29 @@ class Slices:
         return entry, distance
 
     def _nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        entry, distance = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        todo, radius = np.arange(len(x)), np.full(len(x), self.radius)
+        n, none = len(x), np.iinfo(np.int64).max
+        entry, distance = np.zeros(n, np.int64), np.full(n, none)
+        todo, radius, seen = np.arange(n), np.full(n, self.radius), np.zeros((n, self.prefix.shape[2]), np.uint64)
         while len(todo):
             masks = self.within(x[todo], radius[todo])
-            row, of = np.nonzero(np.unpackbits(masks.astype("<u8").view(np.uint8), axis=1, bitorder="little"))
-            found = np.zeros(len(todo), bool)
-            found[row] = True
+            fresh = masks & ~seen[todo]  # a wider box holds the one before
+            seen[todo] = masks
+            row, of = np.nonzero(np.unpackbits(fresh.astype("<u8").view(np.uint8), axis=1, bitorder="little"))
             if len(row):
-                d = np.square(x[todo[row]] - self.book[of]).sum(1)
+                far = x[todo[row]] - self.book[of]
+                d = np.einsum("ij,ij->i", far, far)
                 starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 best = np.minimum.reduceat(d, starts)
                 first = np.flatnonzero(d == np.repeat(best, np.diff(np.r_[starts, len(row)])))
                 first = first[np.r_[True, row[first][1:] != row[first][:-1]]]
-                entry[todo[found]], distance[todo[found]] = of[first], best
+                at, new = todo[row[first]], of[first]
+                better = (best < distance[at]) | (best == distance[at]) & (new < entry[at])
+                entry[at[better]], distance[at[better]] = new[better], best[better]
             # an entry at distance b differs by sqrt(b) at most in any dimension: with a radius as large, the best is proven
-            bound = np.sqrt(distance[todo]).astype(np.int64) + 1
+            found = distance[todo] < none
+            bound = np.where(found, np.sqrt(np.where(found, distance[todo], 0)).astype(np.int64) + 1, radius[todo] * 2)
             open_ = ~found | (bound > radius[todo])
-            radius[todo] = np.where(found, bound, radius[todo] * 2)
+            radius[todo] = bound
             todo = todo[open_]
         return entry, distance
 

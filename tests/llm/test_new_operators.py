@@ -158,6 +158,15 @@ def test_runs_are_equal_words():
         assert len(set(zip(run.tolist(), got, strict=True))) == len(set(got)) == len(heads) and all(run[h] == k for k, h in enumerate(heads))
 
 
+@pytest.mark.parametrize("size", [7, 64, 1000, 10**6])
+def test_a_long_text_is_counted_in_pieces(monkeypatch, size):
+    monkeypatch.setattr(sourceaudit, "SHARD_BYTES", size)
+    text = words(random.Random(6), 3000) + " " + "é" * 500 + " end"
+    term, n = sourceaudit._long(np.frombuffer(text.encode(), np.uint8))
+    want = Counter("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text))
+    assert dict(zip(term.to_pylist(), n.tolist(), strict=True)) == want
+
+
 # ---- mixing
 
 
