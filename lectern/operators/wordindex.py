@@ -1,10 +1,11 @@
 """A stored index of words: ranked search and phrases without reading a text.
 
 Documents are inverted in segments of SEGMENT_DOCS. A row of the index is a block: one term in one segment, with the segment's places and ids
-that hold it, how often, how long these documents are, and where in them the term stands; and the greatest count and least length, which
-bound what any document of the block can score. So no term's rows are larger than a segment, however common it is. The row
-of the empty term has all of a segment's documents. Rows are dealt by (term, run of segments) and sorted by term, so that a search reads the row groups of its
-words alone.
+that hold it, how often, how long these documents are, and where in the segment the term stands; and the greatest count and least length, which
+bound what any document of the block can score. So no term's rows are larger than a segment, however common it is. Places of words run on over a
+segment's documents, with one left out between two, so that the words of a phrase are found by places alone; the row of the empty term has all of a segment's
+documents and where each begins. What a task inverts it writes, sorted by term, without a shuffle, so a search reads the row groups of its words alone;
+compact() puts a large index in ranges of terms, so that it opens few files as well.
 
 A top-k search scores the segments with the greatest bounds first; segments whose bound is below the k-th score so far are left
 out. New documents are another generation of blocks; a ledger names the generations that count, so one half written isn't seen.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import columns as C
+from lectern.operators.business import count
 from lectern.operators.documents import WORDS, _bm25_sql
 from lectern.operators.registry import Registry
 from lectern.sources.snapshots import Ledger
@@ -29,11 +31,11 @@ from lectern.sources.tables import spread, table
 
 query = Registry()
 
-#: Documents and characters of a segment at most (a longer text is a segment of its own), segments of a term that are stored together, and those scored first.
-SEGMENT_DOCS, SEGMENT_CHARS, RUN, FIRST = 1_024, 8_000_000, 64, 64
+#: Documents and characters of a segment at most (a longer text is a segment of its own), and segments scored first.
+SEGMENT_DOCS, SEGMENT_CHARS, FIRST = 1_024, 8_000_000, 64
 #: Raised when blocks change, so that an index of an earlier form isn't read.
-FORMAT = 2
-BLOCK = "term string, segment long, n int, most int, shortest int, slots array<int>, ids array<long>, counts array<int>, lengths array<int>, positions array<array<int>>"
+FORMAT = 3
+BLOCK = "term string, segment long, n int, most int, shortest int, slots array<int>, ids array<long>, counts array<int>, lengths array<int>, positions array<int>"
 _WORD = re.compile("[a-z0-9]+")
 _FOLD = str.maketrans(C.ACCENTED, C.PLAIN)
 
@@ -56,7 +58,8 @@ def _blocks(ids: list, texts: list[str], segment: int) -> tuple[pa.RecordBatch,
     rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
     term = rank[of]
     slot = np.repeat(np.arange(len(texts)), lengths)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    bases = np.cumsum(lengths) - lengths + np.arange(len(lengths))
+    place = np.arange(len(of)) + slot
     order = np.argsort(term, kind="stable")  # documents and places stay in order within a term
     term, slot, place = term[order], slot[order], place[order]
     first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (slot[1:] != slot[:-1])]) if len(term) else np.empty(0, np.int64)
@@ -73,19 +76,19 @@ def _blocks(ids: list, texts: list[str], segment: int) -> tuple[pa.RecordBatch,
     def all_(values, kind):
         return pa.array([values], pa.list_(kind))
 
-    places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(term)].astype(np.int32)), pa.array(place.astype(np.int32)))
+    places = np.r_[first, len(term)][ends].astype(np.int32)
     n = len(names)
     held = pa.RecordBatch.from_arrays(
         [
             pa.array(sorted(names), pa.string()), pa.array(np.full(n, segment), pa.int64()), pa.array(np.diff(ends), pa.int32()),
             pa.array(np.maximum.reduceat(counts, starts) if n else counts, pa.int32()), pa.array(np.minimum.reduceat(lengths[holder], starts) if n else counts, pa.int32()),
             lists(holder.astype(np.int32)), lists(own[holder], missing[holder]), lists(counts.astype(np.int32)), lists(lengths[holder].astype(np.int32)),
-            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places),
+            pa.ListArray.from_arrays(pa.array(places), pa.array(place.astype(np.int32))),
         ], _NAMES)
     whole = pa.RecordBatch.from_arrays(
         [
             pa.array([""]), pa.array([segment], pa.int64()), pa.array([len(texts)], pa.int32()), pa.array([0], pa.int32()), pa.array([int(lengths.min(initial=0))], pa.int32()),
-            all_(list(range(len(texts))), pa.int32()), all_(list(ids), pa.int64()), all_([0] * len(texts), pa.int32()), all_(lengths.tolist(), pa.int32()), all_([[]] * len(texts), pa.list_(pa.int32())),
+            all_(list(range(len(texts))), pa.int32()), all_(list(ids), pa.int64()), all_([0] * len(texts), pa.int32()), all_(lengths.tolist(), pa.int32()), all_(bases.tolist(), pa.int32()),
         ], _NAMES)
     return whole, held
 
@@ -131,13 +134,25 @@ class WordIndex:
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> "WordIndex":
         """The index with more documents (key, text), each row being one; a null text has no words. Rows of documents that it has are added again."""
         had = self.generations()
-        folder = f"g{len(had)}-{uuid.uuid4().hex}"
-        run = F.col("segment").bitwiseAND(F.lit(-RUN).cast("long"))
-        _inverted(spread(docs.select(key, text)), len(had), key, text).repartition("term", run).sortWithinPartitions("term", "segment").write.parquet(f"{self.path}/{folder}")
-        if not self.ledger.create(f"{len(had):010d}.json", json.dumps({"folders": [*had, folder]})):
-            raise RuntimeError(f"another writer has added to {self.path}; add again")
+        number = len(self.ledger.names())  # of a generation: rises with every commit, so segments stay distinct
+        folder = f"g{number}-{uuid.uuid4().hex}"
+        _inverted(spread(docs.select(key, text)), number, key, text).sortWithinPartitions("term", "segment").write.parquet(f"{self.path}/{folder}")
+        return self._commit([*had, folder])
+
+    def _commit(self, folders: list[str]) -> "WordIndex":
+        number = sum(n.endswith(".json") and not n.startswith(".") for n in self.ledger.names())
+        if not self.ledger.create(f"{number:010d}.json", json.dumps({"folders": folders})):
+            raise RuntimeError(f"another writer has written to {self.path}; begin again")
         return self
 
+    def compact(self) -> "WordIndex":
+        """The index with its generations as one, in ranges of (term, segment): a search opens the files of its words' ranges. Old folders stay until their owner clears them."""
+        had = self.generations()
+        folder = f"c{len(had)}-{uuid.uuid4().hex}"
+        rows = self.spark.read.schema(BLOCK).parquet(*[f"{self.path}/{f}" for f in had])
+        rows.repartitionByRange("term", "segment").sortWithinPartitions("term", "segment").write.parquet(f"{self.path}/{folder}")
+        return self._commit([folder])
+
     def blocks(self, terms: list[str]) -> DataFrame:
         """The blocks of some terms; their names reach the scan."""
         folders = self.generations()
@@ -148,7 +163,7 @@ class WordIndex:
     def terms(self) -> DataFrame:
         """(term, df, cf): how many documents hold each term, and how often it occurs. Sums of blocks; no postings of a common term meet."""
         rows = self.spark.read.schema(BLOCK).parquet(*[f"{self.path}/{f}" for f in self.generations()]).filter("term <> ''") if self.generations() else self.spark.createDataFrame([], BLOCK)
-        return rows.select("term", "n", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("cf")).groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("cf").cast("long").alias("cf"))
+        return rows.select("term", "n", F.size("positions").alias("cf")).groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("cf").cast("long").alias("cf"))
 
     def bm25(self, asked: tuple[str, ...] | list[str], top: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(doc_id, score): the top documents by Okapi BM25 (six places), then by id."""
@@ -184,19 +199,16 @@ class WordIndex:
         return scores.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(top)
 
     def phrase(self, said: list[str]) -> DataFrame:
-        """(doc_id, n): documents that hold the words one behind the other, and how often. Segments that lack a word drop out before any position is looked at."""
+        """(doc_id, n): documents that hold the words one behind the other, and how often: a segment's places of each word, moved back by its place in the phrase, in all of these. Segments that lack a word drop out."""
         if not said:
             return self.spark.createDataFrame([], "doc_id long, n long")
         out = None
         for i, w in enumerate(said):
-            rows = self.blocks([w]).select("segment", F.explode(F.arrays_zip("slots", "ids", "positions")).alias("x"))
-            rows = rows.select("segment", F.col("x.slots").alias("slot"), F.col("x.ids").alias("doc_id"), F.transform("x.positions", lambda p: p - i).alias("at"))  # noqa: B023
-            if out is None:
-                out = rows
-                continue
-            rows = rows.select("segment", "slot", F.col("at").alias("next"))
-            out = out.join(rows, ["segment", "slot"]).withColumn("at", F.array_intersect("at", "next")).filter("size(at) > 0").drop("next")
-        return out.select("doc_id", F.size("at").cast("long").alias("n"))
+            rows = self.blocks([w]).select("segment", F.transform("positions", lambda p: p - i).alias("at" if out is None else "next"))  # noqa: B023
+            out = rows if out is None else out.join(rows, "segment").select("segment", F.array_intersect("at", "next").alias("at")).filter("size(at) > 0")
+        docs = self.blocks([""]).select("segment", "ids", F.col("positions").alias("bases"))
+        hits = out.join(docs, "segment").select("segment", "ids", F.explode(F.transform("at", lambda p: F.size(F.filter("bases", lambda b: b <= p)) - 1)).alias("slot"))
+        return hits.groupBy("segment", "slot").agg(F.first(F.get("ids", F.col("slot"))).alias("doc_id"), count().alias("n")).select("doc_id", "n")
 
 
 def of_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> WordIndex:

@@ -80,6 +80,10 @@ def test_added_documents_count(spark, monkeypatch):
     index = WordIndex(spark, path).add(spark.createDataFrame(docs[50:], SCHEMA))
     want = plain(docs, ("w3", "w7"), 10)
     assert [r.score for r in index.bm25(("w3", "w7"), 10).collect()] == pytest.approx([s for s, _ in want], abs=2e-6)
+    assert len(index.compact().generations()) == 1
+    assert [r.score for r in index.bm25(("w3", "w7"), 10).collect()] == pytest.approx([s for s, _ in want], abs=2e-6)
+    assert len(index.add(spark.createDataFrame([(500, "w3 only")], SCHEMA)).generations()) == 2 and index.phrase(["w3", "only"]).collect() == [(500, 1)]
+    want = plain([*docs, (500, "w3 only")], ("w3", "w7"), 10)
     monkeypatch.setattr(snapshots.Ledger, "create", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
     with pytest.raises(KeyboardInterrupt):
         index.add(spark.createDataFrame(docs, SCHEMA))
