@@ -12,10 +12,15 @@ recogniser's span are observed; spans are added for the others where the field i
 
 It is trained by distant supervision on about SAMPLE documents (those of least hash among those with a digit or an @ and
 at most SAMPLE_CHARS long). Labels are the recognisers' own spans, secrets that stand behind a word for them and a sign of
-assignment, and, in a copy of each document, cut or respelt mentions of what was recognised in it, put there for training. Tokens that look like
+assignment, and, in a copy of each document, cut or respelt mentions of what was recognised in it, put there for training.
+Beside each such mention the copy gets a look-alike: a word of the same form with other digits and letters, in the same
+surroundings, that nothing in the document answers to. Its label is outside. So what a mention itself shows cannot settle its
+label, and the field has to learn it from the edges: ten digits are a phone number where one recognised elsewhere ends
+in them, and outside where none does; so are numbers of a card's length with a wrong check digit. Other tokens that look like
 personal data and have no label (seven digits or more, an @, or tied to a recognised one) are neither taken for it nor
-for outside: they are latent, and training maximises the likelihood of the labels that are known. So a number of a card's
-length with a wrong check digit is left to what the field has learnt of cards; it mostly comes out as one.
+for outside: they are latent, and training maximises the likelihood of the labels that are known.
+
+An empty table trains a field of zero weights and has no spans; extra columns are left out.
 """
 
 import bisect
@@ -34,10 +39,13 @@ LABELS = ("outside", *KINDS, "secret")
 SAMPLE, SAMPLE_CHARS = 1_500, 20_000
 #: Least marginal probability of an added label, and rounds of message passing.
 SURE, ROUNDS = 0.8, 12
+#: Characters of the texts that share one graph; a longer text has its own.
+GRAPH_CHARS = 2_000_000
 SPANS = "array<struct<kind:string,start:long,stop:long,base:boolean>>"
 
 _ANY = re.compile("[0-9@]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+_LOCALS = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -45,6 +53,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?([A-Za-z0-9_/+-]{16,256})", re.I)
 _NUMBERS = re.compile(r"[0-9()+./-]*[0-9][0-9()+./-]*")
+_THREE = re.compile(r"([0-9]{1,3})[.-]([0-9]{1,3})[.-]([0-9]{1,3})(?:[.-][0-9x]{1,3})?$")
 _EDGE = "\"'.,;:!?<>[]{}#*%$&|"
 
 
@@ -102,7 +111,7 @@ def node_features(token: str, before: str, after: str) -> list[str]:
     out += [f"at {'@' in core}", f"plus {core.startswith('+')}", f"brackets {'(' in core or ')' in core}", f"digits only {core.isdigit()}", f"octets {octets}"]
     if 12 <= len(digits) <= 19:
         out.append(f"luhn {luhn(digits)} {len(digits) >= 16}")
-    turns = len(re.findall("[0-9][A-Za-z]|[A-Za-z][0-9]", core[:200]))
+    turns = len(re.findall("[0-9][A-Za-z]|[A-Za-z][0-9]", core))
     out += [f"turns {_bucket(turns)}", f"one word {len(core) >= 16 and core.isalnum()}", f"quoted {token[:1] in QUOTES}"]
     named = re.fullmatch(r"([A-Za-z_-]{3,12}) ?([=:])", before) or re.match(r"([A-Za-z_-]{3,12})([=:])", token)
     if named and named[1].lower() in CONTEXT:
@@ -122,17 +131,23 @@ CONTEXT = frozenset("tel phone call fax mobile cell mail email contact card visa
 def similar_keys(token: str, digits: str = "") -> list[str]:
     """Keys of a token: tokens with a key in common are joined by skip edges.
 
-    The token itself; an address's local part, or the token as one; of the digits of the number that it is a part of (its own,
-    if digits is empty), all, the first six and the last seven, as far as there are so many.
+    The token itself, and what stands behind a sign of assignment in it; an address's local part, or the token as one; of the
+    digits of the number that it is a part of (its own, if digits is empty), all, the first six and the last seven, as far as
+    there are so many; the first three of four numbers or of three and a sign, parted by dots or dashes.
     """
     core = token.strip(_EDGE).lower()
     digits = digits or re.sub("[^0-9]", "", core)
     out = [f"= {core}"]
+    _, sign, value = core.rpartition("=")
+    out += [f"= {value.strip(_EDGE)}"] if sign and value.strip(_EDGE) else []
+    if parts := _THREE.match(core):
+        out.append(f". {parts[1]} {parts[2]} {parts[3]}")
     at = core.find("@")
     if at < 0:
         out += [f"9 {digits}", f"9< {digits[:6]}"] if len(digits) >= 6 else []
         out += [f"9> {digits[-7:]}"] if len(digits) >= 7 else []
-        out += [f"@ {core}"] if len(core) > 2 else []
+        local = _LOCALS.match(core)
+        out += [f"@ {local[0]}"] if local and len(local[0]) > 2 else []
     elif at > 2:
         out.append(f"@ {core[:at]}")
     return out
@@ -141,11 +156,9 @@ def similar_keys(token: str, digits: str = "") -> list[str]:
 def candidates(t: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """(start, stop) of the tokens that are nodes: those with a digit or an @, and those with the local part of a recognised address in them."""
     marks = {m.start() for m in _ANY.finditer(t)}
-    for local in {t[a:b].split("@")[0] for k, a, b in base if k == "email"}:
-        at = t.find(local) if len(local) >= 4 else -1
-        while at >= 0:
-            marks.add(at)
-            at = t.find(local, at + len(local))
+    locals_ = {x for k, a, b in base if k == "email" and len(x := t[a:b].split("@")[0]) >= 4}
+    if locals_:
+        marks.update(m.start() for m in _LOCALS.finditer(t) if m[0] in locals_ or m[0].rstrip("._%+-") in locals_)
     out, place = [], 0
     for a in sorted(marks):
         if a < place:
@@ -219,7 +232,8 @@ class Graph:
                 self.labels.append(LABELS.index(given) if given else 0)
                 self.observed.append(hit is not None)
                 self.latent.append(not given and ("@" in word or len(digits) >= 7))
-                self.features.append(node_features(word, *_near(t, a, b)))
+                # an observed token's label is given, so only training asks for its features
+                self.features.append([] if hit and known is None else node_features(word, *_near(t, a, b)))
                 if before is not None and not t[before:a].strip(" \t\n\v\f\r"):
                     edges.append((n - 1, n, 0))
                 before = b
@@ -242,6 +256,7 @@ class Graph:
                 if self.observed[n]:
                     ahead.update(dict.fromkeys(keys, n))
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
+        self.texts = np.array([self.nodes[e[0]][0] for e in edges], np.int64)
         for i, j, kind in edges:
             for x, y in ((i, j), (j, i)):
                 if kind and self.observed[x] and not self.labels[y]:
@@ -273,10 +288,11 @@ def _norm(x: np.ndarray) -> np.ndarray:
     return x - top - np.log(np.exp(x - top).sum(axis=1, keepdims=True))
 
 
-def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Loopy sum-product: log marginals of the nodes and of the edges (labels of first and second end).
 
-    node: (nodes, labels) log potentials; pair: (types, labels, labels).
+    node: (nodes, labels) log potentials; pair: (types, labels, labels); groups: each edge's text. A text's messages stop when
+    they have settled, so what comes out doesn't depend on the texts that share its graph.
     """
     n, k = node.shape
     e = len(edges)
@@ -294,13 +310,18 @@ def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
         b[into] += np.add.reduceat(msg[order], starts)
         return b
 
+    groups = np.zeros(e, np.int64) if groups is None else np.unique(groups, return_inverse=True)[1]
+    groups, live = np.concatenate([groups, groups]), np.arange(2 * e)
     for _ in range(rounds):
-        out = (belief()[src] - msg[back])[:, :, None] + psi
+        out = (belief()[src[live]] - msg[back[live]])[:, :, None] + psi[live]
         top = out.max(axis=1)
         new = _norm(top + np.log(np.exp(out - top[:, None, :]).sum(axis=1)))
-        done = np.abs(np.exp(new) - np.exp(msg)).max() < 1e-4
-        msg = new if done else np.logaddexp(np.log(0.3) + msg, np.log(0.7) + new)
-        if done:
+        moved = np.zeros(groups.max() + 1)
+        np.maximum.at(moved, groups[live], np.abs(np.exp(new) - np.exp(msg[live])).max(axis=1))
+        done = moved[groups[live]] < 1e-4
+        msg[live] = np.where(done[:, None], new, np.logaddexp(np.log(0.3) + msg[live], np.log(0.7) + new))
+        live = live[~done]
+        if not len(live):
             break
     b = belief()
     left, right = (b[edges[:, 0]] - msg[e:])[:, :, None], (b[edges[:, 1]] - msg[:e])[:, None, :]
@@ -311,17 +332,8 @@ def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
 class Field:
     """Weights: names maps features to rows of weight; pair has a table of label pairs for each edge type."""
 
-    def __init__(self, names: dict[str, int], weight: np.ndarray, pair: np.ndarray, shapes: set):
-        self.names, self.weight, self.pair, self.shapes = names, weight, pair, shapes
-
-    def supported(self, g: Graph, best: np.ndarray) -> np.ndarray:
-        """Nodes whose label their shape had in training, or an observed neighbour has: no label comes from nowhere."""
-        y, seen = np.array(g.labels), np.array(g.observed)
-        out = np.array([(f[2], b) in self.shapes for f, b in zip(g.features, best.tolist(), strict=True)], bool)
-        for i, j in ((0, 1), (1, 0)):
-            a, b = g.edges[:, i], g.edges[:, j]
-            out[b[seen[a] & (y[a] == best[b])]] = True
-        return out
+    def __init__(self, names: dict[str, int], weight: np.ndarray, pair: np.ndarray):
+        self.names, self.weight, self.pair = names, weight, pair
 
     def node(self, g: Graph) -> np.ndarray:
         out = np.zeros((len(g.nodes), len(LABELS)))
@@ -335,7 +347,7 @@ class Field:
         seen = np.flatnonzero(g.observed)
         node[seen] = -50.0
         node[seen, np.array(g.labels)[seen]] = 0.0
-        return np.exp(propagate(node, g.edges, self.pair)[0])
+        return np.exp(propagate(node, g.edges, self.pair, groups=g.texts)[0])
 
 
 def variants(kind: str, span: str) -> list[str]:
@@ -348,19 +360,18 @@ def variants(kind: str, span: str) -> list[str]:
         parts = span.split(".")
         return [".".join(parts[:3]), "-".join(parts), ".".join(parts[:3]) + ".x"]
     if kind == "card":
-        return [digits[:12], ".".join(digits[k : k + 4] for k in range(0, len(digits), 4)), digits[:-1]]
+        at = (len(digits) - 1) // 2
+        slip = digits[:at] + str((int(digits[at]) + 1) % 10) + digits[at + 1 :]
+        return [digits[:12], digits[:10], digits[:8], slip, ".".join(digits[k : k + 4] for k in range(0, len(digits), 4)), digits[:-1]]
     return [span.lstrip("+"), digits, digits[-10:], f"{digits[-10:-7]} {digits[-7:-4]} {digits[-4:]}"]
 
 
-def planted(t: str, rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with a variant of each of its recognised spans put in at a white space somewhere, and where these are."""
-    gaps = [m.start() for m in re.finditer(r"[\x20\n]", t)] or [len(t)]
-    busy = base_spans(t)
-    put = []
-    for kind, a, b in busy:
-        ways = variants(kind, t[a:b])
-        free = [g for g in gaps if all(g < x or g > y for _, x, y in busy)] or [len(t)]
-        put.append((free[int(rng.integers(0, len(free)))], kind, ways[int(rng.integers(0, len(ways)))]))
+def _put(t: str, words: list[tuple[str, str]], rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with each word of a label put in at a white space outside of the recognised spans, and where these are."""
+    gaps = [m.start() for m in re.finditer(r"[\x20\n]", t)]
+    busy = [(a, b) for _, a, b in base_spans(t)]
+    free = [g for g in gaps if all(g < x or g > y for x, y in busy)] or [len(t)]
+    put = [(free[int(rng.integers(0, len(free)))], kind, word) for kind, word in words]
     parts, at, size, spans = [], 0, 0, []
     for place, kind, way in sorted(put):
         parts += [t[at:place], " then ", way, " said"]
@@ -370,12 +381,49 @@ def planted(t: str, rng: np.random.Generator) -> tuple[str, list[tuple[str, int,
     return "".join([*parts, t[at:]]), spans
 
 
+def planted(t: str, rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with a variant of each of its recognised spans put in at a white space somewhere, and where these are."""
+    ways = [(kind, variants(kind, t[a:b])) for kind, a, b in base_spans(t)]
+    return _put(t, [(kind, w[int(rng.integers(0, len(w)))]) for kind, w in ways], rng)
+
+
+def look_alike(word: str, rng: np.random.Generator) -> str:
+    """A word of the same form, its digits and letters drawn anew; no card number."""
+    while True:
+        letter = lambda c: chr(ord("a" if c.islower() else "A") + int(rng.integers(0, 6 if c in "abcdef" else 26)))
+        out = "".join(str(int(rng.integers(1, 10))) if c in "0123456789" else letter(c) if c.isascii() and c.isalpha() else c for c in word)
+        if not base_spans(out):
+            return out
+
+
+def _abroad(rng: np.random.Generator) -> str:
+    """A phone number with another country's code, in groups of digits."""
+    digits = lambda n: "".join(str(x) for x in rng.integers(1, 10, n))
+    return " ".join(["+" + digits(2), *(digits(int(n)) for n in rng.integers(2, 5, 3))])
+
+
+def contested(t: str, secrets: list[tuple[str, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with a variant of each recognised span and a repeat of each secret put in, and for each of these a look-alike, now and then two of it, labelled outside.
+
+    For each phone number the same is done with one of another country, whose whole form is put in too.
+    """
+    words, known = [], [(kind, t[a:b]) for kind, a, b in [*base_spans(t), *secrets]]
+    abroad = [("phone", _abroad(rng)) for kind, _ in known if kind == "phone"]
+    words += abroad
+    for kind, word in known + abroad:
+        ways = variants(kind, word) if kind != "secret" else [word, f'"{word}"']
+        way = ways[int(rng.integers(0, len(ways)))]
+        other = look_alike(way, rng)
+        words += [(kind, way)] + [("outside", other)] * (1 + int(rng.integers(0, 3) == 0))
+    return _put(t, words, rng)
+
+
 def fit(sample: list[str], rounds: int = 80, rate: float = 0.2, ridge: float = 0.02, seed: int = 0) -> Field:
     """Maximises the likelihood of the known labels, latent ones summed over, with the marginals of loopy message passing, by Adam. No texts give weights of zero."""
     rng = np.random.default_rng(seed)
     secrets = lambda t: [("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(t)]
     rows = [(t, secrets(t)) for t in sample]
-    rows += [(u, spans + secrets(u)) for u, spans in (planted(t, rng) for t in sample if base_spans(t))]
+    rows += [(u, spans + secrets(u)) for u, spans in (contested(t, secrets(t), rng) for t in sample if base_spans(t) or _SECRET.search(t))]
     g = Graph([t for t, _ in rows], [k for _, k in rows])
     names: dict[str, int] = {}
     for fs in g.features:
@@ -383,7 +431,7 @@ def fit(sample: list[str], rounds: int = 80, rate: float = 0.2, ridge: float = 0
             names.setdefault(f, len(names))
     k, n = len(LABELS), len(g.nodes)
     y = np.array(g.labels)
-    field = Field(names, np.zeros((len(names), k)), np.zeros((2, k, k)), {(f[2], y) for f, y in zip(g.features, g.labels, strict=True) if y})
+    field = Field(names, np.zeros((len(names), k)), np.zeros((2, k, k)))
     if not n:
         return field
     at = np.array([(i, names[f]) for i, fs in enumerate(g.features) for f in fs])
@@ -416,14 +464,31 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     return fit(sorted(r.text for r in rows.select("text").collect()))
 
 
-def spans_of(all_texts: list[str], field: Field, sure: float = SURE) -> list[list[tuple[str, int, int, bool]]]:
-    """For each text, (kind, start, stop, base) by kind, then start. Added spans run over neighbouring tokens of one label and meet no base span."""
+def spans_of(all_texts: list[str], field: Field, sure: float = SURE, skip: bool = True) -> list[list[tuple[str, int, int, bool]]]:
+    """For each text, (kind, start, stop, base) by kind, then start. Added spans run over neighbouring tokens of one label and meet no base span.
+
+    Texts share a graph while they have GRAPH_CHARS together; this changes no result. skip=False leaves the skip edges out, to measure what they do.
+    """
+    out, some, size = [], [], 0
+    for t in all_texts:
+        if some and size + len(t) > GRAPH_CHARS:
+            out += _graph_spans(some, field, sure, skip)
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    return out + _graph_spans(some, field, sure, skip)
+
+
+def _graph_spans(all_texts: list[str], field: Field, sure: float, skip: bool) -> list[list[tuple[str, int, int, bool]]]:
     g = Graph(all_texts)
+    if not skip:
+        chain = g.edges[:, 2] == 0
+        g.edges, g.texts = g.edges[chain], g.texts[chain]
     out = [[(k, a, b, True) for k, a, b in base] for base in g.base]
     if g.nodes:
         p = field.label(g)
         best = p.argmax(axis=1)
-        best[(p.max(axis=1) < sure) | np.array(g.observed) | ~field.supported(g, best)] = 0
+        best[(p.max(axis=1) < sure) | np.array(g.observed)] = 0
         chained = {(int(i), int(j)) for i, j, t in g.edges if t == 0}
         run = None
         for i in np.flatnonzero(best).tolist():
@@ -443,7 +508,7 @@ def spans_of(all_texts: list[str], field: Field, sure: float = SURE) -> list[lis
 def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) of every whole text, spans by kind, then start, in code points, base telling the recognisers' own.
 
-    A null text is empty and has none; repeated rows and null ids stay. No shuffle; the field, whose size the sample bounds, is broadcast.
+    A null text is empty and has none; repeated rows and null ids stay; an empty table has no rows; extra columns are left out. No shuffle; the field, whose size the sample bounds, is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
