@@ -31,9 +31,10 @@ def _marked(field, skip):
         for frame in FRAMES:
             t = frame.format(whole, cut, other)
             spans = pii.spans_of([t], field, skip=skip)[0]
-            over = lambda w: {k for k, a, b, base in spans if not base and a < t.rfind(w) + len(w) and t.rfind(w) < b}
-            hits += kind in over(cut)
-            wrong += bool(over(other))
+            put = {k: len(frame[: frame.index(k)].format(whole, cut, other)) for k in ("{1}", "{2}")}
+            over = lambda k, w: {x for x, a, b, base in spans if not base and a < put[k] + len(w) and put[k] < b}  # noqa: B023, E731
+            hits += kind in over("{1}", cut)
+            wrong += bool(over("{2}", other))
     return hits, wrong
 
 
