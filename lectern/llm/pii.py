@@ -12,8 +12,8 @@ recogniser's span are observed; spans are added for the others where the field i
 
 It is trained by distant supervision on about SAMPLE documents (those of least hash among those with a digit or an @ and
 at most SAMPLE_CHARS long). Labels are the recognisers' own spans, secrets that stand behind a word for them and a sign of
-assignment, and, in a copy of each document, cut or respelt mentions of what was recognised in it, put there for training.
-Beside each such mention the copy gets a look-alike: a word of the same form with other digits and letters, in the same
+assignment, and cut or respelt mentions of what was recognised in a document, put into it for training.
+Beside each such mention the document gets a look-alike: a word of the same form with other digits and letters, in the same
 surroundings, that nothing in the document answers to. Its label is outside. So what a mention itself shows cannot settle its
 label, and the field has to learn it from the edges: ten digits are a phone number where one recognised elsewhere ends
 in them, and outside where none does; so are numbers of a card's length with a wrong check digit. Other tokens that look like
@@ -299,7 +299,7 @@ def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
     if not e:
         return _norm(node), np.zeros((0, k, k))
     src, dst, psi = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]]), pair[edges[:, 2]]
-    psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
+    ways, mats = np.concatenate([edges[:, 2], edges[:, 2] + len(pair)]), np.exp(np.concatenate([pair, pair.transpose(0, 2, 1)]))
     back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
     msg, order = np.zeros((2 * e, k)), np.argsort(dst, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(dst[order]) > 0])
@@ -313,9 +313,12 @@ def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
     groups = np.zeros(e, np.int64) if groups is None else np.unique(groups, return_inverse=True)[1]
     groups, live = np.concatenate([groups, groups]), np.arange(2 * e)
     for _ in range(rounds):
-        out = (belief()[src[live]] - msg[back[live]])[:, :, None] + psi[live]
-        top = out.max(axis=1)
-        new = _norm(top + np.log(np.exp(out - top[:, None, :]).sum(axis=1)))
+        x = belief()[src[live]] - msg[back[live]]
+        x, way = np.exp(x - x.max(axis=1, keepdims=True)), ways[live]
+        out = np.empty_like(x)
+        for w in np.unique(way):
+            out[way == w] = x[way == w] @ mats[w]
+        new = _norm(np.log(out))
         moved = np.zeros(groups.max() + 1)
         np.maximum.at(moved, groups[live], np.abs(np.exp(new) - np.exp(msg[live])).max(axis=1))
         done = moved[groups[live]] < 1e-4
@@ -325,7 +328,7 @@ def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
             break
     b = belief()
     left, right = (b[edges[:, 0]] - msg[e:])[:, :, None], (b[edges[:, 1]] - msg[:e])[:, None, :]
-    both = (left + right + psi[:e]).reshape(e, -1)
+    both = (left + right + psi).reshape(e, -1)
     return _norm(b), _norm(both).reshape(e, k, k)
 
 
@@ -422,8 +425,7 @@ def fit(sample: list[str], rounds: int = 80, rate: float = 0.2, ridge: float = 0
     """Maximises the likelihood of the known labels, latent ones summed over, with the marginals of loopy message passing, by Adam. No texts give weights of zero."""
     rng = np.random.default_rng(seed)
     secrets = lambda t: [("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(t)]
-    rows = [(t, secrets(t)) for t in sample]
-    rows += [(u, spans + secrets(u)) for u, spans in (contested(t, secrets(t), rng) for t in sample if base_spans(t) or _SECRET.search(t))]
+    rows = [(u, spans + secrets(u)) for u, spans in (contested(t, secrets(t), rng) for t in sample)]
     g = Graph([t for t, _ in rows], [k for _, k in rows])
     names: dict[str, int] = {}
     for fs in g.features:
