@@ -1,12 +1,15 @@
 """DartMinHash near-duplicates: weighted signatures by hashed darts, banded joining, exact verification, classes.
 
 Every element (a hashed shingle) owns a strip of the weight-rank plane, as wide as its weight; darts fall on the plane as a
-Poisson process that depends on the element alone. The darts below a rank that lets a document expect T = K ln K + 2 K hits
-are thrown; each goes to one of K coordinates by its hash, and the earliest (least rank) of each coordinate is kept. If a
-coordinate got none, the rank is doubled. Two documents agree in a coordinate with the probability of their weighted Jaccard
-similarity. A document costs its length plus about T darts, however long it is.
+Poisson process that depends on the element alone. The darts below a rank that lets a document expect T = K ln K + K hits
+are thrown; each goes to one of K coordinates by its hash, and the earliest (least rank) of each coordinate is kept. While a
+coordinate has none, the darts of the ranks that follow, 2 K more hits, are thrown too. Two documents agree in a coordinate with the probability of their weighted Jaccard
+similarity. A document costs its length plus about T darts, however long or short it is.
 """
 
+import math
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -30,73 +33,144 @@ AGREE = 0.71
 #: Digests that a task remembers, and rows that are broadcast at most (40 bytes each); beyond, joins with them shuffle.
 REMEMBERED, BROADCAST_NODES = 500_000, 500_000
 
-_GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_GOLD, _M1, _M2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_30, _27, _31 = np.uint64(30), np.uint64(27), np.uint64(31)
+
+#: Characters, and texts, that are hashed at once at most, or one text of more.
+CHARS_AT_ONCE, TEXTS_AT_ONCE = 60_000, 64
+#: Elements that are signed at once, or one text of more; a text counts as DARTS at least, its darts.
+CELLS, DARTS = 120_000, 1_500
+
+
+def _at_least(mean: float = 1.0) -> list[np.uint64]:
+    """The hashes from which on a Poisson number of this mean is at least 1, 2, 3, ..."""
+    out, below, n = [], 0.0, 0
+    while (below := below + math.exp(-mean) * mean**n / math.factorial(n)) < 1 - 2.0**-50:
+        out.append(np.uint64(int(below * 2**64)))
+        n += 1
+    return out
+
+
+_AT_LEAST = _at_least()
 
 
 def mix(x: np.ndarray, salt) -> np.ndarray:
-    """splitmix64 of x and a salt."""
-    with np.errstate(over="ignore"):
-        z = x + (np.asarray(salt).astype(np.uint64) + np.uint64(1)) * _GOLD
-        z = (z ^ (z >> np.uint64(30))) * _M1
-        z = (z ^ (z >> np.uint64(27))) * _M2
-        return z ^ (z >> np.uint64(31))
+    """splitmix64 of x and a salt, a number or an array."""
+    if isinstance(salt, int):
+        z = x + np.uint64((salt + 1) * _GOLD % 2**64)
+    else:
+        z = salt.astype(np.uint64)
+        z += np.uint64(1)
+        z *= np.uint64(_GOLD)
+        z += x
+    t = z >> _30
+    z ^= t
+    z *= _M1
+    np.right_shift(z, _27, out=t)
+    z ^= t
+    z *= _M2
+    np.right_shift(z, _31, out=t)
+    z ^= t
+    return z
+
+
+def _rolled(x: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of so many word hashes."""
+    out = np.zeros(len(x) - size + 1, np.uint64)
+    for k in range(size):
+        out = mix(out ^ x[k : k + len(out)], k)
+    return out
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x, ascending, and how often each occurs; x isn't empty."""
+    x = np.sort(x)
+    first = np.flatnonzero(x[1:] != x[:-1])
+    ends = np.append(first, len(x) - 1)
+    return x[ends], np.diff(ends, prepend=-1)
+
+
+def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """shingles() of each text, hashed together."""
+    words = [t.encode().lower().split() for t in texts]
+    x = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(words))), ">u8").astype(np.uint64)
+    rolled = _rolled(x, size) if len(x) >= size else x
+    out, at = [], 0
+    for w in map(len, words):
+        if w >= size:
+            out.append(_counted(rolled[at : at + w - size + 1]))
+        elif w:
+            out.append(_counted(_rolled(x[at : at + w], w)))
+        else:
+            out.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
+        at += w
+    return out
 
 
 def shingles(text: str, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct word shingles of a text, A-Z lower-cased, and how often each occurs. A text of fewer words is one shingle; one without words has none."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
-    x = np.fromiter(map(h.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(x) - size + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(min(size, len(x))):
-        out = mix(out ^ x[k : k + n], k)
-    return np.unique(out, return_counts=True)
+    return shingle_sets([text], size)[0]
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = BANDS * ROWS, seed: int = 0) -> np.ndarray:
-    """A row of k dart hashes for each (elements, weights); weights are positive. A set without elements gets zeros.
+    """A row of k dart hashes for each (elements, weights); weights are positive, a set's sum to 1 or more. A set without elements gets zeros.
 
-    Weights are cut into layers [0, 1), [1, 2), [2, 4), ...; a layer's darts come at exponential intervals of its width,
-    each with a place in the layer, and count where the place is below the weight. A dart's upper 32 bits give its rank, its
-    lower 32 bits its coordinate and its name; rank and name are kept as one number, the least of which a coordinate keeps.
+    Weights are cut into layers [0, 1), [1, 2), [2, 4), ..., ranks, layer by layer, into slabs that make a cell of one element, layer
+    and slab expect one dart. A cell's hash gives the number of its darts and the first of them, the others have hashes of their own;
+    so no document waits for another's darts, and ranks that were too few go on where they ended. A dart counts where its place in the
+    layer is below the weight. Its lower 32 bits give its coordinate and its name, the 16 above its rank in the slab. Rank (in 1 / 65,536)
+    and name are kept as one number, the least of which a coordinate keeps; equal ranks are settled by the names.
     """
-    n, half, own_bits, unset = len(sets), np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(2**64 - 1)
+    n, half, own_bits, dart_bits, unset = len(sets), np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(2**48 - 1), np.uint64(2**64 - 1)
     best = np.full(n * k, unset, np.uint64)
-    sizes = np.array([len(s[0]) for s in sets], int)
-    hits = (k * np.log(k) + 2 * k) / np.array([max(1e-300, float(np.sum(s[1]))) for s in sets]).astype(np.float32)
+    sizes = np.array([len(s[0]) for s in sets], np.int64)
+    total = np.array([float(np.sum(s[1])) for s in sets])
+    if (total[sizes > 0] < 1).any():
+        raise ValueError("the weights of a set sum to less than 1")
+    hits, done = k * (np.log(k) + 1), np.zeros(n, np.int64)
     todo = np.flatnonzero(sizes)
     while len(todo):
-        owner = np.repeat(todo, sizes[todo])
+        upto = np.ceil(hits * 65536 / total[todo]).astype(np.int64)
+        upto = np.where(upto < 65536, upto, -(-upto >> 16) << 16)  # whole slabs, where a document has them
+        owner = np.repeat(np.arange(len(todo)), sizes[todo])
         items = np.concatenate([sets[i][0] for i in todo])
         weights = np.concatenate([np.asarray(sets[i][1], np.float32) for i in todo])
         low, layer = 0.0, 0
         while len(items):
-            width = 1.0 if not layer else low
+            width, level = low or 1.0, max(0, layer - 1)  # a layer is 2**level wide
             full = bool((weights >= low + width).all())  # then every dart of the layer counts
-            base, cell, limit, w = mix(items, seed * 64 + layer), (owner * k).astype(np.uint64), hits[owner], weights
-            rank, step = np.zeros(len(items), np.float32), 0
-            while len(base):
-                h = mix(base, 2 * step)
-                gap = ((h >> half).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
-                rank = rank - np.log(gap) / np.float32(width)
-                keep = np.flatnonzero(rank < limit)
-                base, cell, limit, rank, h, w = base[keep], cell[keep], limit[keep], rank[keep], h[keep], w[keep]
+            first = (done[todo] << level) >> 16
+            slabs = (-((-upto << level) >> 16) - first)[owner]
+            ends = np.cumsum(slabs)
+            cells = np.repeat(np.arange(len(items)), slabs)
+            slab = np.arange(len(cells))
+            slab -= (ends - slabs - first[owner])[cells]
+            z = mix(mix(items, seed * 64 + layer)[cells], slab)
+            rank = slab.view(np.uint64) << np.uint64(48)
+            to = (todo[owner] * k).astype(np.uint64)
+            for j, least in enumerate(_AT_LEAST):
+                keep = np.flatnonzero(z >= least)
+                if not len(keep):
+                    break
+                z, cells, rank = z[keep], cells[keep], rank[keep]
+                h = mix(z, j) if j else z
                 name = h & own_bits
-                at = (cell + ((name * np.uint64(k)) >> half)).view(np.int64)
-                dart = (rank.view(np.uint32).astype(np.uint64) << half) | name
+                dart = (h & dart_bits) | rank
+                if level:
+                    dart = (dart >> np.uint64(32 + level) << half) | name
+                name *= np.uint64(k)
+                name >>= half
+                name += to[cells]
                 if not full:
-                    hit = low + width * ((mix(base, 2 * step + 1) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)) < w
-                    at, dart = at[hit], dart[hit]
-                np.minimum.at(best, at, dart)
-                step += 1
+                    hit = low + width * ((mix(h, 63) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)) < weights[cells]
+                    name, dart = name[hit], dart[hit]
+                np.minimum.at(best, name.view(np.int64), dart)
             low, layer = low + width, layer + 1
             more = np.flatnonzero(weights > low)
             items, owner, weights = items[more], owner[more], weights[more]
-        todo = todo[(best.reshape(n, k)[todo] == unset).any(axis=1)]
-        hits[todo] *= 2
+        done[todo] = upto
+        todo = todo[((best.reshape(n, k)[todo] >> half) >= upto[:, None].astype(np.uint64)).any(axis=1)]
+        hits += 2 * k
     out = best.reshape(n, k) & own_bits
     out[sizes == 0] = 0
     return out
@@ -131,7 +205,7 @@ def _signed(docs: DataFrame, weighted: bool) -> DataFrame:
     def run(frames):
         seen = set()
         for f in frames:
-            sets, at, size, again = [], [], 0, []
+            at, unread, sets, chars, size, again = [], [], [], 0, 0, []
             ids, digests, whole = f["doc_id"].to_numpy(), f["digest"].to_numpy(), f["text"].to_numpy()
 
             def close(at, sets):
@@ -142,21 +216,27 @@ def _signed(docs: DataFrame, weighted: bool) -> DataFrame:
                     keys = [k if len(s[0]) else k[:0] for k, s in zip(band_keys(sig), sets, strict=True)]
                 return pd.DataFrame({"digest": digests[at], "doc_id": ids[at], "bands": keys, "low": low})
 
+            def hashed(unread):
+                got = shingle_sets(unread)
+                return (got if weighted else [(s[0], np.ones(len(s[0]))) for s in got]), sum(max(len(s[0]), DARTS) for s in got)
+
             for i, (digest, t) in enumerate(zip(digests, whole, strict=True)):
                 if digest in seen:
                     again.append(i)
                     continue
                 seen = {digest} if len(seen) >= REMEMBERED else seen
                 seen.add(digest)
-                s = shingles(t)
-                sets.append(s if weighted else (s[0], np.ones(len(s[0]))))
                 at.append(i)
-                size += len(s[0]) + 200
-                if size > 60_000:
-                    yield close(at, sets)
-                    sets, at, size = [], [], 0
-            if sets:
-                yield close(at, sets)
+                unread.append(t)
+                chars += len(t)
+                if chars > CHARS_AT_ONCE or len(unread) >= TEXTS_AT_ONCE:
+                    more, cells = hashed(unread)
+                    sets, size, unread, chars = sets + more, size + cells, [], 0
+                    if size > CELLS:
+                        yield close(at, sets)
+                        at, sets, size = [], [], 0
+            if at:
+                yield close(at, sets + hashed(unread)[0])
             if again:
                 yield close(again, [])
 

@@ -1,6 +1,7 @@
 """Near-duplicates by weighted shingles: brute force, ids with several texts, recall at the threshold, small broadcast limits."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,3 +95,57 @@ def test_one_each_keeps_the_least_text(spark):
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert dartminhash.near_duplicates(d, weighted=True).count() == 0 and corpus_pipeline.near_duplicates(spark, d, SF).count() == 0
+
+
+def test_a_short_text_takes_no_more_steps_than_a_long_one(monkeypatch):
+    """The darts of a text are thrown together: a set of one element, which needs them all from it, took a step for each."""
+    steps, mix = [], dartminhash.mix
+
+    def counted(*args):
+        steps.append(1)
+        return mix(*args)
+
+    monkeypatch.setattr(dartminhash, "mix", counted)
+    for n in (1, 10, 400, 5000):
+        steps.clear()
+        dartminhash.signatures([(np.arange(n, dtype=np.uint64), np.ones(n))])
+        assert len(steps) < 150, n
+
+
+def test_a_signature_depends_on_its_set_alone():
+    rng = np.random.default_rng(5)
+    sets = [(rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(1, w, n)) for n in (1, 2, 30, 700, 9000) for w in (2, 3, 40, 100_000)]
+    sets.insert(3, (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    sig = dartminhash.signatures(sets)
+    assert not sig[3].any() and all((dartminhash.signatures([s])[0] == row).all() for s, row in zip(sets, sig, strict=True))
+    with pytest.raises(ValueError):
+        dartminhash.signatures([(np.array([1], np.uint64), np.array([0.01]))])
+
+
+@pytest.mark.parametrize("n,most", [(1, 2), (1, 1000), (20, 2), (300, 9), (4000, 60), (30_000, 2)])
+def test_signatures_agree_as_often_as_the_sets_do(n, most):
+    """Sets of few and of many elements, of small and of large weights, over many draws: within four standard errors of their similarity."""
+    rng, off, spread = np.random.default_rng(n + most), [], []
+    for r in range(40):
+        items, w = rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(1, most, n)
+        v = np.where(rng.random(n) < 0.2, np.maximum(1, w // 2), w)
+        want = float(np.minimum(w, v).sum() / np.maximum(w, v).sum())
+        if n > 1:  # elements of one side alone
+            a, b = (items[n // 10 :], w[n // 10 :]), (items, v)
+            want = float(np.minimum(a[1], v[n // 10 :]).sum() / (np.maximum(a[1], v[n // 10 :]).sum() + v[: n // 10].sum()))
+        else:
+            a, b = (items, w), (items, v)
+        s = dartminhash.signatures([a, b], seed=r)
+        off.append((s[0] == s[1]).mean() - want)
+        spread.append(want * (1 - want) / s.shape[1])
+    assert abs(np.mean(off)) <= 4 * np.sqrt(np.sum(spread)) / len(off)
+
+
+def test_shingles_of_texts_together_are_those_of_each():
+    given = ["", "one", "a b c d", "A b\tc d E", "a b c d e f a b c d e f", "  ", "x " * 400, " ".join(f"w{k}" for k in range(3000)), "é É é"]
+    for text, (x, n) in zip(given, dartminhash.shingle_sets(given), strict=True):
+        words = text.encode().lower().split()
+        runs = [tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+        alone = dartminhash.shingles(text)
+        assert (alone[0] == x).all() and (alone[1] == n).all() and sorted(n) == sorted(Counter(runs).values())
+    assert dartminhash.shingle_sets([]) == []
