@@ -1,5 +1,7 @@
 """Column builders: text, numbers, dates, identifiers, redaction. All are JVM expressions."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ CIF_LETTERS, CIF_CONTROL = "ABCDEFGHJKLMNPQRSUVW", "JABCDEFGHI"
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), value being computed once. An expression that is used twice is otherwise there twice, and nested ones outgrow what the JVM compiles."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents."""
     return F.translate(F.lower(c), ACCENTED, PLAIN)

@@ -250,7 +250,8 @@ def labelled_line(c: Column, label: str) -> Column:
     """What follows a label on its line, or, if nothing does, the next line; null without the label."""
     own = F.trim(F.regexp_extract(c, rf"(?im)^[ \t]*(?:{label})[ \t]*[:#][ \t]*([^\n]*)$", 1))
     below = F.trim(F.regexp_extract(c, rf"(?im)^[ \t]*(?:{label})[ \t]*[:#]?[ \t]*\n[ \t]*([^\n]+)$", 1))
-    return _first((own != "", own), (below != "", below))
+    filled = lambda x: F.when(x != "", x)
+    return F.coalesce(C.bound(own, filled), C.bound(below, filled))
 
 
 def first_with_digit(c: Column, patterns: list[str]) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from lectern.functions import columns as C
 from lectern.functions import text as T
 from lectern.operators import patterns
 from lectern.operators.business import count
@@ -213,14 +214,21 @@ def invoice_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invoice_fields(render_invoices(spark, sf_dir), "number")
 
 
+def order_key(number: Column) -> Column:
+    """The key that is written as a number is without its leading zeros; null if none is."""
+    return C.bound(F.regexp_replace(number, "^0+(?=.)", ""), lambda n: C.bound(n.try_cast("long"), lambda k: F.when(k.cast("string") == n, k)))
+
+
 @query(f"WITH {INVOICES_SQL} SELECT i.number, o.o_orderkey AS order_id, o.o_totalprice AS ordered FROM invoices i JOIN orders o ON o.o_orderkey = i.order_id")
 def related_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order that an invoice's paper names: by its number as written, else by its normal form, in two equi-joins."""
-    f = invoice_fields(render_invoices(spark, sf_dir), "number").select("number", F.concat(F.lit("0"), "order_number").alias("named"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("ordered"), F.col("o_orderkey").cast("string").alias("k"))
-    exact = f.join(o, F.col("named") == F.col("k"), "left")
-    rest = exact.filter("k IS NULL").select("number", F.regexp_replace("named", "^0+(?=.)", "").alias("named")).join(o, F.col("named") == F.col("k"))
-    return exact.filter("k IS NOT NULL").select("number", "order_id", "ordered").unionByName(rest.select("number", "order_id", "ordered"))
+    """The order that an invoice's paper names, by its number in normal form.
+
+    Orders' keys are written in normal form, so a number that is written as a key is its own normal form, and one equi-join finds those too. The number comes out of explode(),
+    below which the join's filter isn't pushed: there each paper would be written and read a second time.
+    """
+    f = invoice_fields(render_invoices(spark, sf_dir), "number").select("number", F.explode(F.array(order_key(F.concat(F.lit("0"), "order_number")))).alias("named"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("ordered"))
+    return f.join(o, F.col("named") == F.col("order_id")).select("number", "order_id", "ordered")
 
 
 # work items: chapters, and items that carry their chapter
