@@ -233,7 +233,7 @@ _AMOUNT = r"(-?\d{1,3}(?:[.\s]\d{3})+(?:,\d{1,2})?|-?\d+(?:[.,]\d{1,2})?)"
 
 def labelled_amount(c: Column, label: str) -> Column:
     """The amount on the line of a label, in Spanish form; null if there is none."""
-    return C.amount(F.nullif(F.regexp_extract(c, rf"(?im)^[ \t]*(?:{label})[ \t]*[:#-]?[ \t]*{_AMOUNT}[ \t]*(?:€|eur|euros)?", 1), F.lit("")))
+    return C.amount(F.regexp_extract(c, rf"(?im)^[ \t]*(?:{label})[ \t]*[:#-]?[ \t]*{_AMOUNT}[ \t]*(?:€|eur|euros)?", 1))
 
 
 #: How a document names its total, the surest first.
@@ -242,8 +242,8 @@ TOTALS = (r"total\s+(?:presupuesto|pedido|factura)", r"importe\s+total", r"total
 
 def total_amount(c: Column) -> Column:
     """The last amount of the first of TOTALS that the text has."""
-    last = lambda label: F.element_at(F.regexp_extract_all(c, F.lit(rf"(?im)^[ \t]*{label}[ \t]*[:#-]?[ \t]*{_AMOUNT}"), 1), -1)
-    return F.coalesce(*[C.amount(F.when(c.rlike(rf"(?im)^[ \t]*{label}[ \t]*[:#-]?[ \t]*{_AMOUNT}"), last(label))) for label in TOTALS])
+    last = lambda label: F.try_element_at(F.regexp_extract_all(c, F.lit(rf"(?im)^[ \t]*{label}[ \t]*[:#-]?[ \t]*{_AMOUNT}"), 1), F.lit(-1))
+    return F.coalesce(*[C.amount(last(label)) for label in TOTALS])
 
 
 def labelled_line(c: Column, label: str) -> Column:
@@ -278,12 +278,18 @@ _WORDY = r"(?i)(?<!\d)(\d{1,2})\s+(?:de\s+)?(" + "|".join(sorted(MONTH_NAMES, ke
 
 
 def _date_of(found: Column, numeric: bool) -> Column:
-    pattern = _NUMERIC if numeric else _WORDY
-    part = lambda k: F.regexp_extract(found, pattern, k)
-    y = part(3)
+    if numeric:
+        last = lambda x: F.substring_index(x, "-", -1)
+        return C.bound(F.translate(found, "/.", "--"), lambda x: C.bound(last(x), lambda y: _day(y, last(F.substring_index(x, "-", 2)), F.substring_index(x, "-", 1))))
+    part = lambda k: F.regexp_extract(found, _WORDY, k)
+    month = F.element_at(F.create_map(*[F.lit(x) for kv in MONTH_NAMES.items() for x in kv]), F.lower(part(2))).cast("string")
+    return _day(part(3), month, part(1))
+
+
+def _day(y: Column, m: Column, d: Column) -> Column:
+    """The date of a year of two or four digits, a month and a day; null if there is none."""
     year = F.when(F.length(y) == 2, F.concat(F.when(y.try_cast("int") < 70, F.lit("20")).otherwise(F.lit("19")), y)).otherwise(y)
-    month = part(2) if numeric else F.element_at(F.create_map(*[F.lit(x) for kv in MONTH_NAMES.items() for x in kv]), F.lower(part(2))).cast("string")
-    return F.to_date(F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(part(1), 2, "0")), F.lit("yyyy-MM-dd")))
+    return F.concat(year, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")).try_cast("date")
 
 
 def dates(c: Column) -> Column:
@@ -294,9 +300,10 @@ def dates(c: Column) -> Column:
 
 
 def first_date(c: Column, labels: str = "") -> Column:
-    """The first date after one of the labels (a pattern), if there is one, else the first date of the text."""
-    after = dates(F.regexp_extract(c, rf"(?is)(?:{labels})(.*)$", 1)) if labels else F.array().cast("array<date>")
-    return F.coalesce(F.get(after, F.lit(0)), F.get(dates(c), F.lit(0)))
+    """The first date after one of the labels (a pattern), if there is one, else the first date of the text: of dates(), of which the first numeric one, if it is a date, is the first."""
+    numeric = lambda t: C.bound(F.regexp_extract(t, _NUMERIC, 0), lambda x: _date_of(x, True))
+    first = lambda t: F.coalesce(numeric(t), F.get(dates(t), F.lit(0)))
+    return F.coalesce(C.bound(F.regexp_extract(c, rf"(?is)(?:{labels})(.*)$", 1), first), first(c)) if labels else first(c)
 
 
 def iso_dates(c: Column) -> Column:

@@ -198,7 +198,7 @@ def invoice_fields(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, supplier, tax_id, date, base, vat, total, order_number, issues) out of each paper; issues names what doesn't add up or is missing."""
     t = F.col(text)
     f = df.select(
-        key, T.labelled_line(t, "proveedor").alias("supplier"), F.nullif(F.regexp_extract(t, r"\b([0-9]{8}[A-Z])\b", 1), F.lit("")).alias("tax_id"), T.first_date(t, "fecha factura").alias("date"),
+        key, T.labelled_line(t, "proveedor").alias("supplier"), F.nullif(F.regexp_extract(t, r"(?=[0-9])\b([0-9]{8}[A-Z])\b", 1), F.lit("")).alias("tax_id"), T.first_date(t, "fecha factura").alias("date"),
         T.labelled_amount(t, r"base\s+imponible").alias("base"), T.labelled_amount(t, "iva").alias("vat"), T.total_amount(t).alias("total"), T.labelled_line(t, "pedido").alias("order_number"),
     )
     off = F.abs(F.col("base") + F.col("vat") - F.col("total")) > F.greatest(F.lit(0.05), F.col("total") * 0.02)
