@@ -5,7 +5,9 @@ The given tables hold no boxes, so queries lay typed columns out as blocks and r
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,23 +66,126 @@ def page_items(blocks: list[tuple[str, float, float, float, float]], height: flo
     return out
 
 
+_FIELDS = ["reference", "description", "quantity", "unit_price", "total_price"]
+
+
+def _role(text: str) -> int:
+    """The place in ROLES of what a column's name stands for, else -1."""
+    return next((k for k, (_, p) in enumerate(_ROLES) if p.fullmatch(text.strip().lower())), -1)
+
+
+def batch_items(page: np.ndarray, text: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, height: np.ndarray) -> tuple[list[int], list[int], list[list]]:
+    """page_items() of many pages at once: (page, item, a list a field) of their items, in order. The arrays are blocks; page numbers pages from 0, height is by page."""
+    n, at = len(height), np.lexsort((y1, page))
+    of, top = page[at], y1[at]
+    first = np.ones(len(at), bool)  # in its row: of its page, or too far below. A row's last top is its greatest, so its median is never nearer
+    first[1:] = (of[1:] != of[:-1]) | (top[1:] - top[:-1] > np.maximum(6.0, height[of[1:]] / 40))
+    row = np.empty(len(at), np.int64)
+    row[at] = np.cumsum(first) - 1
+    at = np.lexsort((x1, row))
+    page, text, row, middle = page[at], text[at], row[at], (x1[at] + x2[at]) / 2
+    rows = int(row[-1]) + 1 if len(row) else 0
+    begins, page_of = np.searchsorted(row, np.arange(rows + 1)), np.zeros(rows, np.int64)
+    page_of[row] = page
+    # a page's header is its first row with two known names: row by row of the pages that have none yet
+    known: dict[str, int] = {}
+    header, ends, row_of = np.full(n, rows, np.int64), np.searchsorted(page_of, np.arange(n), "right"), np.searchsorted(page_of, np.arange(n))
+    names, asked = [[] for _ in range(n)], np.flatnonzero(row_of < ends)
+    while len(asked):
+        for p in asked.tolist():
+            found = []
+            for k in range(begins[row_of[p]], begins[row_of[p] + 1]):
+                t = text[k]
+                role = known[t] if t in known else known.setdefault(t, _role(t))
+                if role >= 0:
+                    found.append((role, middle[k]))
+            if len(found) >= 2:
+                names[p], header[p] = found, row_of[p]
+        asked = asked[header[asked] == rows]
+        row_of[asked] += 1
+        asked = asked[row_of[asked] < ends[asked]]
+    # each block below goes to the nearest name of its page, of equals to the left one
+    start = np.concatenate([[0], np.cumsum([len(x) for x in names], dtype=np.int64)]).astype(np.int64)
+    wide, centre = np.array([r for x in names for r, _ in x], np.int64), np.array([m for x in names for _, m in x], float)
+    below = np.flatnonzero(row > header[page])
+    best, name = np.full(len(below), np.inf), np.zeros(len(below), np.int64)
+    for k in range(max(map(len, names), default=0)):
+        j = start[page[below]] + k
+        inside = j < start[page[below] + 1]
+        j = np.where(inside, j, 0)
+        away = np.where(inside, np.abs(centre[j] - middle[below]), np.inf)
+        name, best = np.where(away < best, wide[j], name), np.minimum(away, best)
+    pages, numbers, out, last = [], [], [[] for _ in _FIELDS], -1
+    places, digit = [list(ROLES).index(f) for f in _FIELDS], _DIGIT.search
+    item: list = [None] * len(ROLES)
+
+    def ended() -> None:
+        p = int(page_of[last])
+        own = [item[k] for k in places]
+        if any(x and digit(x) for x in own[2:]):
+            numbers.append(numbers[-1] + 1 if pages and pages[-1] == p else 0)
+            pages.append(p)
+            for to, x in zip(out, own, strict=True):
+                to.append(x)
+        elif pages and pages[-1] == p and own[1]:
+            out[1][-1] = f"{out[1][-1] or ''} {own[1]}".strip()
+
+    for r, f, t in zip(row[below].tolist(), name.tolist(), text[below].tolist(), strict=True):
+        if r != last:
+            if last >= 0:
+                ended()
+            item, last = [None] * len(ROLES), r
+        item[f] = t if item[f] is None else f"{item[f]} {t}"
+    if last >= 0:
+        ended()
+    return pages, numbers, out
+
+
+def items_of_pieces(pieces: DataFrame) -> DataFrame:
+    """items_of_pages() of pages in pieces (page, height, blocks: array of (text, x1, y1, x2, y2)), a page's pieces being next to each other in one partition.
+
+    Python holds a batch of pieces, and the page that goes on in the next batch.
+    """
+
+    def read(b: pa.RecordBatch, begins: np.ndarray) -> pa.RecordBatch:
+        blocks, sizes = b.column(2).flatten(), b.column(2).value_lengths().to_numpy()
+        number = lambda k: blocks.field(k).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        page = np.repeat(np.cumsum(begins) - 1, sizes)
+        at, item, fields = batch_items(page, blocks.field(0).to_numpy(zero_copy_only=False), number(1), number(2), number(3), b.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False)[begins])
+        key = b.column(0).take(pa.array(np.flatnonzero(begins)[at], pa.int64()))
+        return pa.RecordBatch.from_arrays([key, pa.array(item, pa.int64()), *[pa.array(x, pa.string()) for x in fields]], ["page", "item", *_FIELDS])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            begins = _begins(b.column(0))
+            cut = int(np.flatnonzero(begins)[-1])
+            held = b.slice(cut)
+            if cut:
+                yield read(b.slice(0, cut), begins[:cut])
+        if held is not None:
+            yield read(held, _begins(held.column(0)))
+
+    raw = pieces.select("page", "height", "blocks").mapInArrow(run, "page long, item long, " + ", ".join(f"{x} string" for x in _FIELDS))
+    return raw.select("page", "item", "reference", "description", T.quantity(F.col("quantity")).alias("quantity"), T.money(F.col("unit_price")).alias("unit_price"), T.money(F.col("total_price")).alias("total_price"))
+
+
+def _begins(keys: pa.Array) -> np.ndarray:
+    """Whether each key differs from the one before; nulls are equal."""
+    v, null = keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_null().to_numpy(zero_copy_only=False)
+    return np.concatenate([[True], (v[1:] != v[:-1]) | (null[1:] != null[:-1])])
+
+
 def items_of_pages(blocks: DataFrame) -> DataFrame:
     """(page, item, reference, description, quantity, unit_price, total_price) of pages of blocks (page, height, text, x1, y1, x2, y2).
 
-    A page is one group: its blocks are as many as fit on paper. Numbers are read in Spanish form; what can't be read is null.
+    Numbers are read in Spanish form; what can't be read is null. Blocks without a text are left out.
     """
-    fields = ["reference", "description", "quantity", "unit_price", "total_price"]
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for page, height, blocks in zip(f["page"], f["height"], f["blocks"], strict=True):
-                rows += [[page, k, *[r.get(x) for x in fields]] for k, r in enumerate(page_items([tuple(b.values()) for b in blocks], height))]
-            yield pd.DataFrame(rows, columns=["page", "item", *fields])
-
-    pages = blocks.groupBy("page").agg(F.first("height").alias("height"), F.collect_list(F.struct("text", "x1", "y1", "x2", "y2")).alias("blocks"))
-    raw = pages.mapInPandas(run, "page long, item long, " + ", ".join(f"{x} string" for x in fields))
-    return raw.select("page", "item", "reference", "description", T.quantity(F.col("quantity")).alias("quantity"), T.money(F.col("unit_price")).alias("unit_price"), T.money(F.col("total_price")).alias("total_price"))
+    one = F.array(F.struct("text", "x1", "y1", "x2", "y2")).alias("blocks")
+    return items_of_pieces(blocks.filter("text IS NOT NULL").select("page", "height", one).repartition("page").sortWithinPartitions("page"))
 
 
 @query(f"""
@@ -93,10 +198,9 @@ def page_table_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = lambda t, x, y, wide: F.struct(t.alias("text"), F.lit(float(x)).alias("x1"), y.alias("y1"), F.lit(float(x + wide)).alias("x2"), (y + 8.0).alias("y2"))
     y = 100.0 + 20.0 * F.col("k")
     one = F.array(block(F.col("reference"), 10, y, 60), block(F.split_part("description", F.lit(" "), F.lit(1)), 100, y + 1.0, 80), block(F.col("quantity").cast("int").cast("string"), 320, y, 20), block(number("unit_price"), 400, y + 2.0, 50), block(number("total"), 500, y, 50), block(F.regexp_replace("description", r"^\S+ ?", ""), 100, y + 9.0, 90))
-    rows = lines(spark, sf_dir).withColumn("k", k).select(F.col("parent_id").alias("page"), F.explode(one).alias("b")).select("page", "b.*").filter("text <> ''")
     names = F.array(*[block(F.lit(t), x, F.lit(100.0), w) for t, x, w in (("Ref", 10, 40), ("Descripcion", 100, 90), ("Cantidad", 310, 40), ("Precio unidad", 400, 60), ("Total", 510, 30))])
-    head = rows.select("page").distinct().select("page", F.explode(names).alias("b")).select("page", "b.*")
-    return items_of_pages(rows.unionByName(head).withColumn("height", F.lit(200.0)))
+    rows = lines(spark, sf_dir).withColumn("k", k).select(F.col("parent_id").alias("page"), F.lit(200.0).alias("height"), "k", F.filter(one, lambda b: b["text"] != "").alias("blocks"))
+    return items_of_pieces(rows.withColumn("blocks", F.when(F.col("k") == 1, F.concat(names, "blocks")).otherwise(F.col("blocks"))).sortWithinPartitions("page", "k"))
 
 
 def reading_order(blocks: list[tuple[str, float, float, float, float]], width: float) -> tuple[list[str], int]:
