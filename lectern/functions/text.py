@@ -256,7 +256,7 @@ def labelled_line(c: Column, label: str) -> Column:
 
 def first_with_digit(c: Column, patterns: list[str]) -> Column:
     """The capture of the first pattern whose capture holds a digit."""
-    return F.coalesce(*[F.when(F.regexp_extract(c, p, 1).rlike("[0-9]"), F.regexp_extract(c, p, 1)) for p in patterns])
+    return F.coalesce(*[C.bound(F.regexp_extract(c, p, 1), lambda x: F.when(x.rlike("[0-9]"), x)) for p in patterns])
 
 
 #: What a status says, by words that mean it; refusals first.
@@ -265,8 +265,7 @@ STATUS_WORDS = (("rejected", "no aceptad|rechazad|rejected"), ("accepted", "acep
 
 def stated_status(c: Column) -> Column:
     """The status that a labelled line states; null without the label."""
-    value = F.lower(labelled_line(c, "estado|status"))
-    return _first(*[(value.rlike(words), F.lit(name)) for name, words in STATUS_WORDS])
+    return C.bound(F.lower(labelled_line(c, "estado|status")), lambda v: _first(*[(v.rlike(words), F.lit(name)) for name, words in STATUS_WORDS]))
 
 
 # dates

@@ -64,6 +64,13 @@ def table_rows(text: Column) -> Column:
     return F.when(rule > 1, F.concat(F.array(head), whole))
 
 
+def has_table(text: Column) -> Column:
+    """Whether table_rows() of a text isn't null: its first line of dashes has a line above it."""
+    rows = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rule = lambda x: x.rlike(_RULE)
+    return F.coalesce(C.bound(rows, lambda r: ~F.get(r, F.lit(0)).rlike(_RULE) & F.exists(r, rule)), F.lit(False))
+
+
 #: What a column of a table of items is called, by what it holds.
 ROLES = {
     "reference": "art|articulo|ref|referencia|sku|codigo|código|code",
@@ -144,7 +151,7 @@ def render_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = lines(spark, sf_dir)
     number = lambda c: spanish(F.round(F.col(c) * 100).cast("long"))
     row = F.concat(F.lit("| "), F.concat_ws(" | ", "reference", F.regexp_replace("description", r"\|", "/"), F.col("quantity").cast("long").cast("string"), number("unit_price"), number("total")), F.lit(" |"))
-    tables = x.groupBy("parent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "reference", "total", "quantity", row.alias("row")))), lambda r: r["row"]), "\n").alias("rows"))
+    tables = x.groupBy("parent_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("line", "reference", "total", "quantity", row.alias("row"))))["row"], "\n").alias("rows"))
     b = budgets(spark, sf_dir).join(tables, F.col("parent_id") == F.col("id"))
     status = F.when(F.col("status") == "F", "aceptado").when(F.col("status") == "O", "no aceptado").otherwise("pendiente")
     total = spanish(F.round(F.col("total") * 100).cast("long"))
@@ -158,7 +165,7 @@ def budget_fields(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     t = F.col(text)
     f = df.select(
         key, T.first_with_digit(t, [r"(?im)^presupuesto\s+n[º°o.]*\s*:?\s*(\S+)", r"(?i)\b(PRE-[0-9]+)\b"]).alias("number"), T.labelled_line(t, "cliente").alias("client"),
-        T.first_date(t, "fecha").alias("date"), T.total_amount(t).alias("total"), T.stated_status(t).alias("status"), table_rows(t).isNotNull().alias("has_lines"),
+        T.first_date(t, "fecha").alias("date"), T.total_amount(t).alias("total"), T.stated_status(t).alias("status"), has_table(t).alias("has_lines"),
     )
     present = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in ("number", "client", "date", "total")])
     return f.select(key, "number", "client", "date", "total", "status", F.round(T.field_confidence(F.lit(None).cast("double"), present, F.col("has_lines")), 4).alias("confidence"))

@@ -47,3 +47,13 @@ def test_first_date_is_the_first_of_dates(spark):
 
 def test_invoice_papers_need_no_long_code(spark):
     assert len(plan_of(entry.queries()["invoice_extraction"](spark, SF))) < 40_000
+
+
+def test_has_table_is_where_table_rows_are(spark):
+    texts = ["| a |\n| --- |\n| 1 |", "| --- |\n| 1 |", "x\n\n  |---|\n", "| --- |\n| a |\n| --- |", "| a |\n| - |", "", "\n\n", "a\n| :--- | ---: |", "a\r\n|---|\r\n", None]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select(extraction.has_table(F.col("s")).alias("a"), extraction.table_rows(F.col("s")).isNotNull().alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and {r.a for r in got} == {True, False}
+
+
+def test_budget_papers_need_no_long_code(spark):
+    assert len(plan_of(entry.queries()["budget_extraction"](spark, SF))) < 40_000
